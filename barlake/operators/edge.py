@@ -13,6 +13,7 @@ from barlake.operators.asof import slice_seeds
 from barlake.operators.quantiles import grouped_quantiles
 from barlake.operators.series import SLICE, in_slices, slice_of, with_slice
 from barlake.schemas import NS_DAY, NS_HOUR, NS_SECOND
+from barlake.session import settle
 
 
 def forward_outcomes(
@@ -88,10 +89,14 @@ def forward_outcomes(
 
 def edge_table(outcomes: DataFrame, by: Sequence[str] = (),
                cost_pairs: Mapping[str, float] | None = None) -> DataFrame:
-    """Statistics per horizon (and ``by``); one row per cost pair if costs are given."""
+    """Statistics per horizon (and ``by``); one row per cost pair if costs are given.
+
+    The median takes a second pass, so the outcomes (events, not bars) are written once.
+    """
     keys = [*by, "horizon_ns"]
+    stored = settle(outcomes.select(*keys, "ret_bps", "mfe_bps", "mae_bps"), "outcomes")
     table = grouped_quantiles(
-        outcomes, keys, "ret_bps", {"median_bps": 0.5}, extra=[
+        stored, keys, "ret_bps", {"median_bps": 0.5}, extra=[
             F.count(F.lit(1)).alias("n_events"),
             F.avg("ret_bps").alias("mean_bps"),
             F.avg((F.col("ret_bps") > 0).cast("double")).alias("hit_rate"),

@@ -18,6 +18,7 @@ from barlake.operators.quantiles import grouped_quantiles
 from barlake.operators.series import (
     BLOCK_ROWS, core_rows, in_blocks, running, with_row_index)
 from barlake.schemas import NS_DAY
+from barlake.session import settle
 
 
 def zscore_in(df: DataFrame, w: W, window: int, value: str = "close", out: str = "z") -> DataFrame:
@@ -141,7 +142,7 @@ def vol_regime(bars: DataFrame, window: int, out: str = "regime",
 
     Bars without a defined volatility keep the last label; before any, ``low``.
     """
-    vols = realized_vol(bars, window, out="_vol", block_rows=block_rows, width=width)
+    vols = settle(realized_vol(bars, window, out="_vol", block_rows=block_rows, width=width))
     medians = grouped_quantiles(vols, ["symbol"], "_vol", {"_median": 0.5}).drop("n")
     label = F.when(F.col("_vol") > F.col("_median"), "high").when(
         F.col("_vol").isNotNull(), "low")

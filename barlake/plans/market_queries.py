@@ -9,11 +9,21 @@ from barlake.operators.asof import asof_join
 from barlake.plans import views as v
 from barlake.plans.registry import query
 from barlake.plans.views import D, H
+from barlake.session import settle
 
 OHLCV = "open high low close volume quote_volume taker_buy_volume taker_buy_quote_volume"
 WIDE = 16 * D  # slices for hourly bars
 
 
+def hourly(spark, sf):
+    """Hourly bars as the stored table that studies read."""
+    return settle(v.bars_1h(spark, sf), "bars")
+
+
+def quarter_hourly(spark, sf):
+    return settle(v.bars_15m(spark, sf), "bars")
+
+
 @query("a1_bars_from_trades", "SELECT * FROM bars_1h", "symbol ts_ns n_trades", OHLCV)
 def _(spark, sf):
     return v.bars_1h(spark, sf)
@@ -31,14 +41,14 @@ def _(spark, sf):
        src="""SELECT symbol, min(d) FILTER (d > 0) AS interval_ns FROM (SELECT symbol,
        ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns) AS d FROM bars_1h) GROUP BY 1""")
 def _(spark, sf):
-    return bars.resample_bars(v.bars_1h(spark, sf), 4 * H, width=WIDE)
+    return bars.resample_bars(hourly(spark, sf), 4 * H, width=WIDE)
 
 
 @query("a3_source_interval", """SELECT symbol, min(d) FILTER (d > 0) AS interval_ns FROM (
     SELECT symbol, ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns) AS d
     FROM bars_1h) GROUP BY 1""", "symbol interval_ns")
 def _(spark, sf):
-    return bars.source_interval(v.bars_1h(spark, sf), width=WIDE)
+    return bars.source_interval(hourly(spark, sf), width=WIDE)
 
 
 @query("a7_last_per_bucket", f"""SELECT symbol, ts_ns - ts_ns % {H} AS ts_ns,
@@ -62,7 +72,7 @@ def _(spark, sf):
        SELECT n.symbol, n.ts_ns, n.rn, n.close * (2.0::DOUBLE / 21) + (1 - 2.0::DOUBLE / 21) * e.ema
        FROM ema_rows e JOIN numbered n ON n.symbol = e.symbol AND n.rn = e.rn + 1""")
 def _(spark, sf):
-    return features.ema(v.bars_1h(spark, sf), 20, block_rows=256, width=WIDE)
+    return features.ema(hourly(spark, sf), 20, block_rows=256, width=WIDE)
 
 
 Z_SQL = """SELECT symbol, ts_ns, close, CASE WHEN n = 24 AND sd > 0 THEN (close - m) / sd END AS z
@@ -73,7 +83,7 @@ Z_SQL = """SELECT symbol, ts_ns, close, CASE WHEN n = 24 AND sd > 0 THEN (close
 
 @query("w2_zscore", "SELECT * FROM zs", "symbol ts_ns", "z", zs=Z_SQL)
 def _(spark, sf):
-    return features.zscore(v.bars_1h(spark, sf), 24, width=WIDE)
+    return features.zscore(hourly(spark, sf), 24, width=WIDE)
 
 
 @query("w3_session_vwap", f"""SELECT symbol, ts_ns, CASE WHEN vol <> 0 THEN pv / vol END AS vwap
@@ -81,7 +91,7 @@ def _(spark, sf):
     FROM bars_1h WINDOW w AS (PARTITION BY symbol, ts_ns // {D} ORDER BY ts_ns
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", "symbol ts_ns", "vwap")
 def _(spark, sf):
-    return features.session_vwap(v.bars_1h(spark, sf))
+    return features.session_vwap(hourly(spark, sf))
 
 
 VOL_SQL = """SELECT symbol, ts_ns, close, CASE WHEN count(r) OVER w = 24
@@ -92,7 +102,7 @@ VOL_SQL = """SELECT symbol, ts_ns, close, CASE WHEN count(r) OVER w = 24
 
 @query("w4_realized_vol", "SELECT * FROM vols", "symbol ts_ns", "vol", vols=VOL_SQL)
 def _(spark, sf):
-    return features.realized_vol(v.bars_1h(spark, sf), 24, width=WIDE)
+    return features.realized_vol(hourly(spark, sf), 24, width=WIDE)
 
 
 FLOW_SQL = """SELECT symbol, ts_ns, CASE WHEN n = 12 AND vol <> 0 THEN 2.0::DOUBLE * buy / vol - 1
@@ -103,7 +113,7 @@ FLOW_SQL = """SELECT symbol, ts_ns, CASE WHEN n = 12 AND vol <> 0 THEN 2.0::DOUB
 
 @query("w5_flow_imbalance", "SELECT * FROM flows", "symbol ts_ns", "flow", flows=FLOW_SQL)
 def _(spark, sf):
-    return features.flow_imbalance(v.bars_1h(spark, sf), 12, width=WIDE)
+    return features.flow_imbalance(hourly(spark, sf), 12, width=WIDE)
 
 
 @query("w16_vol_regime", """SELECT symbol, ts_ns, coalesce(last_value(l IGNORE NULLS) OVER (
@@ -112,14 +122,14 @@ def _(spark, sf):
     FROM vols JOIN (SELECT symbol, median(vol) AS m FROM vols GROUP BY 1) USING (symbol))""",
        "symbol ts_ns regime", vols=VOL_SQL)
 def _(spark, sf):
-    return features.vol_regime(v.bars_1h(spark, sf), 24, width=WIDE)
+    return features.vol_regime(hourly(spark, sf), 24, width=WIDE)
 
 
 @query("a8_return_volatility", """SELECT symbol, coalesce(stddev_pop(r), 0) * 1e4 AS vol_bps FROM (
     SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts_ns) - 1 AS r
     FROM bars_1h) GROUP BY 1""", "symbol", "vol_bps")
 def _(spark, sf):
-    return features.return_volatility(v.bars_1h(spark, sf), width=WIDE)
+    return features.return_volatility(hourly(spark, sf), width=WIDE)
 
 
 # -- signals ------------------------------------------------------------------------------
@@ -142,30 +152,30 @@ FLOWSIG_SQL = crossing_sql("flows", "flow", 0.3, "sell", "buy", "flow")
 EVENTS = "symbol signal ts_ns direction"
 
 
-def meanrev(spark, sf):
-    return signals.meanrev(v.bars_1h(spark, sf), 24, 1.5, width=WIDE)
+def meanrev(bars_1h):
+    return signals.meanrev(bars_1h, 24, 1.5, width=WIDE)
 
 
 @query("w6_w7_meanrev_signal", MEANREV_SQL, EVENTS, zs=Z_SQL)
 def _(spark, sf):
-    return meanrev(spark, sf)
+    return meanrev(hourly(spark, sf))
 
 
 @query("w8_breakout_signal", BREAKOUT_SQL, EVENTS)
 def _(spark, sf):
-    return signals.breakout(v.bars_1h(spark, sf), 12, 1.5, width=WIDE)
+    return signals.breakout(hourly(spark, sf), 12, 1.5, width=WIDE)
 
 
 @query("w9_flow_signal", FLOWSIG_SQL, EVENTS, flows=FLOW_SQL)
 def _(spark, sf):
-    return signals.flow(v.bars_1h(spark, sf), 12, 0.3, width=WIDE)
+    return signals.flow(hourly(spark, sf), 12, 0.3, width=WIDE)
 
 
 @query("w10_momentum_signal", crossing_sql("moms", "r", 0.02, "sell", "buy", "momentum"), EVENTS,
        moms="""SELECT symbol, ts_ns, close / lag(close, 24) OVER (PARTITION BY symbol
        ORDER BY ts_ns) - 1 AS r FROM bars_1h""")
 def _(spark, sf):
-    return signals.momentum(v.bars_1h(spark, sf), 24, 0.02, width=WIDE)
+    return signals.momentum(hourly(spark, sf), 24, 0.02, width=WIDE)
 
 
 @query("w11_basis_signal", crossing_sql("bz", "z", 1.5, "buy", "sell", "basis"), EVENTS,
@@ -197,11 +207,11 @@ def _(spark, sf):
 @query("f1_scan_signals", f"""{MEANREV_SQL} UNION ALL {BREAKOUT_SQL} UNION ALL {FLOWSIG_SQL}""",
        EVENTS, zs=Z_SQL, flows=FLOW_SQL)
 def _(spark, sf):
-    return scan_events(spark, sf)
+    return scan_events(hourly(spark, sf))
 
 
-def scan_events(spark, sf):
-    return signals.scan_signals(v.bars_1h(spark, sf), 12, 1.5, 24, 1.5, 12, 0.3, width=WIDE)
+def scan_events(bars_1h):
+    return signals.scan_signals(bars_1h, 12, 1.5, 24, 1.5, 12, 0.3, width=WIDE)
 
 
 # -- event outcomes -----------------------------------------------------------------------
@@ -239,7 +249,8 @@ STATS = "mean_bps median_bps hit_rate mfe_bps mae_bps"
 @query("j1_j2_w12_outcomes", outcome_sql("SELECT * FROM evs"),
        "symbol ts_ns direction horizon_ns", "ret_bps mfe_bps mae_bps", evs=MEANREV_SQL, zs=Z_SQL)
 def _(spark, sf):
-    return edge.forward_outcomes(meanrev(spark, sf), v.bars_1h(spark, sf), HORIZONS)
+    b = hourly(spark, sf)
+    return edge.forward_outcomes(meanrev(b), b, HORIZONS)
 
 
 @query("j1_asof_ticks_to_bars", f"""SELECT t.symbol, t.ts_ns, t.agg_id, b.ts_ns AS bar_ts,
@@ -256,21 +267,14 @@ def _(spark, sf):
     {outcome_sql("SELECT * FROM evs")}) GROUP BY 1, 2""",
        "symbol horizon_ns n_events n_defined", STATS, evs=MEANREV_SQL, zs=Z_SQL)
 def edge_by_symbol(spark, sf):
-    out = edge.forward_outcomes(meanrev(spark, sf), v.bars_1h(spark, sf), HORIZONS)
-    return edge.edge_table(out, ["symbol"])
+    b = hourly(spark, sf)
+    return edge.edge_table(edge.forward_outcomes(meanrev(b), b, HORIZONS), ["symbol"])
 
 
 COSTS = {"maker_maker": 4.0, "maker_taker": 7.0, "taker_taker": 10.0}
 COST_SQL = ", ".join(f"('{k}', {c}::DOUBLE)" for k, c in COSTS.items())
 
 
-def _study(fn):
-    def run(spark, sf):
-        out = edge.forward_outcomes(fn(spark, sf), v.bars_1h(spark, sf), HORIZONS)
-        return edge.edge_table(out, ["signal"], COSTS)
-    return run
-
-
 @query("m1_edge_study", f"""SELECT *, mean_bps - round_trip_bps AS edge_bps FROM (
     SELECT signal, horizon_ns, {TABLE_COLS} FROM ({outcome_sql("SELECT * FROM evs")})
     GROUP BY 1, 2) CROSS JOIN (VALUES {COST_SQL}) c(cost, round_trip_bps)""",
@@ -278,7 +282,8 @@ def _study(fn):
        evs=f"{MEANREV_SQL} UNION ALL {BREAKOUT_SQL} UNION ALL {FLOWSIG_SQL}",
        zs=Z_SQL, flows=FLOW_SQL)
 def _(spark, sf):
-    return _study(scan_events)(spark, sf)
+    b = hourly(spark, sf)
+    return edge.edge_table(edge.forward_outcomes(scan_events(b), b, HORIZONS), ["signal"], COSTS)
 
 
 @query("a11_edge_by_session", f"""SELECT CASE WHEN ts_ns // {H} % 24 < 8 THEN '0-8'
@@ -286,8 +291,8 @@ def _(spark, sf):
     FROM ({outcome_sql("SELECT * FROM evs")}) GROUP BY 1, 2""",
        "label horizon_ns n_events n_defined", STATS, evs=MEANREV_SQL, zs=Z_SQL)
 def _(spark, sf):
-    return edge.edge_by_label(meanrev(spark, sf), v.bars_1h(spark, sf), HORIZONS,
-                              edge.session_label())
+    b = hourly(spark, sf)
+    return edge.edge_by_label(meanrev(b), b, HORIZONS, edge.session_label())
 
 
 @query("p13_session_label", f"""SELECT symbol, agg_id, CASE WHEN ts_ns // {H} % 24 < 8 THEN '0-8'
@@ -302,7 +307,7 @@ def _(spark, sf):
     {outcome_sql("SELECT symbol, ts_ns, 'buy' AS direction FROM bars_1h", horizons=[2 * H])})
     GROUP BY 1""", "symbol n_defined", "mean_bps")
 def _(spark, sf):
-    return edge.every_bar_edge(v.bars_1h(spark, sf), 2 * H)
+    return edge.every_bar_edge(hourly(spark, sf), 2 * H)
 
 
 ASSET_EDGE_SQL = """SELECT symbol, score_bps, score_bps - 4 AS edge_net_bps, best_signal,
@@ -319,7 +324,8 @@ SCAN_CTES = {
 
 
 def asset_edges(spark, sf):
-    return edge.asset_edge(scan_events(spark, sf), v.bars_1h(spark, sf), 2 * H)
+    b = hourly(spark, sf)
+    return edge.asset_edge(scan_events(b), b, 2 * H)
 
 
 @query("a12_asset_edge", ASSET_EDGE_SQL, "symbol best_signal n_events few_events",
@@ -363,7 +369,7 @@ METRIC_COLS = ("vol_bps_1m vol_bps_1h quote_volume_daily n_trades_daily breakout
 
 
 def metrics(spark, sf):
-    return assets.asset_metrics(v.bars_15m(spark, sf), v.funding(spark, sf), 1000.0, width=4 * D)
+    return assets.asset_metrics(quarter_hourly(spark, sf), v.funding(spark, sf), 1000.0, width=4 * D)
 
 
 @query("a9_asset_metrics", METRICS_SQL, "symbol n_bars dead", METRIC_COLS)
@@ -405,7 +411,7 @@ SWEEP_GRID = ", ".join(f"({w}, {z}::DOUBLE)" for w in SWEEP_W for z in SWEEP_Z)
     USING (w, z))""", 'width entry_z n_events few_events rank', "score_bps",
        evs=_sweep_events(), outs=outcome_sql("SELECT * FROM evs", horizons=[2 * H]))
 def _(spark, sf):
-    b = v.bars_1h(spark, sf)
+    b = hourly(spark, sf)
     events = signals.meanrev_grid(b, SWEEP_W, SWEEP_Z, width=WIDE)
     grid = spark.createDataFrame([(w, z) for w in SWEEP_W for z in SWEEP_Z],
                                  "width int, entry_z double")
