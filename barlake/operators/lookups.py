@@ -77,7 +77,7 @@ def alignment(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     a = left.select(*keys, F.lit(1).alias("_l"))
     b = right.select(*keys, F.lit(1).alias("_r"))
     return a.join(b, list(keys), "full_outer").agg(
-        F.count(F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), 1)).alias("both"),
+        F.count(F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), 1)).alias("matched"),
         F.count(F.when(F.col("_r").isNull(), 1)).alias("left_only"),
         F.count(F.when(F.col("_l").isNull(), 1)).alias("right_only"))
 

@@ -26,7 +26,7 @@ def _cell(v: object) -> object:
     if isinstance(v, float):
         return round(v, 6) + 0.0
     if hasattr(v, "isoformat"):
-        return v.isoformat()[:19]
+        return v.isoformat()[:19].removesuffix("T00:00:00")
     return v
 
 
@@ -39,6 +39,10 @@ def rows_of(pdf: pd.DataFrame) -> list[tuple]:
 def differences(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> list[str]:
     if sorted(spark_pdf.columns) != sorted(duck_pdf.columns):
         return [f"columns {sorted(spark_pdf.columns)} != {sorted(duck_pdf.columns)}"]
+    kinds = [c for c in spark_pdf.columns
+             if {spark_pdf[c].dtype.kind, duck_pdf[c].dtype.kind} in ({"i", "f"}, {"u", "f"})]
+    if kinds:
+        return [f"integer against float in {kinds}"]
     a, b = rows_of(spark_pdf), rows_of(duck_pdf)
     out = [] if len(a) == len(b) else [f"rows {len(a)} != {len(b)}"]
     out += [f"{x} != {y}" for x, y in zip(a, b, strict=False) if x != y][:3]

@@ -253,14 +253,15 @@ def _(spark, sf):
     return edge.forward_outcomes(meanrev(b), b, HORIZONS)
 
 
-@query("j1_asof_ticks_to_bars", f"""SELECT t.symbol, t.ts_ns, t.agg_id, b.ts_ns AS bar_ts,
+@query("j1_asof_ticks_to_bars", f"""SELECT t.symbol, t.ts_ns, t.agg_id, coalesce(b.ts_ns, -1) AS bar_ts,
     b.close AS bar_close FROM ticks t ASOF LEFT JOIN bars_1h b ON t.symbol = b.symbol
     AND t.ts_ns - {H} >= b.ts_ns""", "symbol ts_ns agg_id bar_ts", "bar_close")
 def _(spark, sf):
     t = v.ticks(spark, sf).withColumn("_at", F.col("ts_ns") - H)
     b = v.bars_1h(spark, sf).withColumnRenamed("ts_ns", "ts")
     return asof_join(t, b, left_ts="_at", right_ts="ts", values=["ts", "close"],
-                     prefix="bar_").drop("_at")
+                     prefix="bar_").withColumn(
+        "bar_ts", F.coalesce("bar_ts", F.lit(-1)))
 
 
 @query("a10_edge_table", f"""SELECT symbol, horizon_ns, {TABLE_COLS} FROM (

@@ -52,4 +52,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from barlake.plans import (  # noqa: F401
         market_queries,
+        study_queries,
+        table_queries,
     )
