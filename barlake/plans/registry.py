@@ -52,6 +52,8 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from barlake.plans import (  # noqa: F401
         market_queries,
+        run_queries,
         study_queries,
         table_queries,
+        tca_queries,
     )

@@ -37,10 +37,11 @@ CELL_SQL = ", ".join(f"({a}, {h})" for a, h in CELLS)
 CS = {
     "med": MED, "liq": LIQUID,
     "ix": "SELECT *, dense_rank() OVER (ORDER BY ts_ns) AS t FROM liq",
-    "rets": f"""SELECT d.symbol, d.ts_ns, lookback, horizon, d.close / p.close - 1 AS past,
-      f.close / d.close - 1 AS forward FROM (VALUES {CELL_SQL}) c(lookback, horizon)
-      CROSS JOIN ix d JOIN ix p ON p.symbol = d.symbol AND p.t = d.t - lookback
-      JOIN ix f ON f.symbol = d.symbol AND f.t = d.t + horizon""",
+    "want": f"""SELECT symbol, ts_ns, close, lookback, horizon, t - lookback AS tp, t + horizon AS tf
+      FROM ix CROSS JOIN (VALUES {CELL_SQL}) c(lookback, horizon)""",
+    "rets": """SELECT d.symbol, d.ts_ns, lookback, horizon, d.close / p.close - 1 AS past,
+      f.close / d.close - 1 AS forward FROM want d JOIN ix p ON p.symbol = d.symbol AND p.t = d.tp
+      JOIN ix f ON f.symbol = d.symbol AND f.t = d.tf""",
     "buckets": """SELECT ts_ns, lookback, horizon, avg(forward) FILTER (n - up < k) * 1e4 AS top_bps,
       avg(forward) FILTER (up <= k) * 1e4 AS bottom_bps,
       avg(forward) FILTER (n - up < kf) * 1e4 AS top_fraction_bps, avg(forward) * 1e4
@@ -240,8 +241,8 @@ def _(spark, sf):
 # -- cash and carry -----------------------------------------------------------------------
 
 CARRY = [
-    models.CarryCell("week", 7, 3e-4, -3e-4, 0.0, -2e-3, 10.0, 5.0),
-    models.CarryCell("month", 30, 1e-3, -1e-3, -5e-4, -2e-3, 10.0, 5.0),
+    models.CarryCell("week", 7, 3.3e-4, -3.3e-4, -1e-4, -2.2e-3, 10.0, 5.0),
+    models.CarryCell("month", 30, 1.03e-3, -1.03e-3, -6e-4, -2.2e-3, 10.0, 5.0),
     models.CarryCell("always", 7, 0.0, 0.0, 0.0, 0.0, 10.0, 5.0, "always"),
 ]
 

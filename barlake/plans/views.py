@@ -237,4 +237,8 @@ def sql(body: str, **ctes: str) -> str:
     visit(body)
     if not order:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" + body
+    def cte(name: str) -> str:
+        own = re.search(rf"\bFROM {name}\b", known[name])  # a recursive one
+        return f"{name} AS {'' if own else 'MATERIALIZED '}({known[name]})"
+
+    return "WITH RECURSIVE " + ",\n".join(map(cte, order)) + "\n" + body
