@@ -53,6 +53,7 @@ def load_all() -> None:
     from barlake.plans import (  # noqa: F401
         market_queries,
         run_queries,
+        source_queries,
         study_queries,
         table_queries,
         tca_queries,
