@@ -20,6 +20,13 @@ def mean_of_daily_sums(bars: DataFrame, *columns: str) -> DataFrame:
     return per_day.groupBy("symbol").agg(*[F.avg(c).alias(f"{c}_daily") for c in columns])
 
 
+def split_scannable(bars: DataFrame, min_bars: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Bars of symbols with enough of them, and the (symbol, n_bars) list of the others."""
+    sizes = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    skipped = sizes.where(F.col("n_bars") < min_bars)
+    return bars.join(skipped, "symbol", "left_anti"), skipped
+
+
 def asset_metrics(
     bars: DataFrame,
     funding: DataFrame | None = None,

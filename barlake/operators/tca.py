@@ -14,6 +14,7 @@ from barlake.functions.scalars import hashed_draw, slipped
 from barlake.operators.asof import asof_join
 from barlake.operators.series import SLICE, running, slice_of, with_slice
 from barlake.schemas import NS_DAY, NS_HOUR
+from barlake.session import settle
 
 
 def arrival(orders: DataFrame, latency_ns: int, jitter_ns: int = 0, seed: int = 0) -> DataFrame:
@@ -55,6 +56,7 @@ def market_fills(orders: DataFrame, tape: DataFrame, width: int = NS_DAY,
                        (F.col("price") * F.col("qty")).alias("_n"))
     flow = running(flow, {"_q": ("sum", F.col("qty")), "_cost": ("sum", F.col("_n"))}, keys,
                    width=width, tie=["agg_id"])
+    flow = settle(flow.select(*keys, "ts_ns", "agg_id", "price", "_q", "_cost"), "prefix")
     before = flow.select(*keys, "ts_ns", "agg_id", "_q", "_cost")
     start = asof_join(orders, before, keys, left_ts="arrive_ns", values=["_q", "_cost"], prefix="a",
                       width=width, tie=["agg_id"], strict=True)
@@ -145,7 +147,7 @@ def first_touch(orders: DataFrame, tape: DataFrame, limit: str, down: Column,
             lambda asks, trades: search(trades, asks) if len(asks) else
             pd.DataFrame(columns=names), schema)
 
-    own = locate(o)
+    own = settle(locate(o), "touch")  # one row per order, read by three branches
     hit = F.col("hit_ts_ns").isNotNull()
     # For the rest, the first later slice whose extreme passes the limit.
     lim = F.col(limit)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from barlake.operators.asof import asof_join
 from barlake.operators.series import BLOCK_ROWS, core_rows, in_blocks, running, with_row_index
 from barlake.schemas import NS_DAY
+from barlake.session import settle
 
 FLAT = 1e-9  # positions this close to zero are flat: sums of floats rarely hit it exactly
 
@@ -38,7 +39,8 @@ def round_trips(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int
     ``funding``: payments (keys, ts_ns, paid), booked to the trip open at their time.
     """
     keys = list(keys)
-    pos = positions(fills, keys, width)
+    # Three scans follow one another; storing the first keeps them from repeating each other.
+    pos = settle(positions(fills, keys, width), "positions")
     slip = F.col("slippage_cost") if "slippage_cost" in fills.columns else F.lit(0.0)
     rows = running(pos.withColumn("_slip", slip), {
         "_was": ("prev", F.col("position"))}, keys, width=width, tie=["order_id"])

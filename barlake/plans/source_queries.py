@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from barlake.plans import views as v
@@ -62,6 +66,30 @@ def _(spark, sf):
     return archives.parse_funding(_with_noise(lines, ",".join(archives.FUNDING_COLUMNS)))[0]
 
 
+@query("s4_zipped_trades", "SELECT agg_id, ts_ns, price, qty, buyer_is_maker FROM ticks",
+       "agg_id ts_ns buyer_is_maker", "price qty")
+def _(spark, sf):
+    us = F.call_function("div", F.col("ts_ns"), F.lit(1000))
+    line = _csv("agg_id", "price", "qty", F.lit(0), F.lit(0), us, "buyer_is_maker")
+    hour = F.call_function("div", F.col("ts_ns"), F.lit(H))
+    # One archive per symbol and hour, the way a venue publishes them.
+    files = v.ticks(spark, sf).groupBy("symbol", hour.alias("h")).agg(
+        F.concat_ws("\n", F.collect_list(line)).alias("text"))
+
+    def pack(batches):
+        for pdf in batches:
+            rows = []
+            for symbol, h, text in zip(pdf["symbol"], pdf["h"], pdf["text"], strict=True):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("trades.csv", text)
+                rows.append((f"{symbol}-{h}.zip", buffer.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    packed = files.mapInPandas(pack, "path string, content binary")
+    return archives.parse_trades(archives.zipped_lines(packed))[0]
+
+
 FEB = (1704844800 * 10**9, 1705622400 * 10**9)  # 2024-01-10, 2024-01-19
 
 
