@@ -179,3 +179,16 @@ def scan_signals(
 
 # Order in which signals win a tie of scores.
 SCAN_ORDER = ("breakout", "meanrev", "flow")
+
+
+def breakout_levels(bars: DataFrame, lookback: int, volume_factor: float,
+                    block_rows: int = BLOCK_ROWS, width: int = NS_DAY) -> DataFrame:
+    """Breakout events with the edge of the range they left (``level``)."""
+    narrow = bars.select("symbol", "ts_ns", "high", "low", "close", "volume")
+    blocks, w = in_blocks(narrow, before=lookback, block_rows=block_rows, width=width)
+    f = w.rowsBetween(-lookback, -1)
+    rows = breakout_side(blocks, w, lookback, volume_factor).withColumns({
+        "_top": F.max("high").over(f), "_low": F.min("low").over(f)})
+    hits = rows.where(F.col("_side").isNotNull() & F.col(CORE))
+    return hits.select("symbol", "ts_ns", F.col("_side").alias("direction"), F.when(
+        F.col("_side") == "buy", F.col("_top")).otherwise(F.col("_low")).alias("level"))

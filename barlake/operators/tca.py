@@ -142,8 +142,14 @@ def first_touch(orders: DataFrame, tape: DataFrame, limit: str, down: Column,
             out[f.name] = col.where(found, None)
         return out[names]
 
+    # Own names for the tape's keys: orders may derive from the same table as the tape.
+    keyed = t.select(F.col("symbol").alias("_tape_symbol"), F.col(SLICE).alias("_tape_slice"),
+                     *[F.col(c).alias(c) for c in need if c != "symbol"])
+
     def locate(left: DataFrame) -> DataFrame:
-        return left.groupBy("symbol", SLICE).cogroup(t.groupBy("symbol", SLICE)).applyInPandas(
+        asked = left.groupBy("symbol", SLICE)
+        traded = keyed.groupBy("_tape_symbol", "_tape_slice")
+        return asked.cogroup(traded).applyInPandas(
             lambda asks, trades: search(trades, asks) if len(asks) else
             pd.DataFrame(columns=names), schema)
 

@@ -307,6 +307,44 @@ def fixed_hold_trades(events: DataFrame, bars: DataFrame, hold_bars: int, interv
                   slippage_bps, taker_bps)
 
 
+def range_exit_trades(events: DataFrame, bars: DataFrame, max_hold_bars: int, interval_ns: int,
+                      slippage_bps: float, taker_bps: float, width: int = NS_DAY,
+                      max_gap: int = 64) -> DataFrame:
+    """Breakout trades that leave once a close is back inside the entry range.
+
+    ``events``: symbol, ts_ns, direction, level. Entry at the next bar's open; the exit is
+    decided by the first later close back across the level, at the latest ``max_hold_bars``
+    bars after the event, and fills at the open after it. One position at a time.
+    """
+    from barlake.operators.tca import first_touch
+
+    blocks, w = in_blocks(bars.select("symbol", "ts_ns", "open"), 0, max_hold_bars + 1,
+                          width=width)
+    looked = settle(core_rows(blocks.withColumns({
+        "next_ts": F.lead("ts_ns", 1).over(w), "next_open": F.lead("open", 1).over(w),
+        "_cap": F.lead("ts_ns", max_hold_bars).over(w)})).drop("open"), "next_bars")
+    asks = events.withColumn("arrive_ns", F.col("ts_ns") + 1)
+    touched = first_touch(asks.withColumnRenamed("ts_ns", "event_ts"), bars.select(
+        "symbol", "ts_ns", "close"), "level", F.col("direction") == "buy", True, "close", "close",
+        values=[], width=width)
+    entered = touched.join(looked.withColumnRenamed("ts_ns", "event_ts"), ["symbol", "event_ts"])
+    decided = entered.select(
+        "symbol", F.col("event_ts").alias("ts_ns"), "direction", F.col("next_ts").alias("entry_ts"),
+        F.col("next_open").alias("entry_open"), F.least("hit_ts_ns", "_cap").alias("_decided"))
+    after = looked.select("symbol", F.col("ts_ns").alias("_decided"),
+                          F.col("next_ts").alias("exit_ts"), F.col("next_open").alias("exit_open"))
+    found = decided.join(after, ["symbol", "_decided"]).drop("_decided").where(
+        F.col("exit_ts").isNotNull())
+    longest = (max_hold_bars + max_gap) * interval_ns
+    too_long = F.raise_error(F.lit("trade spans more than max_gap missing bars")).cast("bigint")
+    found = found.withColumns({
+        "direction": F.when(F.col("direction") == "buy", 1).otherwise(-1),
+        "exit_ts": F.when(F.col("exit_ts") - F.col("ts_ns") <= longest, F.col("exit_ts"))
+        .otherwise(too_long)})
+    return priced(non_overlapping(found, longest, ("symbol",), "ts_ns", "exit_ts"),
+                  slippage_bps, taker_bps)
+
+
 # -- folds, stress, sweeps ----------------------------------------------------------------
 
 def assign_folds(bars: DataFrame, train: int, test: int, keys: Sequence[str] = ("symbol",),

@@ -352,6 +352,31 @@ def _(spark, sf):
     return trades.fixed_hold_trades(events, b, 6, H, 1.0, 5.0, width=mq.WIDE, max_gap=720)
 
 
+@query("m11_range_exit_trades", """SELECT c.symbol, c.ts_ns, c.exit_ts, c.entry_open, c.exit_open
+    FROM chosen JOIN c ON c.symbol = chosen.symbol AND c.i = chosen.i""", "symbol ts_ns exit_ts",
+       "entry_open exit_open",
+       nb="""SELECT symbol, ts_ns, open, high, low, close, volume, row_number() OVER w AS rn,
+       lead(ts_ns) OVER w AS nts, lead(open) OVER w AS nopen, max(high) OVER f AS top, min(low) OVER f
+       AS bot, CASE WHEN count(*) OVER f = 12 AND volume > 1.5 * avg(volume) OVER f THEN
+       CASE WHEN close > max(high) OVER f THEN 1 WHEN close < min(low) OVER f THEN -1 END END AS d
+       FROM bars_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns), f AS (PARTITION BY symbol
+       ORDER BY ts_ns ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)""",
+       ex="""SELECT e.symbol, e.rn, e.ts_ns, e.nopen AS entry_open, min(x.rn) AS xrn FROM nb e JOIN nb x
+       ON x.symbol = e.symbol AND x.rn > e.rn AND (x.rn = e.rn + 8 OR CASE WHEN e.d = 1 THEN
+       x.close < e.top ELSE x.close > e.bot END) WHERE e.d IS NOT NULL GROUP BY ALL""",
+       c="""SELECT ex.symbol, ex.ts_ns, ex.entry_open, b.nts AS exit_ts, b.nopen AS exit_open,
+       row_number() OVER (PARTITION BY ex.symbol ORDER BY ex.ts_ns) AS i FROM ex JOIN nb b
+       ON b.symbol = ex.symbol AND b.rn = xrn WHERE b.nts IS NOT NULL""",
+       nxt="""SELECT a.symbol, a.i, min(b.i) AS j FROM c a LEFT JOIN c b ON a.symbol = b.symbol
+       AND b.ts_ns >= a.exit_ts GROUP BY 1, 2""",
+       chosen="""SELECT symbol, 1::BIGINT AS i FROM c WHERE i = 1 UNION ALL SELECT n.symbol, n.j
+       FROM chosen c JOIN nxt n ON n.symbol = c.symbol AND n.i = c.i WHERE n.j IS NOT NULL""")
+def _(spark, sf):
+    b = mq.hourly(spark, sf)
+    events = signals.breakout_levels(b, 12, 1.5, width=mq.WIDE)
+    return trades.range_exit_trades(events, b, 8, H, 1.0, 5.0, width=mq.WIDE, max_gap=720)
+
+
 STRESS_SQL = ", ".join(f"('{n}', {f}::DOUBLE, {s}::DOUBLE)" for n, (f, s) in trades.STRESS.items())
 
 
