@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlake.operators import crosssection as cs
-from barlake.operators import flows, lookups, models, performance, resampling, trades, verdicts
+from barlake.operators import flows, lookups, models, performance, resampling
 from barlake.operators.quality import rank_in_day
 from barlake.plans import table_queries as tq
 from barlake.plans import views as v
 from barlake.plans.registry import query
-from barlake.plans.views import D, H
+from barlake.plans.views import D
 from barlake.session import settle
 
 # -- cross-section ------------------------------------------------------------------------
