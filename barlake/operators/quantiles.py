@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BINS = 256
+
 
 def grouped_quantiles(
     df: DataFrame,
@@ -57,16 +59,26 @@ def grouped_quantiles(
     on = keys if keys else None
     pairs = rows.join(brackets, on) if on else rows.crossJoin(F.broadcast(brackets))
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    span = F.col("_hi") - F.col("_lo")
+    step = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * BINS)).otherwise(0)
     counted = (
         pairs.where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_name", "_rank", inside.alias("_x"))
+        .groupBy(*keys, "_name", "_rank", inside.alias("_x"),
+                 F.when(F.col("_v") >= F.col("_lo"), step).otherwise(-1).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = W.partitionBy(*keys, "_name").orderBy(F.col("_x").asc_nulls_first())
-    ranked = counted.withColumn(
-        "_end", F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0)))
-    start, end, k = F.col("_end") - F.col("_c"), F.col("_end"), F.floor("_rank")
-    k2 = F.ceil("_rank")
+    # A bracket is cut into bins; only the one or two bins that hold the rank are sorted.
+    k, k2 = F.floor("_rank"), F.ceil("_rank")
+    cell = [*keys, "_name", "_bin"]
+    bins = counted.groupBy(*cell, "_rank").agg(F.sum("_c").alias("_m")).withColumn(
+        "_off", F.coalesce(F.sum("_m").over(W.partitionBy(*keys, "_name").orderBy("_bin")
+                                            .rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    first, last = F.col("_off"), F.col("_off") + F.col("_m")
+    holds = ((first <= k) & (k < last)) | ((first <= k2) & (k2 < last))
+    upto = W.partitionBy(*cell).orderBy(F.col("_x").asc_nulls_first())
+    ranked = counted.join(bins.where(holds).select(*cell, "_off"), cell).withColumn(
+        "_end", F.col("_off") + F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0)))
+    start, end = F.col("_end") - F.col("_c"), F.col("_end")
     low = F.max(F.when((start <= k) & (k < end), F.col("_x")))
     high = F.max(F.when((start <= k2) & (k2 < end), F.col("_x")))
     frac = F.first("_rank") - F.floor(F.first("_rank"))
@@ -80,4 +92,7 @@ def grouped_quantiles(
         sizes = sketch.select(*keys, "n")
     else:
         sizes = sketch.select(*keys, "n", "_x.*").drop("_none")
-    return sizes.join(wide, keys, "left") if keys else sizes.join(F.broadcast(wide))
+    out = sizes.join(wide, keys, "left") if keys else sizes.crossJoin(F.broadcast(wide))
+    some = F.col("n") > 0
+    return out.withColumns({name: F.when(some & F.col(name).isNull(), missed.cast("double"))
+                            .otherwise(F.col(name)) for name in probs})
