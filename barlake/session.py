@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,17 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSes
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's checkpoint folder, readable by every executor.
+    """A new path below the folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (tests) a local temporary folder is used.
+    A session that names none gets a folder of this machine, but only with a local master,
+    where driver and executors are one process. On a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file:" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
