@@ -23,12 +23,18 @@ from barlake.session import settle
 SPACES = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 CAPITALS = "[A-ZÀ-ÖØ-Þ]"
+# Frequent short words of English, German, French and Spanish.
+FUNCTION_WORDS = ("the and of to a in is that for was it with der die das und ist von mit den "
+                  "auf le la les de et un une des que est el los las y en por con del")
+FUNCTION = f"(?<!\\S)(?:{FUNCTION_WORDS.replace(' ', '|')})(?![^\\s.,])"
+LETTERS_ONLY = "(?<!\\S)\\p{L}++[.,]?(?!\\S)"
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of words in repeated windows
 ROUNDS = 40
-# Start of the model and weight of its prior: rules are right in four of five cases.
-RIGHT, WEIGHT = 0.8, 2.0
+# Start of the model and weight of its prior: most documents are good, a rule seldom accuses a
+# good one, and each rule sees only some faults of the bad ones.
+SHARE, RIGHT_GOOD, RIGHT_BAD, WEIGHT = 0.8, 0.98, 0.3, 2.0
 
 
 def counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,6 +74,8 @@ def counts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("h")).cast("long").alias("n_distinct_words"),
         F.regexp_count("t", F.lit(CAPITALS)).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit(FUNCTION)).cast("long").alias("n_function_words"),
+        F.regexp_count("t", F.lit(LETTERS_ONLY)).cast("long").alias("n_plain_words"),
         F.regexp_count("t", F.lit("!")).cast("long").alias("n_shouts"),
         F.regexp_count("t", F.lit("[.?](?=\\s|$)")).cast("long").alias("n_stops"))
 
@@ -80,6 +88,8 @@ def base_failed() -> Column:
 # (good if, bad if) over the counts; where neither holds, or the text is short, it abstains.
 RULES = {
     "symbols": ("20 * n_symbols <= n_words", "4 * n_symbols > n_words"),
+    "plain words": ("10 * n_plain_words >= 9 * n_words", "n_words >= 30 AND 10 * n_plain_words < 6 * n_words"),
+    "function words": ("20 * n_function_words >= n_words", "n_words >= 30 AND 50 * n_function_words < n_words"),
     "repeats": ("20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
     "lines": ("n_dup_lines = 0", "2 * n_dup_lines > n_lines"),
     "capitals": ("5 * n_capitals <= word_chars", "2 * n_capitals > word_chars"),
@@ -104,14 +114,14 @@ def _log_odds(vote: str, model: str) -> str:
         WHEN 0 THEN ln(1 - {model}.good[r]) - ln({model}.bad[r]) ELSE 0D END)"""
 
 
-def _rate(weight: str, right: int) -> str:
+def _rate(weight: str, right: int, start: float) -> str:
     """For each rule, how often its votes are right, weighted by the documents' posteriors."""
     def over(condition: str) -> str:
         return f"""aggregate(sequence(0, size(p) - 1), 0D, (acc, j) -> acc +
           CASE WHEN p[j].votes[r] {condition} THEN p[j].n * {weight} ELSE 0D END)"""
 
     return f"""transform(sequence(0, {len(RULES) - 1}), r ->
-      ({WEIGHT * RIGHT}D + {over(f'= {right}')}) / ({WEIGHT}D + {over('>= 0')}))"""
+      ({WEIGHT * start}D + {over(f'= {right}')}) / ({WEIGHT}D + {over('>= 0')}))"""
 
 
 def fitted(patterns: DataFrame) -> DataFrame:
@@ -121,15 +131,15 @@ def fitted(patterns: DataFrame) -> DataFrame:
     is a round of expectation-maximisation.
     """
     step = f"""aggregate(sequence(1, {ROUNDS}),
-      named_struct('share', {RIGHT}D, 'good', array_repeat({RIGHT}D, {len(RULES)}),
-                   'bad', array_repeat({RIGHT}D, {len(RULES)})),
+      named_struct('share', {SHARE}D, 'good', array_repeat({RIGHT_GOOD}D, {len(RULES)}),
+                   'bad', array_repeat({RIGHT_BAD}D, {len(RULES)})),
       (m, round) -> element_at(transform(
         array(transform(p, x -> 1D / (1D + exp(-({_log_odds('x.votes', 'm')}))))),
         q -> named_struct(
-          'share', ({WEIGHT * RIGHT}D + aggregate(sequence(0, size(p) - 1), 0D,
+          'share', ({WEIGHT * SHARE}D + aggregate(sequence(0, size(p) - 1), 0D,
                     (acc, j) -> acc + p[j].n * q[j]))
                    / ({WEIGHT}D + aggregate(p, 0D, (acc, x) -> acc + x.n)),
-          'good', {_rate('q[j]', 1)}, 'bad', {_rate('(1D - q[j])', 0)})), 1))"""
+          'good', {_rate('q[j]', 1, RIGHT_GOOD)}, 'bad', {_rate('(1D - q[j])', 0, RIGHT_BAD)})), 1))"""
     return (patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
             .where(F.size("p") > 0).select("p", F.expr(step).alias("m"))
             .select("m", F.inline("p"))
