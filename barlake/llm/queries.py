@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import encoding, lines, packing, quality, secrets, simhash, syncmers, warc
+from barlake.llm import encoding, lines, packing, quality, secrets, simhash, syncmers, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+                           ).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compared(table(spark, sf_dir, "documents"))
