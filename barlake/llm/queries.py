@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import encoding, lines, packing, quality, secrets, simhash, syncmers, toxicity, warc
+from barlake.llm import encoding, extraction, lines, packing, quality, secrets, simhash, syncmers, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,8 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> response THEN response END AS refers_to
 FROM named"""
+
+
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
