@@ -69,15 +69,19 @@ def removed(docs: DataFrame, size: int = LINES, id: str = "doc_id",
 def deduplicate(docs: DataFrame, size: int = LINES, id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """The documents, all columns in their order, the text without repeated windows, and two
-    counts: n_worded and n_removed lines."""
+    counts: n_worded and n_removed lines (in place of columns of these names)."""
     gone = removed(docs, size, id, text).withColumnRenamed("doc_id", "_doc")
-    lines = (docs.join(gone, F.col(id).eqNullSafe(F.col("_doc")), "left").drop("_doc")
-             .withColumn("_lines", _split(F.col(text)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_id"),
+                       F.col(text).alias("_text"))
+    lines = (rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+             .withColumn("_lines", _split(F.col("_text")))
              .withColumn("_worded", _worded("_lines")))
     drop = F.transform("gone", lambda g: F.get("_worded", g))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop)
     whole = F.array_join(F.transform(kept, lambda p: F.get("_lines", p)), "\n")
-    columns = [F.when(F.col("gone").isNull(), F.col(text)).otherwise(whole).alias(text)
-               if c == text else F.col(c) for c in docs.columns]
-    return lines.select(*columns, F.size("_worded").cast("long").alias("n_worded"), F.coalesce(
-        F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    new = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(whole)
+    return lines.select(
+        *[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns
+          if c not in ("n_worded", "n_removed")],
+        F.size("_worded").cast("long").alias("n_worded"), F.coalesce(
+            F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

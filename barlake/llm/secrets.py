@@ -137,12 +137,15 @@ def redact(docs: DataFrame, rules: Rules = RULES, mark: str = "[secret]", id: st
             F.element_at(done, -1)["start"].alias("start"),
             F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(
         F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    both = docs.withColumn("_own", blob_of(F.col(text))).join(
+    both = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"),
+        blob_of(F.col(text)).alias("_own")).join(
         found, F.col("_own") == F.col("_blob"), "left").withColumn("_cuts", merged)
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cuts", lambda c: c["end"]))
-    ends = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length(text).cast(
+    ends = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length("_text").cast(
         "bigint")))
-    parts = F.zip_with(starts, ends, lambda s, e: F.substring(F.col(text), (s + 1).cast("int"),
-                                                              (e - s).cast("int")))
-    clean = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(parts, mark))
-    return both.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    parts = F.zip_with(starts, ends, lambda s, e: F.substring(
+        F.col("_text"), (s + 1).cast("int"), (e - s).cast("int")))
+    clean = F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(F.array_join(parts, mark))
+    return both.select(*[clean.alias(c) if c == text else F.col("_row")[c].alias(c)
+                         for c in docs.columns])

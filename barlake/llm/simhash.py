@@ -116,4 +116,4 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = WORDS,
     Rows with equal ids are one document; rows with a null id stay."""
     gone = components(docs, radius, words, id=id, text=text).where(
         "doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id] == gone["_gone"], "left_anti")

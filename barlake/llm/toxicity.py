@@ -285,4 +285,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id",
     if any is toxic; rows with a null id stay."""
     bad = scored(docs, labels, id, text).where("predicted = 1").select(
         F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id) == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs[id] == bad["_bad"], "left_anti")
