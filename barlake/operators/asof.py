@@ -1,8 +1,8 @@
 """As-of lookups: the last row at or before a time, per symbol.
 
-Both sides are unioned and windowed inside (symbol, time slice). The last row of each slice
-is repeated at the head of the slices that follow it up to the next one with data, so a
-lookup never leaves its slice and no symbol is sorted in one task.
+Both sides are unioned and windowed inside (symbol, time slice). Each slice that holds lookups
+gets the last row of the nearest earlier slice with data at its head, so a lookup never leaves
+its slice and no symbol is sorted in one task. Slices without lookups or data cost nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barlake.operators.series import SLICE, slice_of, with_slice
+from barlake.operators.series import SLICE, with_slice
 from barlake.schemas import NS_DAY
 
 
@@ -35,6 +35,22 @@ def slice_seeds(
     return covered.select(*keys, SLICE, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+def asked_seeds(right: DataFrame, asked: DataFrame, keys: Sequence[str], ts: str,
+                width: int | float, tie: Sequence[str] = ()) -> DataFrame:
+    """For each asked (keys, slice), the last row before that slice. Works on one row per slice
+    with data and one per asked slice."""
+    cols = [c for c in right.columns if c not in keys]
+    order = F.col(ts) if not tie else F.struct(ts, *tie)
+    last = with_slice(right, ts, width).groupBy(*keys, SLICE).agg(
+        F.max_by(F.struct(*cols), order).alias("_r"))
+    marks = last.withColumn("_asked", F.lit(False)).unionByName(
+        asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    earlier = W.partitionBy(*keys).orderBy(SLICE).rangeBetween(W.unboundedPreceding, -1)
+    seeds = marks.withColumn("_r", F.last("_r", ignorenulls=True).over(earlier)).where(
+        F.col("_asked") & F.col("_r").isNotNull())
+    return seeds.select(*keys, SLICE, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -59,24 +75,14 @@ def asof_join(
     ties = [f"_tie_{t}" for t in tie]
     probes = left.select(*keys, F.col(left_ts).alias("_ts"), F.struct("*").alias("_row"))
     side = with_slice(base, "_ts", width)
-    seeds = slice_seeds(base, keys, "_ts", width, ties)
+    placed = with_slice(probes, "_ts", width)
+    seeds = asked_seeds(base, placed.select(*keys, SLICE).distinct(), keys, "_ts", width, ties)
     tagged = side.unionByName(seeds).withColumn("_tag", F.lit(0)).unionByName(
-        with_slice(probes, "_ts", width).withColumn("_tag", F.lit(-1 if strict else 1)),
-        allowMissingColumns=True,
-    )
+        placed.withColumn("_tag", F.lit(-1 if strict else 1)), allowMissingColumns=True)
     upto = (
         W.partitionBy(*keys, SLICE).orderBy("_ts", "_tag", *ties)
         .rowsBetween(W.unboundedPreceding, 0)
     )
     found = tagged.withColumn("_found", F.last("_hit", ignorenulls=True).over(upto)).where(
         F.col("_row").isNotNull())
-    # Lookups later than all data of their symbol: its very last row, one per symbol.
-    order = F.col("_ts") if not tie else F.struct("_ts", *ties)
-    final = base.groupBy(*keys).agg(
-        F.max_by("_hit", order).alias("_final"), F.max("_ts").alias("_final_ts"))
-    past_end = F.col(SLICE) > slice_of("_final_ts", width).cast("bigint")
-    pick = F.when(past_end, F.col("_final")).otherwise(F.col("_found"))
-    return (
-        found.join(final, keys, "left").withColumn("_found", pick)
-        .select("_row.*", *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
-    )
+    return found.select("_row.*", *[F.col(f"_found.{v}").alias(prefix + v) for v in values])

@@ -77,8 +77,8 @@ def bucket_returns(panel: DataFrame, cells: Sequence[tuple[int, int]], n_buckets
         (F.avg("forward") * 1e4).alias("universe_bps"))
 
 
-def spread_summary(buckets: DataFrame, costs: Sequence[float], kind: str = "quintile",
-                   max_lag: int = 60) -> DataFrame:
+def spread_summary(buckets: DataFrame, costs: Sequence[float], kind: str = "quintile"
+                   ) -> DataFrame:
     """Mean, median, hit rate and autocorrelation-robust t of a spread per cell and cost.
 
     One row per date and cell comes in, so exact medians here are over a calendar.
@@ -103,7 +103,7 @@ def spread_summary(buckets: DataFrame, costs: Sequence[float], kind: str = "quin
         F.avg((F.col("spread") > 0).cast("double")).alias("hit_rate"))
     # The overlap of forward windows sets the lag of each cell.
     lag = F.greatest(F.lit(1), F.col("horizon") - 1)
-    t = newey_west(rows, "spread", keys, lag, "t_stat", max_lag)
+    t = newey_west(rows, "spread", keys, lag, "t_stat")
     return stats.join(t, keys)
 
 

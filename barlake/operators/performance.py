@@ -55,28 +55,34 @@ def accrued_debt(marks: DataFrame, apr: float, debt0: float, keys: Sequence[str]
 
 
 def newey_west(df: DataFrame, value: str, keys: Sequence[str], lag: int | Column, out: str,
-               max_lag: int = 60, ts: str = "ts_ns") -> DataFrame:
+               ts: str = "ts_ns") -> DataFrame:
     """t-statistic of the mean with Bartlett weights; NULL if short or variance <= 0.
 
-    For daily series. ``lag`` may differ by group, up to ``max_lag``.
+    For daily series: a group, one value per day of the calendar, becomes one array. ``lag``
+    may differ by group and is not bounded.
     """
-    if isinstance(lag, int):
-        lag, max_lag = F.lit(lag), lag
-    group, order = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(ts)
-    dev = df.select(*keys, ts, F.col(value).alias("_x"), lag.alias("_lag")).withColumn(
-        "_d", F.col("_x") - F.avg("_x").over(group))
-    earlier = (F.collect_list("_d").over(order.rowsBetween(-max_lag, -1)) if max_lag
-               else F.array().cast("array<double>"))
-    dev = dev.withColumn("_e", earlier)
-    k = F.size("_e")
-    lags = F.transform("_e", lambda x, i: F.when(
-        k - i <= F.col("_lag"), x * (F.lit(1.0) - (k - i) / (F.col("_lag") + 1.0))
-    ).otherwise(0.0))
-    weighted = F.aggregate(lags, F.lit(0.0), lambda a, x: a + x)
-    terms = dev.withColumn("_w", F.col("_d") * F.col("_d") + F.lit(2.0) * F.col("_d") * weighted)
-    n, var = F.count("_x"), F.sum("_w") / F.count("_x")
-    ok = (n >= F.max("_lag") + 2) & (var > 0)
-    return terms.groupBy(*keys).agg(F.when(ok, F.avg("_x") / F.sqrt(var / n)).alias(out))
+    lag = F.lit(lag) if isinstance(lag, int) else lag
+    series = df.groupBy(*keys).agg(
+        F.max(lag).alias("_lag"), F.avg(value).alias("_mean"), F.count(value).alias("_n"),
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(ts), F.col(value).alias("x")))),
+                    lambda s: s["x"]).alias("_x"))
+    series = series.withColumn("_d", F.transform("_x", lambda x: F.coalesce(
+        x - F.col("_mean"), F.lit(0.0))))
+
+    def products(k: Column) -> Column:
+        """Sum of the deviations times those ``k`` rows earlier."""
+        return F.aggregate(F.sequence(F.lit(0), F.size("_d") - 1), F.lit(0.0), lambda acc, i: acc
+                           + F.coalesce(F.get("_d", i) * F.get("_d", i - k), F.lit(0.0)))
+
+    last = F.least(F.col("_lag"), F.size("_d") - 1)
+    lags = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(lags, F.lit(0.0), lambda acc, k: acc + (
+        F.lit(1.0) - k / (F.col("_lag") + 1.0)) * products(k))
+    var = (products(F.lit(0)) + F.lit(2.0) * tail) / F.col("_n")
+    series = series.withColumn("_var", var)
+    ok = (F.col("_n") >= F.col("_lag") + 2) & (F.col("_var") > 0)
+    return series.select(*keys, F.when(ok, F.col("_mean") / F.sqrt(
+        F.col("_var") / F.col("_n"))).alias(out))
 
 
 def daily_summary(daily: DataFrame, keys: Sequence[str], hac_lag: int = 20) -> DataFrame:

@@ -67,12 +67,20 @@ def with_row_index(
     )
     local = F.row_number().over(W.partitionBy(*cell).orderBy(ts, *tie))
     return (
-        sliced.join(offsets, cell)
+        carried(sliced, offsets, cell)
         .withColumn(INDEX, F.col("_before") + local - 1)
         .drop("_before", SLICE)
     )
 
 
+def carried(rows: DataFrame, carry: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Join one row per cell to the rows of the cell; a NULL key or time is a cell as well."""
+    named = carry.select(*[F.col(c).alias(f"_on_{c}") for c in cell],
+                         *[c for c in carry.columns if c not in cell])
+    same = [rows[c].eqNullSafe(named[f"_on_{c}"]) for c in cell]
+    return rows.join(named, same).drop(*[f"_on_{c}" for c in cell])
+
+
 def in_blocks(
     df: DataFrame,
     before: int = 0,
@@ -171,4 +179,4 @@ def running(
             raise ValueError(f"unknown scan kind {kind!r}")
     carry = base.groupBy(*cell).agg(*totals).select(*cell, *carries)
     helpers = [f"_{p}{i}" for i in range(len(scans)) for p in "vc"]
-    return base.join(carry, cell).withColumns(out).drop(*helpers, SLICE)
+    return carried(base, carry, cell).withColumns(out).drop(*helpers, SLICE)

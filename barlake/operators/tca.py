@@ -17,6 +17,9 @@ from barlake.schemas import NS_DAY, NS_HOUR
 from barlake.session import settle
 
 
+UNIT = 1e-9  # step of quantities and notionals in running sums
+
+
 def arrival(orders: DataFrame, latency_ns: int, jitter_ns: int = 0, seed: int = 0) -> DataFrame:
     """Arrival time: submission plus latency, plus a jitter drawn from the order's id."""
     at = F.col("submitted_ns") + latency_ns
@@ -52,23 +55,27 @@ def market_fills(orders: DataFrame, tape: DataFrame, width: int = NS_DAY,
     """
     side = F.when(F.col("buyer_is_maker"), "sell").otherwise("buy")
     keys = ["symbol", "side"]
-    flow = tape.select("symbol", side.alias("side"), "ts_ns", "agg_id", "price", "qty",
-                       (F.col("price") * F.col("qty")).alias("_n"))
-    flow = running(flow, {"_q": ("sum", F.col("qty")), "_cost": ("sum", F.col("_n"))}, keys,
-                   width=width, tie=["agg_id"])
+    # Whole numbers of a small step: sums and their differences are exact at any volume.
+    units = lambda x: F.round(x / UNIT).cast("decimal(28,0)")
+    flow = tape.select("symbol", side.alias("side"), "ts_ns", "agg_id", "price", "qty")
+    flow = running(flow, {
+        "_q": ("sum", units(F.col("qty"))),
+        "_cost": ("sum", units(F.col("price") * F.col("qty")))}, keys, width=width, tie=["agg_id"])
+    flow = flow.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("_q", "_cost")})
     flow = settle(flow.select(*keys, "ts_ns", "agg_id", "price", "_q", "_cost"), "prefix")
     before = flow.select(*keys, "ts_ns", "agg_id", "_q", "_cost")
     start = asof_join(orders, before, keys, left_ts="arrive_ns", values=["_q", "_cost"], prefix="a",
                       width=width, tie=["agg_id"], strict=True)
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast("decimal(38,0)")
     start = start.withColumns({"a_q": F.coalesce("a_q", zero), "a_cost": F.coalesce("a_cost", zero)})
     # First trade whose cumulative quantity reaches the target: an as-of on the mirrored axis.
-    start = start.withColumn("_want", -(F.col("a_q") + F.col("qty") - 1e-12))
-    mirrored = flow.select(*keys, (-F.col("_q")).alias("_axis"), "ts_ns", "price", "_q", "_cost")
+    start = start.withColumn("_want", (-(F.col("a_q") + units(F.col("qty")))).cast("decimal(38,0)"))
+    mirrored = flow.select(*keys, (-F.col("_q")).cast("decimal(38,0)").alias("_axis"), "ts_ns", "price", "_q", "_cost")
     done = asof_join(start, mirrored, keys, left_ts="_want", right_ts="_axis",
-                     values=["ts_ns", "price", "_q", "_cost"], prefix="z", width=qty_width)
-    surplus = F.col("z_q") - F.col("a_q") - F.col("qty")
-    notional = F.col("z_cost") - F.col("a_cost") - surplus * F.col("zprice")
+                     values=["ts_ns", "price", "_q", "_cost"], prefix="z", width=qty_width / UNIT)
+    surplus = (F.col("z_q") + F.col("_want")).cast("double") * UNIT
+    notional = ((F.col("z_cost") - F.col("a_cost")).cast("double") * UNIT
+                - surplus * F.col("zprice"))
     return done.select(*orders.columns, F.col("zts_ns").alias("fill_ts"),
                        (notional / F.col("qty")).alias("fill_price"))
 

@@ -16,23 +16,26 @@ from barlake.operators.series import BLOCK_ROWS, core_rows, in_blocks, running,
 from barlake.schemas import NS_DAY
 from barlake.session import settle
 
-FLAT = 1e-9  # positions this close to zero are flat: sums of floats rarely hit it exactly
+STEP = 1e-9  # quantities are whole numbers of this step
 
 
 def signed_qty():
     return F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
 
 
-def positions(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int = NS_DAY) -> DataFrame:
-    """Position after each fill."""
-    out = running(fills, {"position": ("sum", signed_qty())}, keys, width=width, tie=["order_id"])
-    flat = F.abs("position") < FLAT
-    return out.withColumn("position", F.when(flat, 0.0).otherwise(F.col("position")))
+def positions(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int = NS_DAY,
+              step: float = STEP) -> DataFrame:
+    """Position after each fill. Quantities are summed as whole numbers of ``step``, so a
+    position is zero exactly where it closes, whatever its size and history."""
+    units = F.round(signed_qty() / step).cast("decimal(28,0)")
+    out = running(fills, {"_units": ("sum", units)}, keys, width=width, tie=["order_id"])
+    return out.withColumn("position", F.col("_units").cast("double") * step).drop("_units")
 
 
 def round_trips(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int = NS_DAY,
-                funding: DataFrame | None = None) -> DataFrame:
-    """One row per stretch from flat to flat; open stretches are left out.
+                funding: DataFrame | None = None, step: float = STEP) -> DataFrame:
+    """One row per stretch from flat to flat; open stretches are left out. ``step`` is the
+    quantity step of the instrument.
 
     Gross is the cash the fills brought in. ``net`` follows the published identity (slippage
     is subtracted although fill prices include it); ``net_cash`` is the account's own change.
@@ -40,7 +43,7 @@ def round_trips(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int
     """
     keys = list(keys)
     # Three scans follow one another; storing the first keeps them from repeating each other.
-    pos = settle(positions(fills, keys, width), "positions")
+    pos = settle(positions(fills, keys, width, step), "positions")
     slip = F.col("slippage_cost") if "slippage_cost" in fills.columns else F.lit(0.0)
     rows = running(pos.withColumn("_slip", slip), {
         "_was": ("prev", F.col("position"))}, keys, width=width, tie=["order_id"])

@@ -420,12 +420,12 @@ def _(spark, sf):
 
 
 @query("m3_skipped_symbols", """SELECT symbol, count(*) AS n_bars, count(*) < 3 AS skipped FROM (
-    SELECT 'S' || l_suppkey || '-' || l_linenumber AS symbol FROM lineitem WHERE l_quantity > 49)
+    SELECT 'S' || l_suppkey || '-' || l_linenumber AS symbol FROM lineitem)
     GROUP BY 1""", "symbol n_bars skipped")
 def _(spark, sf):
     symbol = F.concat_ws("-", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
                          F.col("l_linenumber").cast("string"))
-    rows = v.table(spark, sf, "lineitem").where("l_quantity > 49").select(symbol.alias("symbol"))
+    rows = v.table(spark, sf, "lineitem").select(symbol.alias("symbol"))
     kept, skipped = assets.split_scannable(rows, 3)
     counted = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
     return counted.withColumn("skipped", F.lit(False)).unionByName(

@@ -35,20 +35,20 @@ def _(spark, sf):
     return tca.arrival(v.order_book_orders(spark, sf), LATENCY, 1_000_000, 3)
 
 
-@query("x2_market_fills", """SELECT order_id, coalesce(max(ts_ns) FILTER (q0 < want - 1e-12), -1)
-    AS fill_ts, CASE WHEN max(q1) >= want - 1e-12 THEN sum(price * greatest(0, least(q1, want) - q0))
+@query("x2_market_fills", """SELECT order_id, CASE WHEN max(q1) >= want THEN
+    max(ts_ns) FILTER (q0 < want) ELSE -1 END AS fill_ts, CASE WHEN max(q1) >= want THEN sum(price * greatest(0, least(q1, want) - q0))
     / any_value(oq) END AS fill_price FROM (SELECT o.order_id, o.qty AS oq, t.ts_ns, t.price,
-    t.q - t.qty - coalesce(b.q, 0) AS q0, t.q - coalesce(b.q, 0) AS q1, o.qty AS want
+    t.q - t.qty - coalesce(b.q, 0) AS q0, t.q - coalesce(b.q, 0) AS q1,
+    o.qty::DECIMAL(20, 9) AS want
     FROM (SELECT * FROM arr WHERE type = 'market') o
     ASOF LEFT JOIN cum b ON b.symbol = o.symbol AND b.side = o.side AND o.arrive_ns > b.ts_ns
-    JOIN cum t ON t.symbol = o.symbol AND t.side = o.side AND t.ts_ns >= o.arrive_ns)
-    GROUP BY order_id, want HAVING max(q1) >= want - 1e-12""", "order_id fill_ts", "fill_price",
+    LEFT JOIN cum t ON t.symbol = o.symbol AND t.side = o.side AND t.ts_ns >= o.arrive_ns)
+    GROUP BY order_id, want""", "order_id fill_ts", "fill_price",
        cum="""SELECT symbol, CASE WHEN buyer_is_maker THEN 'sell' ELSE 'buy' END AS side, ts_ns, price,
-       qty, sum(qty) OVER (PARTITION BY symbol, buyer_is_maker ORDER BY ts_ns) AS q FROM ticks""",
+       qty::DECIMAL(20, 9) AS qty, sum(qty::DECIMAL(20, 9)) OVER (PARTITION BY symbol, buyer_is_maker ORDER BY ts_ns) AS q FROM ticks""",
        **ARR)
 def _(spark, sf):
-    return tca.market_fills(orders(spark, sf, "market"), tape(spark, sf), 4 * D).where(
-        F.col("fill_price").isNotNull())
+    return filled(tca.market_fills(orders(spark, sf, "market"), tape(spark, sf), 4 * D))
 
 
 @query("x3_j14_limit_fills", """SELECT order_id, coalesce(min(t.ts_ns), -1) AS fill_ts,

@@ -73,22 +73,21 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("l_extendedprice").alias("quote_volume"))
 
 
-LEGS_FROM, LEGS_TO = "1995-01-05", "2001-07-31"
-
-
-def calendar(spark: SparkSession) -> DataFrame:
-    return spark.sql(
-        f"SELECT CAST(unix_date(d) AS BIGINT) * {D} AS ts_ns FROM (SELECT explode(sequence("
-        f"DATE'{LEGS_FROM}', DATE'{LEGS_TO}', INTERVAL 1 DAY)) AS d)")
+def calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """Every day from the first shipping day to the last."""
+    ends = table(spark, sf, "lineitem").agg(
+        F.min(day_ns("l_shipdate")).alias("a"), F.max(day_ns("l_shipdate")).alias("b"))
+    return ends.where("a IS NOT NULL").select(
+        F.explode(F.sequence("a", "b", F.lit(D))).alias("ts_ns"))
 
 
 def legs(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per calendar day; at most 2,400 rows, so a plain window fills the gaps."""
+    """One row per calendar day, so a plain window fills the gaps."""
     li = table(spark, sf, "lineitem")
     per_day = li.groupBy(day_ns("l_shipdate").alias("ts_ns")).agg(
         (F.lit(1000.0) + F.percentile("l_quantity", 0.5)).alias("_s"),
         ((F.percentile("l_discount", 0.5) - 0.05) / 10.0).alias("_b"))
-    cal = calendar(spark).withColumn("pair", F.lit("P"))
+    cal = calendar(spark, sf).withColumn("pair", F.lit("P"))
     fill = W.partitionBy("pair").orderBy("ts_ns").rowsBetween(W.unboundedPreceding, 0)
     spot = F.last("_s", ignorenulls=True).over(fill)
     basis = F.last("_b", ignorenulls=True).over(fill)
@@ -100,10 +99,9 @@ def leg_funding(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     shift = F.when(F.col("l_returnflag") == "A", 0).when(
         F.col("l_returnflag") == "N", 8 * H).otherwise(16 * H)
-    lo, hi = (f"CAST(unix_date(DATE'{d}') AS BIGINT) * {D}" for d in (LEGS_FROM, LEGS_TO))
     return li.groupBy(day_ns("l_shipdate").alias("d"), "l_returnflag").agg(
         ((F.percentile("l_tax", 0.5) - 0.04) / 100.0).alias("rate")
-    ).where(f"d BETWEEN {lo} AND {hi}").select(
+    ).select(
         F.lit("P").alias("pair"), (F.col("d") + shift).alias("ts_ns"),
         F.lit(8).cast("int").alias("interval_hours"), "rate")
 
@@ -134,7 +132,7 @@ def order_book_orders(spark: SparkSession, sf: str) -> DataFrame:
     buy = F.col("user_id") % 2 == 0
     side = F.when(buy, "buy").otherwise("sell")
     offset = F.when(buy, -0.5).otherwise(0.5)
-    return e.where(k % 10 == 0).select(
+    return e.select(
         F.col("event_id").alias("order_id"), F.col("event_type").alias("symbol"),
         side.alias("side"), kind.alias("type"), (F.lit(5.0) + F.col("value") / 10.0).alias("qty"),
         F.when(kind == "limit", price + offset).alias("limit_price"),
@@ -178,8 +176,8 @@ VIEW_SQL = {
     "daily": """SELECT 'S' || (l_suppkey % 20) AS symbol, epoch_ns(l_shipdate) AS ts_ns,
         100.0::DOUBLE + median(l_quantity) + 10.0::DOUBLE * median(l_discount) AS close,
         sum(l_extendedprice) AS quote_volume FROM lineitem GROUP BY 1, 2""",
-    "calendar": f"""SELECT epoch_ns(d) AS ts_ns FROM (SELECT unnest(generate_series(
-        TIMESTAMP '{LEGS_FROM}', TIMESTAMP '{LEGS_TO}', INTERVAL 1 DAY)) AS d)""",
+    "calendar": f"""SELECT unnest(generate_series(min(epoch_ns(l_shipdate)),
+        max(epoch_ns(l_shipdate)), {D})) AS ts_ns FROM lineitem""",
     "legs": """SELECT 'P' AS pair, ts_ns, s AS spot, s * (1.0::DOUBLE + b) AS perp FROM (
         SELECT c.ts_ns, last_value(p.s IGNORE NULLS) OVER w AS s,
           last_value(p.b IGNORE NULLS) OVER w AS b
@@ -191,8 +189,7 @@ VIEW_SQL = {
     "leg_funding": f"""SELECT 'P' AS pair, d + CASE l_returnflag WHEN 'A' THEN 0
         WHEN 'N' THEN {8 * H} ELSE {16 * H} END AS ts_ns, 8 AS interval_hours, rate FROM (
         SELECT epoch_ns(l_shipdate) AS d, l_returnflag,
-          (median(l_tax) - 0.04::DOUBLE) / 100.0::DOUBLE AS rate FROM lineitem GROUP BY 1, 2)
-        WHERE d BETWEEN epoch_ns(TIMESTAMP '{LEGS_FROM}') AND epoch_ns(TIMESTAMP '{LEGS_TO}')""",
+          (median(l_tax) - 0.04::DOUBLE) / 100.0::DOUBLE AS rate FROM lineitem GROUP BY 1, 2)""",
     "transfers": """SELECT o_custkey::VARCHAR AS from_address, l_suppkey::VARCHAR AS to_address,
         l_extendedprice AS value, epoch_ns(o_orderdate) AS ts_ns
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -209,8 +206,7 @@ VIEW_SQL = {
           CASE WHEN user_id % 2 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS o,
           100.0::DOUBLE + CAST(json_extract(props, '$.k') AS DOUBLE) / 10.0::DOUBLE
             + value / 1000.0::DOUBLE AS price,
-          epoch_ns(ts) AS submitted_ns FROM events
-          WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0)""",
+          epoch_ns(ts) AS submitted_ns FROM events)""",
     "fills": """SELECT symbol AS run_id, agg_id AS order_id, ts_ns,
         CASE WHEN rn % 2 = 1 THEN 'buy' ELSE 'sell' END AS side, price, q AS qty,
         price * q * 5.0::DOUBLE / 1e4::DOUBLE AS fee FROM (SELECT *,
