@@ -238,16 +238,11 @@ def histogram(trips: DataFrame, keys: Sequence[str], value: str = "net",
         F.count(F.lit(1)).alias("n"))
 
 
-COMPARED = ("total_return", "sharpe", "sortino", "max_drawdown", "calmar", "t_stat", "n_trades",
-            "win_rate", "payoff", "profit_factor", "expectancy_bps", "gross_total", "fees_total",
-            "slippage_total", "funding_total", "net_total", "fee_drag")
-
-
-def compare_runs(metrics: DataFrame, runs: Sequence[str]) -> DataFrame:
-    """One row per metric, one column per run."""
-    wide = metrics.select("run_id", *[F.col(c).cast("double").alias(c) for c in COMPARED])
-    long = wide.unpivot(["run_id"], list(COMPARED), "metric", "value")
-    return long.groupBy("metric").pivot("run_id", list(runs)).agg(F.first("value"))
+def compare_runs(metrics: DataFrame, key: str = "run_id") -> DataFrame:
+    """One row per metric and run; ``pivot`` on the run shows them side by side."""
+    names = [c for c in metrics.columns if c != key]
+    wide = metrics.select(key, *[F.col(c).cast("double").alias(c) for c in names])
+    return wide.unpivot([key], names, "metric", "value")
 
 
 def monthly_sums(points: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barlake.operators import features, performance, resampling, signals, trades, verdicts
@@ -134,15 +135,22 @@ def _(spark, sf):
     return performance.curve_summary(marks, ["run_id"])
 
 
-@query("a28_combine_legs", """SELECT a.ts_ns, a.equity + b.equity AS equity FROM equity_h a
-    JOIN equity_h b USING (ts_ns) WHERE a.run_id = 'view' AND b.run_id = 'click'""", "ts_ns",
+@query("a28_combine_legs", """SELECT a.run_id, a.ts_ns, a.equity + b.equity AS equity
+    FROM equity_h a JOIN (SELECT run_id, coalesce(lead(run_id) OVER (ORDER BY run_id),
+    first(run_id) OVER (ORDER BY run_id)) AS other FROM (SELECT DISTINCT run_id FROM equity_h)) n
+    USING (run_id) JOIN equity_h b ON b.run_id = n.other AND b.ts_ns = a.ts_ns""", "run_id ts_ns",
        "equity", equity=EQUITY, equity_h=f"""SELECT run_id, ts_ns // {H} * {H} AS ts_ns,
        arg_max(equity, ts_ns) AS equity FROM equity GROUP BY 1, 2""")
 def _(spark, sf):
+    """Every run with the next one by name, the last with the first."""
     hour = F.col("ts_ns") - F.pmod("ts_ns", F.lit(H))
-    e = equity(spark, sf).groupBy("run_id", hour.alias("h")).agg(
-        F.max_by("equity", "ts_ns").alias("equity")).withColumnRenamed("h", "ts_ns")
-    return performance.combine_legs(e.where("run_id = 'view'"), e.where("run_id = 'click'"), [])
+    e = settle(equity(spark, sf).groupBy("run_id", hour.alias("h")).agg(
+        F.max_by("equity", "ts_ns").alias("equity")).withColumnRenamed("h", "ts_ns"), "hours")
+    by_name = W.orderBy("run_id")  # one row per run
+    following = e.select("run_id").distinct().select("run_id", F.coalesce(
+        F.lead("run_id").over(by_name), F.first("run_id").over(by_name)).alias("other"))
+    legs = e.withColumnRenamed("run_id", "other").join(following, "other")
+    return performance.combine_legs(e, legs, ["run_id"])
 
 
 @query("a34_histogram", """SELECT run_id, least(floor((net - lo) / (hi - lo) * 20), 19)::INT AS bin,
@@ -152,19 +160,14 @@ def _(spark, sf):
     return performance.histogram(trips(spark, sf), ["run_id"])
 
 
-RUN_IDS = ["click", "error", "purchase", "signup", "view"]
-
-
-@query("a35_compare_runs", "SELECT metric, " + ", ".join(
-    f"max(value) FILTER (run_id = '{r}') AS {r}" for r in RUN_IDS) + """ FROM (UNPIVOT (SELECT run_id,
-    n_trades::DOUBLE AS n_trades, win_rate, payoff, profit_factor, gross_total, fees_total,
-    net_total FROM tm) ON n_trades, win_rate, payoff, profit_factor, gross_total, fees_total,
-    net_total INTO NAME metric VALUE value) GROUP BY 1""", "metric", " ".join(RUN_IDS),
-       tm=TRADE_METRICS, trips=TRIPS)
+@query("a35_compare_runs", f"""SELECT metric, run_id, value FROM (SELECT run_id,
+    COLUMNS(* EXCLUDE (run_id))::DOUBLE FROM ({EQ_METRICS.format(k='run_id', a=ANNUAL, src='equity')})
+    JOIN ({TRADE_METRICS}) USING (run_id)) UNPIVOT INCLUDE NULLS (value FOR metric IN
+    (COLUMNS(* EXCLUDE (run_id))))""", "metric run_id", r4="value",
+       equity=EQUITY, trips=TRIPS)
 def _(spark, sf):
-    table = performance.compare_runs(settle(runs(spark, sf), "runs"), RUN_IDS)
-    return table.where(F.col("metric").isin("n_trades", "win_rate", "payoff", "profit_factor",
-                                            "gross_total", "fees_total", "net_total"))
+    table = runs(spark, sf).withColumn("hold_s", F.col("avg_hold_ns") / 1e9).drop("avg_hold_ns")
+    return performance.compare_runs(settle(table, "runs"))
 
 
 @query("a36_monthly_funding", """SELECT pair, strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS month,

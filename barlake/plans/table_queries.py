@@ -293,21 +293,31 @@ def _(spark, sf):
     return lookups.offset_join(v.daily(spark, sf), {"past": -7, "ahead": 3})
 
 
+NUMBER = "substr(symbol, 2)::BIGINT"  # symbols are S0 to S19; each is paired with the next
+PAIRS = {"first_leg": f"SELECT {NUMBER} AS pair, ts_ns, close FROM daily",
+         "other_leg": f"SELECT ({NUMBER} + 19) % 20 AS pair, ts_ns, close FROM daily"}
+
+
+def pairs(spark, sf):
+    """Every symbol as the first leg of a pair, and as the second leg of the pair before."""
+    number = F.substring("symbol", 2, 9).cast("bigint")
+    d = v.daily(spark, sf)
+    return d.withColumn("pair", number), d.withColumn("pair", (number + 19) % 20)
+
+
 @query("j8_alignment", """SELECT count(*) FILTER (a.ts_ns IS NOT NULL AND b.ts_ns IS NOT NULL) AS matched,
     count(*) FILTER (b.ts_ns IS NULL) AS left_only, count(*) FILTER (a.ts_ns IS NULL) AS right_only
-    FROM (SELECT * FROM daily WHERE symbol = 'S1') a FULL OUTER JOIN (SELECT * FROM daily
-    WHERE symbol = 'S2') b USING (ts_ns)""", "matched left_only right_only")
+    FROM first_leg a FULL OUTER JOIN other_leg b USING (pair, ts_ns)""", "matched left_only right_only",
+       **PAIRS)
 def _(spark, sf):
-    d = v.daily(spark, sf)
-    return lookups.alignment(d.where("symbol = 'S1'"), d.where("symbol = 'S2'"), ["ts_ns"])
+    return lookups.alignment(*pairs(spark, sf), ["pair", "ts_ns"])
 
 
 @query("j9_presence_filter", f"""SELECT t.ts_ns, count(*) AS n FROM transfers t
     WHERE ts_ns IN (SELECT ts_ns FROM c) AND ts_ns + {D} IN (SELECT ts_ns FROM c) GROUP BY 1""",
-       "ts_ns n", c="SELECT ts_ns FROM daily WHERE symbol = 'S3'")
+       "ts_ns n", c="SELECT DISTINCT ts_ns FROM daily")
 def _(spark, sf):
-    closes = v.daily(spark, sf).where("symbol = 'S3'")
-    kept = lookups.present_today_and_tomorrow(v.transfers(spark, sf), closes)
+    kept = lookups.present_today_and_tomorrow(v.transfers(spark, sf), v.daily(spark, sf))
     return kept.groupBy("ts_ns").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -319,12 +329,11 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("j13_leg_basis", """SELECT a.ts_ns, a.close AS spot, b.close AS perp, b.close / a.close - 1
-    AS basis FROM daily a JOIN daily b USING (ts_ns) WHERE a.symbol = 'S4' AND b.symbol = 'S5'""",
-       "ts_ns", "spot perp basis")
+@query("j13_leg_basis", """SELECT pair, ts_ns, a.close AS spot, b.close AS perp,
+    b.close / a.close - 1 AS basis FROM first_leg a JOIN other_leg b USING (pair, ts_ns)""", "pair ts_ns",
+       "spot perp basis", **PAIRS)
 def _(spark, sf):
-    d = v.daily(spark, sf)
-    return lookups.leg_basis(d.where("symbol = 'S4'"), d.where("symbol = 'S5'"), [])
+    return lookups.leg_basis(*pairs(spark, sf), ["pair"])
 
 
 @query("j15_funding_payments", """SELECT f.run_id, f.ts_ns, f.rate * t.price * p.pos AS paid FROM
