@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import encoding, extraction, lines, packing, quality, secrets, simhash, syncmers, toxicity, warc
+from barlake.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,20 +85,6 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-ORACLES["op3_warc"] = """
-WITH sized AS (
-  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n,
-         sha1(coalesce(html, '')) AS sha FROM pages),
-named AS (
-  SELECT *, min(page_id) OVER (PARTITION BY html) AS response FROM sized)
-SELECT page_id, n::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(0, 32), lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    1 + ((('0x' || substr(sha, 1 + 5 * (d // 4)::INT, 5))::INT >> (15 - 5 * (d % 4))::INT) & 31), 1)),
-    'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> response THEN response END AS refers_to
-FROM named"""
-
 
 @query
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
