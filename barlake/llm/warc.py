@@ -11,7 +11,8 @@ A blob is verified when it is read: its bytes must have the digest they are stor
 Copies are grouped by a pre-aggregated first value, so a payload moves at most once from each
 task, whatever the size of its group. Headers are joined with stored tables of one row per
 digest, which adaptive execution splits for a frequent digest. Null payloads are empty ones;
-null addresses give an empty target. Ids name records and should be unique.
+null addresses give an empty target. Ids name records and should be unique; records with a
+null id are always responses.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ def base32_sha1(payload: Column) -> Column:
 def _header(kind: str) -> Column:
     """Header of a record, ending in an empty line."""
     common = [
-        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:record:"), F.col("id"),
+        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:record:"),
+        F.coalesce(F.col("id").cast("string"), F.lit("")),
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"),
                          "\n", "%0A"), F.lit("\r\nWARC-Payload-Digest: sha1:"),
