@@ -272,14 +272,31 @@ def _(spark, sf):
     return drain(spark, feeds.stream_bars(feed, "1 hour"), "bars")
 
 
+def in_slices_of_time(spark, df, name, parts):
+    """A folder of files that follow each other in time, one for each part."""
+    folder = shared_folder(spark, name)
+    stored = settle(df, name)
+    low, high = stored.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    width = ((high or 0) - (low or 0)) // parts + 1
+    for k in range(parts):
+        part = stored.where(F.col("ts_ns").between((low or 0) + k * width,
+                                                   (low or 0) + (k + 1) * width - 1))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder, stored.schema
+
+
 @query("r3_r7_stream_settlements", f"""SELECT f.symbol, f.ts_ns, f.rate, b.close AS mark, false AS late
-    FROM funding f ASOF LEFT JOIN (SELECT symbol, ts_ns + {H} AS ts_ns, close FROM bars_1h) b
+    FROM (SELECT f.* FROM funding f JOIN (SELECT symbol, max(ts_ns) + {H} AS newest FROM bars_1h
+    GROUP BY 1) n USING (symbol) WHERE f.ts_ns <= newest) f
+    ASOF LEFT JOIN (SELECT symbol, ts_ns + {H} AS ts_ns, close FROM bars_1h) b
     ON b.symbol = f.symbol AND f.ts_ns > b.ts_ns""", "symbol ts_ns late", "rate mark")
 def _(spark, sf):
-    path, schema = bar_folder(spark, sf)
-    folder = shared_folder(spark, "funding")
-    for _copy in range(2):  # every settlement arrives twice
-        v.funding(spark, sf).write.mode("append").parquet(folder)
-    bars = feeds.stream_table(spark, path, schema).withColumn("ts_ns", F.col("ts_ns") + H)
-    paid = feeds.stream_table(spark, folder, spark.read.parquet(folder).schema)
-    return drain(spark, feeds.stream_settlements(bars, paid), "payments")
+    """Bars in three batches, settlements in four other ones, and all of them a second time.
+    Those after the last bar still wait for the next."""
+    path, schema = in_slices_of_time(spark, v.bars_1h(spark, sf), "feed", 3)
+    folder, paid_schema = in_slices_of_time(spark, v.funding(spark, sf), "funding", 4)
+    v.funding(spark, sf).write.mode("append").parquet(folder)
+    bars = feeds.stream_table(spark, path, schema, max_files=1).withColumn(
+        "ts_ns", F.col("ts_ns") + H)
+    paid = feeds.stream_table(spark, folder, paid_schema, max_files=1)
+    return drain(spark, feeds.stream_settlements(bars, paid, keep_ns=1000 * D), "payments")

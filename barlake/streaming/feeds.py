@@ -6,6 +6,7 @@ Each stream reads a folder of Parquet files that grows, and resumes from its che
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -135,32 +136,53 @@ def stream_indicators(bars: DataFrame, span: int, window: int, flow_window: int)
 PAYMENTS = "symbol string, ts_ns long, rate double, mark double, late boolean"
 
 
-def stream_settlements(bars: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Each settlement once, marked with the last bar close before it.
+_WAITING = ("bar_ts array<long>, bar_close array<double>, wait_ts array<long>, "
+            "wait_rate array<double>, done array<long>, floor long")
 
-    Both inputs go through one keyed processor as one stream, a settlement before the bar
-    of the same close time. Repeats are dropped; one older than the last applied is flagged
-    late instead of applied. ``bars`` carry their close time as ``ts_ns``.
+
+def stream_settlements(bars: DataFrame, settlements: DataFrame,
+                       keep_ns: int = 7 * NS_DAY) -> DataFrame:
+    """Each settlement once, marked with the last bar close before it, however the two inputs
+    are cut into micro-batches.
+
+    Bars of a symbol arrive in order; ``ts_ns`` is their close time. A settlement waits until
+    a bar at or after its time has been seen, so all earlier bars have. State holds the bars
+    and settlement times of the last ``keep_ns`` before the newest bar: a settlement that
+    arrives later than that is flagged late instead of applied, and repeats are dropped.
     """
     a = bars.select("symbol", "ts_ns", F.lit(1).alias("tag"), F.col("close").alias("x"))
     b = settlements.select("symbol", "ts_ns", F.lit(0).alias("tag"), F.col("rate").alias("x"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame],
                state: GroupState) -> Iterator[pd.DataFrame]:
-        mark, last = state.get if state.exists else (None, -1)
-        pdf = pd.concat(list(batches)).sort_values(["ts_ns", "tag"])
+        bar_ts, bar_close, wait_ts, wait_rate, done, floor = (
+            state.get if state.exists else ([], [], [], [], [], -1))
+        closes = dict(zip(bar_ts, bar_close, strict=True))
+        waiting = dict(zip(wait_ts, wait_rate, strict=True))
+        applied = set(done)
         out = []
-        for ts, tag, x in zip(pdf["ts_ns"], pdf["tag"], pdf["x"], strict=True):
-            if tag == 1:
-                mark = float(x)
-            elif ts > last:
-                out.append((key[0], int(ts), float(x), mark, False))
-                last = int(ts)
-            elif ts < last:
-                out.append((key[0], int(ts), float(x), None, True))
-        state.update((mark, last))
+        for pdf in batches:
+            for ts, tag, x in zip(pdf["ts_ns"].tolist(), pdf["tag"].tolist(), pdf["x"].tolist(),
+                                  strict=True):
+                if tag == 1:
+                    closes[ts] = x
+                elif ts <= floor:
+                    out.append((key[0], ts, x, None, True))
+                elif ts not in applied:
+                    waiting.setdefault(ts, x)
+        times = sorted(closes)
+        newest = times[-1] if times else -1
+        for ts in sorted(t for t in waiting if t <= newest):
+            k = bisect_left(times, ts)
+            out.append((key[0], ts, waiting.pop(ts), closes[times[k - 1]] if k else None, False))
+            applied.add(ts)
+        floor = max(floor, newest - keep_ns)
+        first = max(bisect_left(times, floor) - 1, 0)  # the bar before the floor still serves
+        times = times[first:]
+        state.update((times, [closes[t] for t in times], list(waiting), list(waiting.values()),
+                      sorted(t for t in applied if t > floor), floor))
         if out:
             yield pd.DataFrame(out, columns=["symbol", "ts_ns", "rate", "mark", "late"])
 
     return a.unionByName(b).groupBy("symbol").applyInPandasWithState(
-        update, PAYMENTS, "mark double, last long", "append", GroupStateTimeout.NoTimeout)
+        update, PAYMENTS, _WAITING, "append", GroupStateTimeout.NoTimeout)

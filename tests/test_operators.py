@@ -1,5 +1,6 @@
 """Hand-computed values of bars, edges, models, fills and verdicts."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,60 @@ def test_verdict(spark):
     assert table.where("run_id = 'good'").count() == 7
     got = verdicts.verdict(table).toPandas().set_index("run_id")
     assert bool(got.go["good"]) and not bool(got.go["bad"]) and got.n_failed["bad"] == 1
+
+
+def test_round_trips_close_at_any_size(spark):
+    from barlake.operators.trades import round_trips
+
+    rows, step = [], 0.001
+    for k, scale in enumerate((1e-1, 1.0, 1e3, 1e6)):
+        for i in range(200):
+            q = round((1 + i * 0.37) * scale / step) * step
+            a = round(q * 0.3 / step) * step
+            for j, (side, qty) in enumerate((("buy", a), ("buy", q - a), ("sell", q * 0 + a),
+                                             ("sell", q - a))):
+                rows.append((f"r{k}", i * 4 + j, i * 4 + j, side, 100.0, qty, 0.0))
+    fills = spark.createDataFrame(
+        rows, "run_id string, order_id long, ts_ns long, side string, price double, qty double, fee double")
+    trips = round_trips(fills)
+    assert {r.run_id: r["count"] for r in trips.groupBy("run_id").count().collect()} == {
+        f"r{k}": 200 for k in range(4)}
+
+
+def test_newey_west_at_long_lags(spark):
+    from barlake.operators.performance import newey_west
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400).cumsum() * 0.01 + rng.normal(size=400) + 0.3
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)],
+                               "k string, ts_ns long, x double")
+    for lag in (0, 1, 20, 89, 200):
+        d = x - x.mean()
+        var = (d @ d + 2 * sum((1 - k / (lag + 1)) * (d[k:] @ d[:-k]) for k in range(1, lag + 1))
+               ) / len(x)
+        got = newey_west(df, "x", ["k"], lag, "t").first().t
+        want = x.mean() / np.sqrt(var / len(x)) if var > 0 else None
+        assert got == (None if want is None else pytest.approx(want, rel=1e-9))
+
+
+def test_market_fill_price_does_not_depend_on_past_volume(spark):
+    from barlake.operators.tca import market_fills
+
+    tape = [("S", 1, 1, 60_000.0, 4e8, False), ("S", 2, 2, 60_000.0, 5e9, False),
+            ("S", 10, 3, 60_001.0, 0.001, False), ("S", 11, 4, 60_003.0, 5.0, False)]
+    orders = [(1, "S", "buy", 0.002, 5), (2, "S", "buy", 1e12, 5), (3, "S", "sell", 1.0, 5)]
+    got = {r.order_id: r for r in market_fills(
+        spark.createDataFrame(orders, "order_id long, symbol string, side string, qty double, arrive_ns long"),
+        spark.createDataFrame(tape, "symbol string, ts_ns long, agg_id long, price double, qty double, "
+                                    "buyer_is_maker boolean")).collect()}
+    assert got[1].fill_ts == 11 and got[1].fill_price == pytest.approx(60_002.0, abs=1e-4)
+    assert got[2].fill_price is None and got[3].fill_price is None
+
+
+def test_null_keys_and_times_keep_their_rows(spark):
+    from barlake.operators.series import running, with_row_index
+
+    df = spark.createDataFrame([(None, 1, 2.0), ("a", None, 3.0), ("a", 5, 4.0)],
+                               "symbol string, ts_ns long, x double")
+    assert with_row_index(df).count() == 3
+    assert running(df, {"s": ("sum", df.x)}).count() == 3

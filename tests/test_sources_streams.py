@@ -53,3 +53,43 @@ def test_stream_in_slices_equals_batch(spark):
     assert len(got) == 120
     for c in ("ema", "z", "vwap", "vol", "flow"):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=1e-9)
+
+
+def test_settlements_do_not_depend_on_batches(spark):
+    bars = [("A", t, 10.0 * t) for t in range(1, 9)]
+    paid = [("A", 3, 0.3), ("A", 5, 0.5), ("A", 6, 0.6), ("A", 99, 0.9)]
+    want = {(3, 0.3, 20.0, False), (5, 0.5, 40.0, False), (6, 0.6, 50.0, False)}
+    # Bars first, settlements first, and in turns; settlements always come twice.
+    orders = [[("b", bars), ("s", paid), ("s", paid)], [("s", paid), ("b", bars), ("s", paid)],
+              [("b", bars[:3]), ("s", paid[:2]), ("b", bars[3:]), ("s", paid)]]
+    for steps in orders:
+        folders = {k: shared_folder(spark, k) for k in "bs"}
+        out, mark = shared_folder(spark, "out"), shared_folder(spark, "mark")
+        kinds = {"b": "symbol string, ts_ns long, close double",
+                 "s": "symbol string, ts_ns long, rate double"}
+        for k in "bs":
+            spark.createDataFrame([], kinds[k]).write.mode("append").parquet(folders[k])
+        for k, rows in steps:
+            spark.createDataFrame(rows, kinds[k]).coalesce(1).write.mode("append").parquet(folders[k])
+            b, s = (feeds.stream_table(spark, folders[k], spark.createDataFrame([], kinds[k]).schema)
+                    for k in "bs")
+            feeds.write_stream(feeds.stream_settlements(b, s, keep_ns=100), out,
+                               mark).awaitTermination()
+        got = {(r.ts_ns, r.rate, r.mark, r.late) for r in spark.read.parquet(out).collect()}
+        assert got == want
+
+
+def test_settlement_behind_the_kept_bars_is_late(spark):
+    folders = {k: shared_folder(spark, k) for k in "bs"}
+    out, mark = shared_folder(spark, "out"), shared_folder(spark, "mark")
+    b_kind, s_kind = ("symbol string, ts_ns long, close double", "symbol string, ts_ns long, rate double")
+    spark.createDataFrame([("A", t, 1.0 * t) for t in range(50)], b_kind).write.parquet(folders["b"])
+    spark.createDataFrame([("A", 45, 0.1)], s_kind).write.parquet(folders["s"])
+    for rows in ([], [("A", 45, 0.1), ("A", 7, 0.2), ("A", 44, 0.3)]):
+        if rows:
+            spark.createDataFrame(rows, s_kind).write.mode("append").parquet(folders["s"])
+        b = feeds.stream_table(spark, folders["b"], spark.createDataFrame([], b_kind).schema)
+        s = feeds.stream_table(spark, folders["s"], spark.createDataFrame([], s_kind).schema)
+        feeds.write_stream(feeds.stream_settlements(b, s, keep_ns=10), out, mark).awaitTermination()
+    got = {(r.ts_ns, r.mark, r.late) for r in spark.read.parquet(out).collect()}
+    assert got == {(45, 44.0, False), (44, 43.0, False), (7, None, True)}
