@@ -30,7 +30,7 @@ CACHE_WORDS = 400_000  # words kept per worker before the dictionary starts anew
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Texts of these characters only can be split by the faster module of the two.
-PLAIN = re.compile("[^\x00-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ſ‐-‧‰-›€]")
+PLAIN = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ſ‐-‧‰-›€]")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 
 

@@ -15,7 +15,11 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from barlake.llm.bpe import CACHE_WORDS, Pieces
+from barlake.llm.bpe import PLAIN, Pieces
+
+CACHE_WORDS = 700_000  # words kept per worker before the dictionary starts anew
+# Characters of texts that are split by the pre-tokenizer's own rule.
+ODD = re.compile(PLAIN.pattern.replace("\x00-\x1b\x20", "\x01-\x08\n\x0e-\x1b\x20"))
 
 
 class LibraryCodec:
@@ -35,10 +39,18 @@ class LibraryCodec:
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
+        """Parts of the text that the library encodes by themselves: runs between spaces, each
+        with the space before it, where no two white-space characters meet at a space; else
+        the words of its pre-tokenizer."""
+        if self.special is not None and self.special.search(text):
+            return [w for part in self.special.split(text) if part
+                    for w in ([part] if part in self.fixed else self._parts(part))]
+        return self._parts(text)
+
+    def _parts(self, text: str) -> list[str]:
+        if (ODD.search(text) or "  " in text or " \n" in text or "\n " in text):
             return self.pieces(text)
-        return [w for part in self.special.split(text) if part
-                for w in ([part] if part in self.fixed else self.pieces(part))]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode_all(self, texts: Iterable[str | None], at_once: int = 256) -> Iterable[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null: none."""
@@ -48,11 +60,15 @@ class LibraryCodec:
             if len(self.known) > CACHE_WORDS:
                 self.known = {}
             known = self.known
-            new = list({w for words in split for w in words}.difference(known, self.fixed))
             known.update(self.fixed)
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False),
-                            strict=True):
+            new = {w: self.pieces(w) for w in set().union(*split).difference(known)}
+            single = list(set().union(*new.values()).difference(known))
+            for w, e in zip(single, self.library.encode_batch_fast(
+                    single, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for w, pieces in new.items():
+                if len(pieces) != 1:
+                    known[w] = b"".join(map(known.__getitem__, pieces))
             for words in split:
                 yield b"".join(map(known.__getitem__, words))
 
