@@ -93,9 +93,9 @@ def last_per_bucket(bars: DataFrame, interval_ns: int, value: str = "close") ->
 
 def daily_marks(marks: DataFrame, keys: Sequence[str] = ("symbol",),
                 tie: Sequence[str] = ()) -> DataFrame:
-    """Rows stamped exactly at a UTC midnight, the last one by ``tie`` per time."""
+    """Rows stamped exactly at a UTC midnight, the last one by ``tie`` per time (by all other
+    columns if none is named)."""
     at = marks.where(F.pmod("ts_ns", F.lit(NS_DAY)) == 0)
-    if not tie:
-        return at.dropDuplicates([*keys, "ts_ns"])
+    tie = tie or [c for c in marks.columns if c not in (*keys, "ts_ns")]
     w = W.partitionBy(*keys, "ts_ns").orderBy(*[F.col(t).desc() for t in tie])
     return at.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

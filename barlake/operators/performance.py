@@ -36,12 +36,16 @@ def drawdowns(curve: DataFrame, value: str = "equity", keys: Sequence[str] = ("r
         "drawdown", F.when(F.col("peak") > 0, fall / F.col("peak")))
 
 
+def log_growth(value: str) -> Column:
+    """log(1 + r); a return of -1 or less is an error."""
+    bad = F.raise_error(F.lit("return at or below -1")).cast("double")
+    return F.when(F.col(value) > -1, F.log1p(value)).when(F.col(value).isNotNull(), bad)
+
+
 def compounded(returns: DataFrame, value: str, keys: Sequence[str], out: str = "growth",
                width: int = NS_DAY) -> DataFrame:
     """Running product of 1 + r; a return of -1 or less is an error."""
-    bad = F.raise_error(F.lit("return at or below -1")).cast("double")
-    log = F.when(F.col(value) > -1, F.log1p(value)).when(F.col(value).isNotNull(), bad)
-    return running(returns, {out: ("sum", log)}, keys, width=width).withColumn(
+    return running(returns, {out: ("sum", log_growth(value))}, keys, width=width).withColumn(
         out, F.exp(F.col(out)))
 
 
@@ -88,12 +92,12 @@ def newey_west(df: DataFrame, value: str, keys: Sequence[str], lag: int | Column
 def daily_summary(daily: DataFrame, keys: Sequence[str], hac_lag: int = 20) -> DataFrame:
     """Statistics of daily net returns with exposure, turnover, gross, fee and funding parts."""
     keys = list(keys)
-    growth = F.exp(F.sum(F.log1p("net")).over(_upto(keys)))
+    growth = F.exp(F.sum(log_growth("net")).over(_upto(keys)))
     path = daily.withColumn("_g", growth)
     peak = F.greatest(F.lit(1.0), F.max("_g").over(_upto(keys)))
     path = path.withColumn("_dd", F.lit(1.0) - F.col("_g") / peak)
     n, sd = F.count("net"), F.coalesce(F.stddev_samp("net"), F.lit(0.0))
-    total = F.exp(F.sum(F.log1p("net")))
+    total = F.exp(F.sum(log_growth("net")))
     year = F.sqrt(F.lit(365.0))
     stats = path.groupBy(*keys).agg(
         n.alias("n_days"), (total - 1.0).alias("total_return"),

@@ -32,8 +32,8 @@ def sequence_anomalies(bars: DataFrame, interval_ns: int, position: str = "ts_ns
 def high_below_low(bars: DataFrame) -> DataFrame:
     return bars.where(F.col("high") < F.col("low")).select(
         "symbol", F.lit("high_lt_low").alias("kind"), "ts_ns",
-        F.concat(F.lit("high "), F.format_number("high", 4), F.lit(" < low "),
-                 F.format_number("low", 4)).alias("detail"))
+        F.concat_ws(" ", F.lit("high under low:"), F.col("high").cast("string"),
+                    F.col("low").cast("string")).alias("detail"))
 
 
 def price_outliers(bars: DataFrame, factor: float = 100.0) -> DataFrame:
@@ -47,8 +47,8 @@ def price_outliers(bars: DataFrame, factor: float = 100.0) -> DataFrame:
     out = (F.col("close") > F.col("_m") * factor) | (F.col("close") < F.col("_m") / factor)
     return joined.where(out).select(
         "symbol", F.lit("price_outlier").alias("kind"), "ts_ns",
-        F.concat(F.lit("close "), F.format_number("close", 4), F.lit(" vs day median "),
-                 F.format_number("_m", 4)).alias("detail"))
+        F.concat_ws(" ", F.lit("far from the day's median:"), F.col("close").cast("string"),
+                    F.lit("against"), F.col("_m").cast("string")).alias("detail"))
 
 
 def check_bars(bars: DataFrame, interval_ns: int, factor: float = 100.0,

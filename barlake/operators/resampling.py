@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.scalars import hashed_draw
+from barlake.operators.performance import log_growth
 from barlake.operators.quantiles import grouped_quantiles
 from barlake.operators.series import running, with_row_index
 from barlake.schemas import NS_DAY
@@ -76,7 +77,7 @@ def block_bootstrap(daily: DataFrame, sims: int, horizon: int, seed: int, block:
     draws = grid.withColumn("_idx", hashed_draw(starts, str(seed), F.col("sim"), b)
                             + F.col("step") % block)
     by = [*keys, "sim"]
-    paths = _paths(values, keys, draws).withColumn("_log", F.log1p("value"))
+    paths = _paths(values, keys, draws).withColumn("_log", log_growth("value"))
     growth = running(paths, {"_g": ("sum", F.col("_log"))}, by, "step", 4096)
     peaks = running(growth, {"_p": ("max", F.col("_g"))}, by, "step", 4096)
     dd = F.lit(1.0) - F.exp(F.col("_g") - F.greatest(F.lit(0.0), F.col("_p")))
