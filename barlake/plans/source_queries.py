@@ -234,16 +234,62 @@ def bar_folder(spark, sf):
     return path, spark.read.parquet(path).schema
 
 
-NOW = 1705622400 * 10**9
+def in_slices_of_time(spark, df, name, parts):
+    """A folder of files that follow each other in time, one for each part."""
+    folder = shared_folder(spark, name)
+    stored = settle(df, name)
+    for part in slices_of_time(stored, parts):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder, stored.schema
+
+
+def slices_of_time(df, parts):
+    low, high = df.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    width = ((high or 0) - (low or 0)) // parts + 1
+    return [df.where(F.col("ts_ns").between((low or 0) + k * width, (low or 0) + (k + 1) * width - 1))
+            for k in range(parts)]
+
+
+NOW, SINCE = 1705622400 * 10**9, 1704240000 * 10**9
 
 
-@query("r1_r4_closed_bars", f"SELECT symbol, ts_ns, close FROM bars_1h WHERE ts_ns + {H} <= {NOW}",
-       "symbol ts_ns", "close")
+@query("r1_r4_closed_bars", f"""SELECT symbol, ts_ns, close FROM bars_1h
+    WHERE ts_ns + {H} <= {NOW} AND ts_ns >= {SINCE}""", "symbol ts_ns", "close")
 def _(spark, sf):
-    path, schema = bar_folder(spark, sf)
-    v.bars_1h(spark, sf).where("n_trades > 5").write.mode("append").parquet(path)  # repeats
-    feed = feeds.stream_table(spark, path, schema)
-    return drain(spark, feeds.closed_bars(feed, H, now_ns=NOW, delay="60 days"), "closed")
+    """Three files in time order and a fourth of repeats, one file for each trigger."""
+    path, schema = in_slices_of_time(spark, v.bars_1h(spark, sf), "feed", 3)
+    v.bars_1h(spark, sf).where("n_trades > 5").coalesce(1).write.mode("append").parquet(path)
+    feed = feeds.stream_table(spark, path, schema, max_files=1)
+    return drain(spark, feeds.closed_bars(feed, H, now_ns=NOW, delay="60 days", since_ns=SINCE),
+                 "closed")
+
+
+@query("r2_late_rows", """SELECT count(*) AS delivered, (SELECT count(*) FROM bars_1h WHERE ts_ns <=
+    (SELECT min(ts_ns) + (max(ts_ns) - min(ts_ns)) // 3 FROM bars_1h)) AS late FROM bars_1h""",
+       "delivered late")
+def _(spark, sf):
+    """The first of three slices comes again at the end: all of it is behind the watermark."""
+    bars = settle(v.bars_1h(spark, sf), "bars")
+    path, schema = in_slices_of_time(spark, bars, "feed", 3)
+    slices_of_time(bars, 3)[0].coalesce(1).write.mode("append").parquet(path)
+    closed = feeds.closed_bars(feeds.stream_table(spark, path, schema, max_files=1), H)
+    out = shared_folder(spark, "closed")
+    run = feeds.write_stream(closed, out, shared_folder(spark, "closed-checkpoint"))
+    run.awaitTermination()
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("delivered")).withColumn(
+        "late", F.lit(feeds.late_rows(run)).cast("bigint"))
+
+
+@query("r8_r9_resume", "SELECT symbol, ts_ns, close FROM bars_1h", "symbol ts_ns", "close")
+def _(spark, sf):
+    """Three runs that each drain what is there and stop; the later ones resume."""
+    bars = settle(v.bars_1h(spark, sf), "bars")
+    path, out, checkpoint = (shared_folder(spark, n) for n in ("feed", "out", "checkpoint"))
+    for part in slices_of_time(bars, 3):
+        part.coalesce(1).write.mode("append").parquet(path)
+        closed = feeds.closed_bars(feeds.stream_table(spark, path, bars.schema), H)
+        feeds.write_stream(closed, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query("r5_r10_stream_indicators", f"""SELECT e.symbol, e.ts_ns, ema, z, vwap, vol, flow FROM ema_rows e
@@ -272,19 +318,6 @@ def _(spark, sf):
     return drain(spark, feeds.stream_bars(feed, "1 hour"), "bars")
 
 
-def in_slices_of_time(spark, df, name, parts):
-    """A folder of files that follow each other in time, one for each part."""
-    folder = shared_folder(spark, name)
-    stored = settle(df, name)
-    low, high = stored.agg(F.min("ts_ns"), F.max("ts_ns")).first()
-    width = ((high or 0) - (low or 0)) // parts + 1
-    for k in range(parts):
-        part = stored.where(F.col("ts_ns").between((low or 0) + k * width,
-                                                   (low or 0) + (k + 1) * width - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder, stored.schema
-
-
 @query("r3_r7_stream_settlements", f"""SELECT f.symbol, f.ts_ns, f.rate, b.close AS mark, false AS late
     FROM (SELECT f.* FROM funding f JOIN (SELECT symbol, max(ts_ns) + {H} AS newest FROM bars_1h
     GROUP BY 1) n USING (symbol) WHERE f.ts_ns <= newest) f

@@ -37,6 +37,12 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True) -
     return writer.format("parquet").start(path)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished run dropped because they were behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress
+               for op in p["stateOperators"])
+
+
 def event_time(ts: str = "ts_ns"):
     return F.timestamp_micros(F.call_function("div", F.col(ts), F.lit(1000)))
 
