@@ -3,12 +3,17 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
 import corpus_pipeline
 from barlake.llm import extraction, queries, toxicity, warc
 from barlake.llm.html import ARTICLE, CHROME, PLAIN, blocks
@@ -223,6 +228,19 @@ def test_pipeline_stages(spark, sf):
             assert {r.doc_id for r in gone.collect()} == {r.doc_id for r in bad.collect()}
         elif name in ("line dedup", "secret scans"):
             assert gone.count() == 0
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        after = {r.doc_id: r.text for r in out.collect()}
+        if name == "line dedup":
+            assert after == {i: t for (i, _), (t, _) in zip(
+                before, brute.deduplicated(before), strict=True)}
+        elif name == "simhash near-dedup":
+            marks = [(i, brute.simhash(t)) for i, t in before]
+            assert set(after) == set(brute.components(marks))
+        elif name == "secret scans":
+            for i, t in before:
+                spans = brute.base_spans(t)
+                assert (after[i] != t) >= bool(spans)
+                assert not any(t[a:b] in after[i] for k, a, b in spans if k != "assign")
         docs = out
 
 
