@@ -34,21 +34,29 @@ from pyspark.sql import functions as F
 from barlake.session import settle
 
 BINS = 1 << 20
-BEGINNINGS = (4, 6, 8)  # characters
+BEGINNINGS = (4, 6, 8)  # bytes
 FOLDS = 5
+MARKS = 1 << 23  # bits
 PRIOR_DOCS = 50.0  # weight of the prior, in documents
 Z = 3.0
 GAP = 0.05
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 400_000
 STEP, MOST = 0.05, 10.0  # bins of log(1 + evidence) for the logistic fit
 EDGE = ".,;:!?\"'()[]{}<>*#%$&|-_"
 
 
 def features(token: str) -> tuple[int, ...]:
-    """Bins of a word and of its beginnings."""
-    word = token.strip(EDGE)
-    names = ["=" + word, *[f"{k}{word[:k]}" for k in BEGINNINGS if len(word) >= k]]
-    return tuple(zlib.crc32(x.encode("utf-8", "replace")) % BINS for x in names)
+    """Bins of a word's beginnings and of the word itself. Each checksum goes on from the one
+    of the shorter beginning."""
+    word = token.strip(EDGE).encode("utf-8", "replace")
+    bins, sum_, at = [], 0, 0
+    for k in BEGINNINGS:
+        if k > len(word):
+            break
+        sum_, at = zlib.crc32(word[at:k], sum_), k
+        bins.append(sum_ % BINS)
+    bins.append(zlib.crc32(word[at:] + b"\0", sum_) % BINS)
+    return tuple(bins)
 
 
 class Known(dict):
@@ -80,35 +88,58 @@ def training(labels: DataFrame, id: str = "doc_id", label: str = "toxic") -> Dat
         F.col(id).alias("_id")).agg(F.max(label).cast("int").alias("toxic"))
 
 
-def feature_counts(docs: DataFrame, labels: DataFrame, id: str = "doc_id",
-                 text: str = "text") -> DataFrame:
-    """bin, corpus, toxic, other: documents with the feature, in the whole corpus and among
-    labelled training ones. Bin -1 counts all documents."""
+def _counted(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """bin, and for each of ``kinds`` the documents of that kind with the feature. Rows are text
+    and kind, a number. Bin -1 counts all documents."""
+    schema = "bin bigint, " + ", ".join(f"{k} bigint" for k in kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = Known(features), np.zeros((3, BINS), dtype=np.int32)
-        whole = np.zeros(3, dtype=np.int64)
+        known, counts = Known(features), np.zeros((len(kinds), BINS), dtype=np.int32)
+        whole = np.zeros(len(kinds), dtype=np.int64)
         for pdf in batches:
-            for t, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                tokens = tokens_of(t)
-                bins = set().union(*map(known.__getitem__, set(tokens)))
-                bins = np.fromiter(bins, dtype=np.int64, count=len(bins))
-                for kind in [0] if toxic < 0 else [0, 1 if toxic else 2]:
-                    counts[kind, bins] += 1
-                    whole[kind] += 1
-        used = np.flatnonzero(counts[0])
-        yield pd.DataFrame({"bin": [-1], "corpus": whole[:1], "toxic": whole[1:2],
-                            "other": whole[2:]})
-        for k in range(0, len(used), 100_000):
-            b = used[k:k + 100_000]
-            yield pd.DataFrame({"bin": b, "corpus": counts[0, b], "toxic": counts[1, b],
-                                "other": counts[2, b]})
-
-    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text")).join(
-        training(labels), F.col("_doc") == F.col("_id"), "left").select(
-        "text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-    return rows.mapInPandas(run, "bin bigint, corpus bigint, toxic bigint, other bigint").groupBy(
-        "bin").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "other")])
+            for t, kind in zip(pdf["text"], pdf["kind"], strict=True):
+                bins = set().union(*map(known.__getitem__, set(tokens_of(t))))
+                counts[kind, np.fromiter(bins, dtype=np.int64, count=len(bins))] += 1
+                whole[kind] += 1
+        yield pd.DataFrame({"bin": [-1]} | {k: [n] for k, n in zip(kinds, whole, strict=True)})
+        used = np.flatnonzero(counts.any(axis=0))
+        for at in range(0, len(used), 100_000):
+            b = used[at:at + 100_000]
+            yield pd.DataFrame({"bin": b} | {k: counts[n, b] for n, k in enumerate(kinds)})
+
+    return rows.mapInPandas(run, schema).groupBy("bin").agg(*[F.sum(k).alias(k) for k in kinds])
+
+
+def maybe_labelled(docs: DataFrame, train: DataFrame, id: str) -> DataFrame:
+    """The documents whose id falls on a set bit of a bitmap of the training ids: all training
+    documents, and by chance a few others. The bitmap has ``MARKS`` bits whatever the number of
+    labels, so its broadcast is bounded; it only spares the shuffle of unlabelled texts."""
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(MARKS))
+
+    marks = train.select(place("_id").alias("_p")).groupBy(
+        F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.expr(
+            "shiftleft(1L, int(_p & 63))")).alias("_bits"))
+    rows = docs.withColumn("_p", place(id))
+    set_ = F.expr("(shiftrightunsigned(_bits, int(_p & 63)) & 1L) = 1L")
+    return rows.join(F.broadcast(marks), (F.shiftright("_p", 6) == F.col("_word")) & set_,
+                     "left_semi").drop("_p")
+
+
+def feature_counts(docs: DataFrame, labels: DataFrame, id: str = "doc_id",
+                   text: str = "text") -> DataFrame:
+    """bin, corpus, toxic, other: documents with the feature, in the whole corpus and among
+    labelled training ones. Bin -1 counts all documents. Texts are shuffled only where they may
+    be labelled, and by the same join at every size."""
+    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text"))
+    train = settle(training(labels), "training")
+    corpus = _counted(rows.select("text", F.lit(0).alias("kind")), ("corpus",))
+    learned = maybe_labelled(rows, train, "_doc").join(
+        train.hint("merge"), F.col("_doc") == F.col("_id")).select(
+        "text", F.when(F.col("toxic") > 0, 0).otherwise(1).alias("kind"))
+    classes = _counted(learned, ("toxic", "other"))
+    return corpus.join(classes, "bin", "left").select("bin", "corpus", *[
+        F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in ("toxic", "other")])
 
 
 @dataclass(frozen=True)
@@ -118,11 +149,6 @@ class Scores:
     bins: np.ndarray
     values: np.ndarray
 
-    def table(self) -> np.ndarray:
-        out = np.full(BINS, -GAP, dtype=np.float64)
-        out[self.bins] = self.values
-        return out
-
 
 def feature_scores(counts: DataFrame) -> Scores:
     """Scores from the counts, at most ``BINS`` rows, of which only supported ones are
@@ -185,8 +211,8 @@ def passages(docs: DataFrame, scores: Scores, id: str = "doc_id",
     bins, weights = scores.bins, scores.values
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = Scores(bins, weights).table()
-        known = Known(lambda token: max(table[b] for b in features(token)))
+        table = dict(zip(bins.tolist(), weights.tolist(), strict=True))
+        known = Known(lambda token: max(table.get(b, -GAP) for b in features(token)))
         for pdf in batches:
             n, found = [], []
             for t in pdf["text"]:
