@@ -40,7 +40,7 @@ MARKS = 1 << 23  # bits
 PRIOR_DOCS = 50.0  # weight of the prior, in documents
 Z = 3.0
 GAP = 0.05
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 250_000
 STEP, MOST = 0.05, 10.0  # bins of log(1 + evidence) for the logistic fit
 EDGE = ".,;:!?\"'()[]{}<>*#%$&|-_"
 
