@@ -8,9 +8,9 @@ and stay. Documents with fewer than three such lines have no window and stay as
 
 DataFrame functions only. Windows are shuffled as two 64-bit hashes and a place. Counts are
 pre-aggregated; the table of repeated windows is stored, so its join with the places of a
-frequent window is one that adaptive execution splits. What is collected per document is at
-most one entry for each of its windows. Rows with equal ids are one document; null texts stay
-null; a null id sorts first.
+frequent window is one that adaptive execution splits. Rows are numbered and stored once; places
+belong to a row, so what is collected for it is at most one entry for each of its windows. Rows
+with equal or null ids are documents of their own; null texts stay null; a null id sorts first.
 """
 
 from __future__ import annotations
@@ -34,35 +34,46 @@ def _worded(lines: str) -> Column:
                     lambda p: F.get(F.col(lines), p).rlike(WORD))
 
 
-def windows(docs: DataFrame, size: int = LINES, id: str = "doc_id",
-            text: str = "text") -> DataFrame:
-    """doc_id, at (number of the window among the worded lines), k1, k2 (128 bits of hash)."""
-    lines = (docs.select(F.col(id).alias("doc_id"), _split(F.col(text)).alias("lines"))
-             .select("doc_id", "lines", _worded("lines").alias("worded")))
-    hashed = lines.where(F.size("worded") >= size).select("doc_id", F.transform(
+def numbered(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """_row (all columns), doc_id, text, and row, a number of the row; stored, so that every
+    reading has the same numbers."""
+    rows = settle(docs.select(F.struct(*docs.columns).alias("_row"),
+                              F.monotonically_increasing_id().alias("row")), "rows")
+    return rows.select("_row", F.col("_row")[id].alias("doc_id"), F.col("_row")[text].alias("text"),
+                       "row")
+
+
+def windows(rows: DataFrame, size: int = LINES) -> DataFrame:
+    """doc_id, tie (hash of the text), row, at (number of the window among the worded lines), k1,
+    k2 (128 bits of hash)."""
+    lines = rows.select("doc_id", "row", F.xxhash64("text").alias("tie"),
+                        _split(F.col("text")).alias("lines")).withColumn(
+        "worded", _worded("lines"))
+    hashed = lines.where(F.size("worded") >= size).select("doc_id", "tie", "row", F.transform(
         "worded", lambda p: F.xxhash64(F.get("lines", p))).alias("a"), F.transform(
         "worded", lambda p: F.xxhash64(F.lit(1), F.get("lines", p))).alias("b"))
     starts = F.sequence(F.lit(0), F.size("a") - size)
     keys = F.transform(starts, lambda i: F.struct(
         i.alias("at"), *[F.xxhash64(*[F.get(F.col(side), i + j) for j in range(size)]).alias(key)
                          for side, key in (("a", "k1"), ("b", "k2"))]))
-    return hashed.select("doc_id", F.inline(keys))
+    return hashed.select("doc_id", "tie", "row", F.inline(keys))
 
 
-def removed(docs: DataFrame, size: int = LINES, id: str = "doc_id",
-            text: str = "text") -> DataFrame:
-    """doc_id and gone: the numbers of its worded lines that later occurrences cover."""
-    places = windows(docs, size, id, text)
-    place = F.struct("doc_id", "at")
+def removed(rows: DataFrame, size: int = LINES) -> DataFrame:
+    """row and gone: the numbers of its worded lines that later occurrences cover."""
+    places = windows(rows, size)
+    place = F.struct("doc_id", "tie", "row", "at")
     repeated = settle(places.groupBy("k1", "k2").agg(
         F.min(place).alias("first"), F.max(place).alias("last")).where(
-        ~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first"), "repeated")
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    start = F.when(own, F.greatest("at", F.col("first.at") + size)).otherwise(F.col("at"))
-    later = places.join(repeated, ["k1", "k2"]).where(
-        ~(own & (F.col("at") == F.col("first.at"))))
-    return later.select("doc_id", start.alias("from"), (F.col("at") + size - 1).alias("to")).where(
-        "`from` <= `to`").groupBy("doc_id").agg(
+        "first.row <> last.row OR first.at <> last.at").select(
+        "k1", "k2", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")),
+        "repeated")
+    own = F.col("row") == F.col("first_row")
+    start = F.when(own, F.greatest("at", F.col("first_at") + size)).otherwise(F.col("at"))
+    later = places.select("k1", "k2", "row", "at").join(repeated, ["k1", "k2"]).where(
+        ~(own & (F.col("at") == F.col("first_at"))))
+    return later.select("row", start.alias("from"), (F.col("at") + size - 1).alias("to")).where(
+        "`from` <= `to`").groupBy("row").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("from", "to")))).alias("gone"))
 
 
@@ -70,16 +81,14 @@ def deduplicate(docs: DataFrame, size: int = LINES, id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """The documents, all columns in their order, the text without repeated windows, and two
     counts: n_worded and n_removed lines (in place of columns of these names)."""
-    gone = removed(docs, size, id, text).withColumnRenamed("doc_id", "_doc")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_id"),
-                       F.col(text).alias("_text"))
-    lines = (rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
-             .withColumn("_lines", _split(F.col("_text")))
+    rows = numbered(docs, id, text)
+    lines = (rows.join(removed(rows, size), "row", "left")
+             .withColumn("_lines", _split(F.col("text")))
              .withColumn("_worded", _worded("_lines")))
     drop = F.transform("gone", lambda g: F.get("_worded", g))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop)
     whole = F.array_join(F.transform(kept, lambda p: F.get("_lines", p)), "\n")
-    new = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(whole)
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(whole)
     return lines.select(
         *[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns
           if c not in ("n_worded", "n_removed")],

@@ -265,6 +265,20 @@ def test_line_windows(docs, no_docs):
     assert lines.deduplicate(no_docs).collect() == []
 
 
+def test_line_windows_belong_to_rows(spark):
+    shared = "\n".join(f"shared line {k}" for k in range(4))
+    own = "\n".join(f"line {k} of one text only" for k in range(9))
+    twice = "\n".join(f"line {k} of equal rows" for k in range(3))
+    rows = [(1, shared), (None, own), (None, "a head\n" + shared), (7, own + " x"),
+            (7, "b head\n" + shared), (9, twice), (9, twice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lines.deduplicate(docs)
+    same([(r.doc_id, r.text, r.n_removed) for r in got.collect()],
+         [(1, "", 4), (None, own, 0), (None, "a head\n" + shared, 0),
+          (7, "line 8 of one text only x", 8), (7, "b head", 4), (9, twice, 0), (9, "", 3)])
+    assert got.where("n_removed > n_worded").count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_fingerprints", "op10_line_dedup"])
 def test_native_queries_have_no_python(spark, sf, name):
     from barlake.llm import queries
