@@ -82,6 +82,23 @@ def test_blocks():
         (PLAIN, "no ad"), (CHROME, "y")]
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<div class='page with-sidebar'>", "</div>"), ("<div id='content-sidebar-wrap'>", "</div>"),
+    ("<div class='has-banner'>", "</div>"), ("<body class='single comments-open'>", "</body>"),
+    ("<div class='sidebar'><p>lead</p><div class=ad>buy</div>", "</div>"),
+    ("<form id='aspnetForm'>", "</form>"), ("<div id='menu'><div class='banner'>", "</div></div>")])
+def test_wrappers_keep_their_article(before, after):
+    page = ("<article class='post comments-open'><h2 id='related-work'>Related</h2><section "
+            "id='social-history'><p>History</p></section><h3 id='notice'>Notice</h3><div class='ad'>"
+            "pay</div><ol class='comment-list'><article class='comment-body'>rude</article></ol>"
+            "<p>End</p></article>")
+    found = blocks(before + page + after + "<div class='main-menu'>m</div><p>loose</p>")
+    assert [t for z, t in found if z == ARTICLE] == ["Related", "History", "Notice", "End"]
+    assert [t for z, t in found if z == PLAIN] == ["lead"] * ("lead" in before) + ["loose"]
+    assert [t for z, t in found if z == CHROME] == ["buy"] * ("buy" in before) + [
+        "pay", "rude", "m"]
+
+
 def test_page_text(spark):
     rng = random.Random(2)
 
