@@ -127,6 +127,19 @@ def test_page_text(spark):
     assert extraction.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_repeats_count_distinct_contents(spark):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    html = "page_id long, url string, html string"
+    rows = [(i, "http://mirror/?q=%d" % i, f"<div>{words('same', 20)}</div><footer>{i}</footer>")
+            for i in range(3)]  # copies of an undeclared page
+    rows += [(3, "http://mirror/", f"<p>{words('other', 20)}</p>")]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, html)).collect()}
+    assert got == {0: words("same", 20), 1: words("same", 20), 2: words("same", 20),
+                   3: words("other", 20)}
+
+
 def test_intervals_against_plain_search(spark):
     rng = random.Random(4)
     shared = [[f"s{k}-{j}" for j in range(rng.randrange(5, 20))] for k in range(6)]
