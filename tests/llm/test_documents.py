@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from barlake.llm import components, encoding, lines, packing, quality, secrets, simhash, syncmers  # noqa: E402
+from barlake.llm import components, encoding, lines, near, packing, quality, secrets, simhash, syncmers  # noqa: E402
 from barlake.llm.bpe import Codec  # noqa: E402
 from barlake.llm.words import LibraryCodec  # noqa: E402
 from barlake.session import shared_folder  # noqa: E402
@@ -164,6 +164,41 @@ def test_links_find_every_pair_within_the_radius(spark):
     assert len(set.union(*group.values())) == len(group)
 
 
+def test_near_copies_by_exact_similarity(spark, no_docs):
+    rng = random.Random(9)
+    rows = []
+    for g in range(40):  # edited copies, on either side of 0.8, in chains
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice((30, 120, 400)))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(w)))
+            w = list(w)
+            for _ in range(rng.choice((1, 1, 2, len(w) // 60, len(w) // 45, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
+    rows += [(1000, ""), (1001, None), (1002, "a b"), (1003, "A  b"), (None, rows[0][1])]
+    runs = [brute.WORD.findall((t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in runs]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * len(sets[a] | sets[b]):
+                far += (brute.simhash(rows[a][1]) ^ brute.simhash(rows[b][1])).bit_count() > 2
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    assert far > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same([r.doc_id for r in near.one_of_each(docs).collect()],
+         [i for k, (i, _) in enumerate(rows) if find(k) == k or i is None])
+    assert near.components(no_docs).collect() == []
+
+
 def test_components_of_a_long_path(spark):
     n = 3000
     order = list(range(n))
