@@ -5,9 +5,9 @@ inner run of ``S`` words, by hash, stands at one of its edges. Whether a run is
 its own words alone, so an edit elsewhere never moves an anchor, and equal passages have equal
 anchors wherever they stand. Ties count for the edge.
 
-The anchors with their positions serve to match passages. The fingerprint of a document keeps
-the ``KEPT`` smallest distinct anchor hashes, so its size is bounded; the smallest ones of two
-fingerprints together are a fair sample of both anchor sets, from which likeness is read.
+The anchors with their positions serve to match passages. Likeness is read from all distinct
+anchors of both texts. A document's result has a digest of all its anchors with their positions,
+and beside it a sketch of bounded size, the ``KEPT`` smallest distinct anchor hashes.
 
 Words are split at space and U+0009 to U+000D. A text with fewer than ``K`` words but at least
 one has a single anchor, all of it; one without words, a null text included, has an empty fingerprint.
@@ -61,31 +61,30 @@ def anchors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         i.alias("position"), _hash("a", i).alias("anchor")))))
 
 
-def _kept(name: str) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(
-        f"{name}_at", lambda i: _hash(name, i)))), 1, KEPT)
-
-
 def fingerprinted(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds ``name``: the smallest distinct anchor hashes of the text, sorted."""
-    return _marked(rows, text, name).withColumn(name, _kept(name)).drop(
-        f"{name}_w", f"{name}_s", f"{name}_at")
+    """Adds ``name``: all distinct anchor hashes of the text, sorted, and ``name_digest``: SHA-256
+    of all anchors with their positions."""
+    marked = _marked(rows, text, name).withColumn(f"{name}_h", F.transform(
+        f"{name}_at", lambda i: _hash(name, i)))
+    placed = F.zip_with(f"{name}_at", f"{name}_h", lambda i, h: F.concat_ws(
+        ":", i.cast("string"), F.hex(h)))
+    return marked.withColumn(name, F.sort_array(F.array_distinct(f"{name}_h"))).withColumn(
+        f"{name}_digest", F.sha2(F.array_join(placed, ","), 256)).drop(
+        f"{name}_w", f"{name}_s", f"{name}_at", f"{name}_h")
 
 
-def digits(kept: Column) -> Column:
-    """The fingerprint as text: 16 hexadecimal digits for each hash."""
-    return F.array_join(F.transform(kept, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def digits(anchors: Column) -> Column:
+    """The sketch as text: 16 hexadecimal digits for each of the ``KEPT`` smallest hashes."""
+    return F.array_join(F.transform(F.slice(anchors, 1, KEPT),
+                                    lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of anchors in common (twice those in both, over those of both), as estimated from
-    the smallest anchors of the two together; 1 for two empty fingerprints, 0 for one."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union)).cast("double")
-    jaccard = both / F.size(union)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(
-        (F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        2 * jaccard / (1 + jaccard))
+    """Share of anchors in common (twice those in both, over those of both), of all distinct
+    anchors; 1 for two empty fingerprints, 0 for one."""
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
+        2 * both / (F.size(a) + F.size(b)))
 
 
 def _slices_in_order(slices: DataFrame, width: int) -> DataFrame:
@@ -108,7 +107,7 @@ def _slices_in_order(slices: DataFrame, width: int) -> DataFrame:
 
 def edited(docs: DataFrame, id: str = "doc_id", text: str = "text",
            per_slice: int = SLICE) -> DataFrame:
-    """doc_id, n_chars, edited (text), and the fingerprints kept, next_kept, edited_kept.
+    """doc_id, n_chars, edited (text), and the anchors kept, next_kept, edited_kept, with digests.
 
     The edited text is the document with its last half (rounded down) replaced by as many
     first code points of the next document by descending id, or all it has; the first document
@@ -126,26 +125,30 @@ def edited(docs: DataFrame, id: str = "doc_id", text: str = "text",
     heads = settle(rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(
         "_slice", "t"), "heads")
     order = _slices_in_order(heads, per_slice)
-    after = settle(fingerprinted(order.join(heads.select(
-        F.col("_slice").alias("next_slice"), F.col("t").alias("head")), "next_slice"),
-        "head", "head_kept").select("_slice", "head", "head_kept"), "after")
-    inside = fingerprinted(rows, "t", "kept").withColumn(
-        "_lead", F.lead(F.struct("t", "kept")).over(w))
+    after = settle(order.join(heads.select(
+        F.col("_slice").alias("next_slice"), F.col("t").alias("head")), "next_slice").select(
+        "_slice", "head"), "after")
+    inside = rows.withColumn("_lead", F.lead(F.struct("t")).over(w))
     both = inside.join(after, "_slice").select(
-        "doc_id", "t", "kept", F.coalesce("_lead.t", "head").alias("next_t"),
-        F.coalesce("_lead.kept", "head_kept").alias("next_kept"), F.length("t").alias("n"))
+        "doc_id", "t", F.coalesce("_lead.t", "head").alias("next_t"), F.length("t").alias("n"))
     half = F.floor(F.col("n") / 2).cast("int")
-    made = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "kept", "next_kept",
+    # Anchors are read after the shuffle, which moves texts only.
+    made = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "t", "next_t",
                        F.concat(F.substring("t", F.lit(1), F.col("n") - half), F.substring(
                            "next_t", F.lit(1), half)).alias("edited"))
-    return fingerprinted(made, "edited", "edited_kept")
+    for column, name in (("t", "kept"), ("next_t", "next_kept"), ("edited", "edited_kept")):
+        made = fingerprinted(made, column, name)
+    return made.drop("t", "next_t")
 
 
 def compared(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, anchors_sha256, edited_anchors_sha256 (of all anchors with positions)."""
     return edited(docs, id, text).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         digits(F.col("kept")).alias("fingerprint"),
         digits(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness("kept", "edited_kept").alias("near_edited"),
-        likeness("kept", "next_kept").alias("near_next"))
+        likeness("kept", "next_kept").alias("near_next"),
+        F.col("kept_digest").alias("anchors_sha256"),
+        F.col("edited_kept_digest").alias("edited_anchors_sha256"))

@@ -230,6 +230,23 @@ def test_edited_text_and_likeness(docs, no_docs):
     assert syncmers.compared(no_docs).collect() == []
 
 
+def test_likeness_sees_every_anchor(spark):
+    words = [f"w{k}" for k in range(5000)]
+    changed = words[:1000] + [f"x{k}" for k in range(20)] + words[1020:]
+    other = [f"y{k}" for k in range(5000)] + words[2000:2100]
+    docs = spark.createDataFrame([(3, " ".join(words)), (2, " ".join(changed)), (1, " ".join(other))],
+                                 "doc_id long, text string")
+    found = defaultdict(set)
+    for r in syncmers.anchors(docs).collect():
+        found[r.doc_id].add(r.anchor)
+    got = {r.doc_id: r for r in syncmers.compared(docs).collect()}
+    for i, j in ((3, 2), (2, 1), (1, 3)):
+        assert got[i].near_next == pytest.approx(
+            2 * len(found[i] & found[j]) / (len(found[i]) + len(found[j])))
+    assert 0.98 < got[3].near_next < 1 and 0 < got[1].near_next < 0.03
+    assert len({r.anchors_sha256 for r in got.values()}) == 3
+
+
 def test_order_over_slices(spark):
     ids = [3, 4, 9, 10, 11, 500, 501, 2_000, 2_001, 90_000, 90_001, 90_002]
     docs = spark.createDataFrame([(i, f"text of {i} " * 4) for i in ids],
