@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlake.llm import quality
+from barlake.llm import codes, middle, quality
 
 WORD = r"[^\x20\x09-\x0D]"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -112,4 +112,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND quality >= 0.5 AS kept FROM judged"""
 
 
-ORACLES = {"op1_quality_rules": quality_rules(), "op3_warc": WARC, "op10_line_dedup": LINES}
+FILL_IN_MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units,
+  {", ".join(f"('0x' || substr(h, {8 * k - 7}, 8))::BIGINT AS h{k}" for k in (1, 2, 3, 4))} FROM d),
+f AS (SELECT *, len(units)::BIGINT AS n, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>')
+    OR h3 % 100 >= {100 - middle.PLAIN_PERCENT} THEN 'plain'
+    WHEN h4 % 100 < {middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+  greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u),
+c AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+  array_to_string(units[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+
+def vector_codes(parts: int = codes.PARTS, entries: int = codes.ENTRIES,
+                 rounds: int = codes.ROUNDS) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT rn, p, min({entries} * far + e) AS best FROM (
+  SELECT rn, p, e, sum((x - y) * (x - y))::BIGINT AS far FROM c JOIN b{r} USING (p, d)
+  GROUP BY ALL) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.e, b{r}.d, coalesce(m.y, b{r}.y) AS y FROM b{r}
+  LEFT JOIN (SELECT p, best % {entries} AS e, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS y
+    FROM a{r} JOIN c USING (rn, p) GROUP BY ALL) m USING (p, e, d))""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding)
+    AS rn, embedding AS v FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS MATERIALIZED (SELECT rn, i * {parts} // len(v) AS p, i % (len(v) // {parts}) AS d,
+  floor({codes.SCALE} * v[i + 1]::DOUBLE)::BIGINT AS x
+  FROM (SELECT rn, v, unnest(range(len(v))) AS i FROM k)),
+b0 AS MATERIALIZED (SELECT p, rn - 1 AS e, d, x AS y FROM c WHERE rn <= {entries}),{",".join(steps)},
+q AS (SELECT rn, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code,
+  sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, d)) FROM b{rounds}) AS codebooks_sha256
+FROM q JOIN k USING (rn)"""
+
+
+ORACLES = {"op1_quality_rules": quality_rules(), "op3_warc": WARC, "op10_line_dedup": LINES,
+           "op11_fill_in_middle": FILL_IN_MIDDLE, "op13_vector_codes": vector_codes()}

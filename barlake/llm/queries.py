@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import encoding, extraction, lines, packing, quality, secrets, simhash, syncmers, toxicity, warc
+from barlake.llm import (
+    codes,
+    encoding,
+    extraction,
+    lines,
+    middle,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    syncmers,
+    toxicity,
+    transducer,
+    warc,
+)
 from barlake.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +99,25 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-
 @query
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transformed(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(middle.restored(), 256).alias("restored_sha256"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.counted(table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
