@@ -17,6 +17,19 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def exact_units(x: str | Column, step: str | Column | None = None, places: int = 12) -> Column:
+    """Whole number of steps in the decimal text of a quantity, as DECIMAL(28, 0).
+
+    A double stands for the shortest decimal that reads as it, so 0.3 is three tenths and sums of
+    units are exact at any size, which a quotient of doubles is not from about 1e7 steps on. ``step``
+    is the instrument's own step; without it, units are of ``places`` decimals.
+    """
+    d = _c(x).cast(f"decimal(28,{places})")
+    if step is None:
+        return (d * F.lit(10 ** places).cast("decimal(13,0)")).cast("decimal(28,0)")
+    return F.round(d / _c(step).cast("decimal(20,12)")).cast("decimal(28,0)")
+
+
 def ts_scale(ts: str | Column) -> Column:
     """Factor to nanoseconds judged by magnitude; NULL for seconds or negative values."""
     ts = _c(ts)

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from barlake.functions.scalars import hashed_draw, slipped
+from barlake.functions.scalars import exact_units, hashed_draw, slipped
 from barlake.operators.asof import asof_join
-from barlake.operators.series import SLICE, running, slice_of, with_slice
+from barlake.operators.series import running
+from barlake.operators.touch import first_touch
 from barlake.schemas import NS_DAY, NS_HOUR
 from barlake.session import settle
 
 
-UNIT = 1e-9  # step of quantities and notionals in running sums
+UNIT, PLACES = 1e-9, 9  # step of quantities and notionals in running sums
 
 
 def arrival(orders: DataFrame, latency_ns: int, jitter_ns: int = 0, seed: int = 0) -> DataFrame:
@@ -55,12 +53,12 @@ def market_fills(orders: DataFrame, tape: DataFrame, width: int = NS_DAY,
     """
     side = F.when(F.col("buyer_is_maker"), "sell").otherwise("buy")
     keys = ["symbol", "side"]
-    # Whole numbers of a small step: sums and their differences are exact at any volume.
-    units = lambda x: F.round(x / UNIT).cast("decimal(28,0)")
+    # Whole numbers of a small step, from decimal texts: terms, sums and differences are exact.
+    notional = F.col("price").cast("decimal(19,9)") * F.col("qty").cast("decimal(24,9)")
     flow = tape.select("symbol", side.alias("side"), "ts_ns", "agg_id", "price", "qty")
     flow = running(flow, {
-        "_q": ("sum", units(F.col("qty"))),
-        "_cost": ("sum", units(F.col("price") * F.col("qty")))}, keys, width=width, tie=["agg_id"])
+        "_q": ("sum", exact_units("qty", places=PLACES)),
+        "_cost": ("sum", exact_units(notional, places=PLACES))}, keys, width=width, tie=["agg_id"])
     flow = flow.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("_q", "_cost")})
     flow = settle(flow.select(*keys, "ts_ns", "agg_id", "price", "_q", "_cost"), "prefix")
     before = flow.select(*keys, "ts_ns", "agg_id", "_q", "_cost")
@@ -69,7 +67,8 @@ def market_fills(orders: DataFrame, tape: DataFrame, width: int = NS_DAY,
     zero = F.lit(0).cast("decimal(38,0)")
     start = start.withColumns({"a_q": F.coalesce("a_q", zero), "a_cost": F.coalesce("a_cost", zero)})
     # First trade whose cumulative quantity reaches the target: an as-of on the mirrored axis.
-    start = start.withColumn("_want", (-(F.col("a_q") + units(F.col("qty")))).cast("decimal(38,0)"))
+    start = start.withColumn("_want", (-(F.col("a_q") + exact_units("qty", places=PLACES))
+                                       ).cast("decimal(38,0)"))
     mirrored = flow.select(*keys, (-F.col("_q")).cast("decimal(38,0)").alias("_axis"), "ts_ns", "price", "_q", "_cost")
     done = asof_join(start, mirrored, keys, left_ts="_want", right_ts="_axis",
                      values=["ts_ns", "price", "_q", "_cost"], prefix="z", width=qty_width / UNIT)
@@ -80,104 +79,6 @@ def market_fills(orders: DataFrame, tape: DataFrame, width: int = NS_DAY,
                        (notional / F.col("qty")).alias("fill_price"))
 
 
-def first_beyond(values: np.ndarray, start: np.ndarray, limit: np.ndarray,
-                 strict: bool) -> np.ndarray:
-    """For each query, the first index >= start whose value is below (or at) the limit.
-
-    Skips power-of-two stretches whose minimum stays above the limit, all queries at once.
-    Gives len(values) where there is none.
-    """
-    n = len(values)
-    levels = [values]
-    while (1 << len(levels)) <= n:
-        half = 1 << (len(levels) - 1)
-        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-    pos = start.astype(np.int64).copy()
-    for k in range(len(levels) - 1, -1, -1):
-        inside = pos + (1 << k) <= n
-        low = np.full(len(pos), np.inf)
-        low[inside] = levels[k][pos[inside]]
-        clear = inside & (low >= limit if strict else low > limit)
-        pos[clear] += 1 << k
-    return pos
-
-
-def first_touch(orders: DataFrame, tape: DataFrame, limit: str, down: Column,
-                strict: bool, low: str = "price", high: str = "price",
-                values: Sequence[str] = ("price",), tie: Sequence[str] = (),
-                width: int = NS_HOUR) -> DataFrame:
-    """First tape row at or after arrival on the far side of each order's limit.
-
-    ``down`` marks orders waiting for ``low`` to fall to the limit; the others wait for
-    ``high`` to rise to it. The hit may be in the arrival slice or any later one. Slices
-    that cannot hit are ruled out by their extremes: one array of slice extremes per symbol
-    (its length is the time span over ``width``), searched per order, names the only later
-    slice worth opening. So each order meets at most two slices of trades.
-    """
-    need = [c for c in dict.fromkeys(["symbol", "ts_ns", low, high, *values, *tie])]
-    t = with_slice(tape.select(*need), width=width)
-    o = orders.withColumn("_down", down).withColumn(SLICE, slice_of("arrive_ns", width)
-                                                    .cast("bigint"))
-    extremes = t.groupBy("symbol", SLICE).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
-    lists = extremes.groupBy("symbol").agg(F.sort_array(F.collect_list(
-        F.struct(F.col(SLICE).alias("s"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
-    ).alias("_all"))
-    query_fields = o.schema.fields
-    hit_fields = [T.StructField(f"hit_{c}", tape.schema[c].dataType)
-                  for c in dict.fromkeys(["ts_ns", *values])]
-    schema = T.StructType([*query_fields, *hit_fields])
-    names, order_cols = schema.names, [f.name for f in query_fields]
-    row = F.struct(*order_cols)
-
-    def search(trades: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        trades = trades.sort_values(["ts_ns", *tie])
-        ts = trades["ts_ns"].to_numpy()
-        start = np.searchsorted(ts, asks["arrive_ns"].to_numpy(), side="left")
-        where, is_down = np.full(len(asks), len(ts)), asks["_down"].to_numpy(dtype=bool)
-        lim = asks[limit].to_numpy(dtype=float)
-        for flag, column, sign in ((True, low, 1.0), (False, high, -1.0)):
-            pick = is_down == flag
-            if pick.any() and len(ts):
-                where[pick] = first_beyond(sign * trades[column].to_numpy(dtype=float),
-                                           start[pick], sign * lim[pick], strict)
-        found = where < len(ts)
-        out = asks[order_cols].reset_index(drop=True)
-        at = np.minimum(where, max(len(ts) - 1, 0))
-        for f in hit_fields:
-            source = trades[f.name.removeprefix("hit_")].to_numpy()
-            col = pd.Series(source[at] if len(ts) else [None] * len(out), dtype="object")
-            out[f.name] = col.where(found, None)
-        return out[names]
-
-    # Own names for the tape's keys: orders may derive from the same table as the tape.
-    keyed = t.select(F.col("symbol").alias("_tape_symbol"), F.col(SLICE).alias("_tape_slice"),
-                     *[F.col(c).alias(c) for c in need if c != "symbol"])
-
-    def locate(left: DataFrame) -> DataFrame:
-        asked = left.groupBy("symbol", SLICE)
-        traded = keyed.groupBy("_tape_symbol", "_tape_slice")
-        return asked.cogroup(traded).applyInPandas(
-            lambda asks, trades: search(trades, asks) if len(asks) else
-            pd.DataFrame(columns=names), schema)
-
-    own = settle(locate(o), "touch")  # one row per order, read by three branches
-    hit = F.col("hit_ts_ns").isNotNull()
-    # For the rest, the first later slice whose extreme passes the limit.
-    lim = F.col(limit)
-    passes_down = (lambda s: s["lo"] < lim) if strict else (lambda s: s["lo"] <= lim)
-    passes_up = (lambda s: s["hi"] > lim) if strict else (lambda s: s["hi"] >= lim)
-    later = F.filter("_all", lambda s: (s["s"] > F.col(SLICE)) & F.when(
-        F.col("_down"), passes_down(s)).otherwise(passes_up(s)))
-    pending = own.where(~hit).select(row.alias("_o")).select("_o.*").join(lists, "symbol", "left")
-    target = F.try_element_at(later, F.lit(1))["s"]
-    named = pending.withColumn("_to", target).drop("_all")
-    resolved = locate(named.where(F.col("_to").isNotNull()).withColumn(SLICE, F.col("_to"))
-                      .select(*order_cols))
-    never = named.where(F.col("_to").isNull()).select(*order_cols)
-    return (own.where(hit).unionByName(resolved)
-            .unionByName(never, allowMissingColumns=True).drop("_down", SLICE))
-
-
 def limit_fills(orders: DataFrame, tape: DataFrame, pessimistic: bool = True,
                 width: int = NS_HOUR) -> DataFrame:
     """Limit orders: first trade through (optimistic: at or through) the limit, at the limit."""

@@ -11,12 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlake.functions.scalars import exact_units
 from barlake.operators.asof import asof_join
 from barlake.operators.series import BLOCK_ROWS, core_rows, in_blocks, running, with_row_index
 from barlake.schemas import NS_DAY
 from barlake.session import settle
 
-STEP = 1e-9  # quantities are whole numbers of this step
+PLACES = 12  # decimals of quantities whose instrument names no step
 
 
 def signed_qty():
@@ -24,18 +25,20 @@ def signed_qty():
 
 
 def positions(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int = NS_DAY,
-              step: float = STEP) -> DataFrame:
-    """Position after each fill. Quantities are summed as whole numbers of ``step``, so a
-    position is zero exactly where it closes, whatever its size and history."""
-    units = F.round(signed_qty() / step).cast("decimal(28,0)")
+              step: str | None = None) -> DataFrame:
+    """Position after each fill. Quantities are summed as whole numbers of the instrument's step
+    (column ``step``; without one, 12 decimals), taken from their decimal text, so a position is zero
+    exactly where it closes, whatever its size and history."""
+    units = exact_units(signed_qty(), step and F.col(step), PLACES)
     out = running(fills, {"_units": ("sum", units)}, keys, width=width, tie=["order_id"])
-    return out.withColumn("position", F.col("_units").cast("double") * step).drop("_units")
+    one = F.col(step) if step else F.lit(10.0 ** -PLACES)
+    return out.withColumn("position", F.col("_units").cast("double") * one.cast("double")).drop("_units")
 
 
 def round_trips(fills: DataFrame, keys: Sequence[str] = ("run_id",), width: int = NS_DAY,
-                funding: DataFrame | None = None, step: float = STEP) -> DataFrame:
-    """One row per stretch from flat to flat; open stretches are left out. ``step`` is the
-    quantity step of the instrument.
+                funding: DataFrame | None = None, step: str | None = None) -> DataFrame:
+    """One row per stretch from flat to flat; open stretches are left out. ``step``: column with
+    the quantity step of the instrument.
 
     Gross is the cash the fills brought in. ``net`` follows the published identity (slippage
     is subtracted although fill prices include it); ``net_cash`` is the account's own change.

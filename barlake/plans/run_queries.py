@@ -19,7 +19,7 @@ TRIPS = """SELECT run_id, k AS trip, min(ts_ns) AS entry_ts, max(ts_ns) AS exit_
     AS gross, sum(fee) AS fees, 0.0::DOUBLE AS slippage, 0.0::DOUBLE AS funding,
     sum(CASE WHEN side = 'buy' THEN -qty ELSE qty END * price) - sum(fee) AS net,
     max(ts_ns) - min(ts_ns) AS hold_ns FROM (SELECT *, (row_number() OVER (PARTITION BY run_id
-    ORDER BY ts_ns) + 1) // 2 AS k FROM fills) GROUP BY 1, 2 HAVING count(*) = 2"""
+    ORDER BY ts_ns) + 2) // 3 AS k FROM fills) GROUP BY 1, 2 HAVING count(*) = 3"""
 EQUITY = """SELECT run_id, ts_ns, price AS close, 10000 - sum(CASE WHEN side = 'buy' THEN qty ELSE -qty
     END * price + fee) OVER w + sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) OVER w * price
     AS equity FROM fills WINDOW w AS (PARTITION BY run_id ORDER BY ts_ns)"""

@@ -141,13 +141,14 @@ def order_book_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf: str) -> DataFrame:
-    """Alternating fills: odd ticks of a symbol buy, even ones sell the bought quantity."""
+    """Of each three ticks of a symbol two buy, in thousandths, and the third sells all of it."""
     from barlake.operators.series import core_rows, in_blocks
 
-    blocks, w = in_blocks(ticks(spark, sf), before=1)
-    odd = F.col("_idx") % 2 == 0
-    qty = F.when(odd, F.col("qty")).otherwise(F.lag("qty").over(w))
-    rows = blocks.withColumn("_q", qty).withColumn("side", F.when(odd, "buy").otherwise("sell"))
+    blocks, w = in_blocks(ticks(spark, sf), before=2)
+    own = F.round(F.col("qty"), 3)
+    sells = F.col("_idx") % 3 == 2
+    qty = F.when(sells, F.round(F.lag(own, 1).over(w) + F.lag(own, 2).over(w), 3)).otherwise(own)
+    rows = blocks.withColumn("_q", qty).withColumn("side", F.when(sells, "sell").otherwise("buy"))
     return core_rows(rows).select(
         F.col("symbol").alias("run_id"), F.col("agg_id").alias("order_id"), "ts_ns", "side",
         "price", F.col("_q").alias("qty"), (F.col("price") * F.col("_q") * 5.0 / 1e4).alias("fee"))
@@ -208,11 +209,11 @@ VIEW_SQL = {
             + value / 1000.0::DOUBLE AS price,
           epoch_ns(ts) AS submitted_ns FROM events)""",
     "fills": """SELECT symbol AS run_id, agg_id AS order_id, ts_ns,
-        CASE WHEN rn % 2 = 1 THEN 'buy' ELSE 'sell' END AS side, price, q AS qty,
-        price * q * 5.0::DOUBLE / 1e4::DOUBLE AS fee FROM (SELECT *,
-          CASE WHEN rn % 2 = 1 THEN qty ELSE lag(qty) OVER (PARTITION BY symbol ORDER BY ts_ns)
-          END AS q FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS rn
-          FROM ticks))""",
+        CASE WHEN rn % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, price, q AS qty,
+        price * q * 5.0::DOUBLE / 1e4::DOUBLE AS fee FROM (SELECT *, CASE WHEN rn % 3 = 0
+          THEN round(lag(own) OVER w + lag(own, 2) OVER w, 3) ELSE own END AS q FROM (SELECT *,
+          round(qty, 3) AS own, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS rn FROM ticks)
+          WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns))""",
 }
 
 

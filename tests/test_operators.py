@@ -1,5 +1,7 @@
 """Hand-computed values of bars, edges, models, fills and verdicts."""
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -123,22 +125,26 @@ def test_verdict(spark):
     assert bool(got.go["good"]) and not bool(got.go["bad"]) and got.n_failed["bad"] == 1
 
 
-def test_round_trips_close_at_any_size(spark):
+@pytest.mark.parametrize("named", [False, True])
+def test_round_trips_close_at_any_size(spark, named):
+    """Split fills on each instrument's own step, sizes from 1e-4 to 1e12: every trip is found."""
     from barlake.operators.trades import round_trips
 
-    rows, step = [], 0.001
-    for k, scale in enumerate((1e-1, 1.0, 1e3, 1e6)):
-        for i in range(200):
-            q = round((1 + i * 0.37) * scale / step) * step
-            a = round(q * 0.3 / step) * step
-            for j, (side, qty) in enumerate((("buy", a), ("buy", q - a), ("sell", q * 0 + a),
-                                             ("sell", q - a))):
-                rows.append((f"r{k}", i * 4 + j, i * 4 + j, side, 100.0, qty, 0.0))
-    fills = spark.createDataFrame(
-        rows, "run_id string, order_id long, ts_ns long, side string, price double, qty double, fee double")
-    trips = round_trips(fills)
+    rows, rng = [], np.random.default_rng(7)
+    for k, (size, step) in enumerate(((1e-4, "0.00000001"), (1e6, "0.001"), (1e8, "0.001"), (1e12, "0.01"))):
+        for i in range(500):
+            whole = int(rng.integers(3, int(size / float(step)) + 4))
+            a = int(rng.integers(1, whole - 1))
+            c = int(rng.integers(1, whole))
+            units = [("buy", a), ("buy", whole - a), ("sell", c), ("sell", whole - c)]
+            for j, (side, n) in enumerate(units):
+                qty = float(Decimal(n) * Decimal(step))
+                rows.append((f"r{k}", i * 4 + j, i * 4 + j, side, 100.0, qty, 0.0, float(step)))
+    fills = spark.createDataFrame(rows, "run_id string, order_id long, ts_ns long, side string, "
+                                        "price double, qty double, fee double, qty_step double")
+    trips = round_trips(fills, step="qty_step" if named else None)
     assert {r.run_id: r["count"] for r in trips.groupBy("run_id").count().collect()} == {
-        f"r{k}": 200 for k in range(4)}
+        f"r{k}": 500 for k in range(4)}
 
 
 def test_newey_west_at_long_lags(spark):

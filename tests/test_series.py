@@ -9,7 +9,6 @@ from barlake.operators import features, signals, trades
 from barlake.operators.asof import asof_join
 from barlake.operators.quantiles import grouped_quantiles
 from barlake.operators.series import running
-from barlake.operators.tca import first_beyond
 
 
 @pytest.fixture(scope="module")
@@ -114,19 +113,6 @@ def test_greedy_choice_across_stretches(spark):
     assert sorted(got["entry_ts"]) == want
 
 
-def test_first_beyond_matches_a_scan():
-    rng = np.random.default_rng(1)
-    for n in (1, 2, 9, 64, 100):
-        x = rng.normal(size=n)
-        start, limit = rng.integers(0, n + 1, 50), rng.normal(size=50)
-        for strict in (True, False):
-            got = first_beyond(x, start, limit, strict)
-            for i in range(50):
-                hit = [j for j in range(start[i], n)
-                       if (x[j] < limit[i] if strict else x[j] <= limit[i])]
-                assert got[i] == (hit[0] if hit else n)
-
-
 def test_meanrev_goldens(spark):
     def events(closes):
         df = spark.createDataFrame([("A", i * 10**9, float(c)) for i, c in enumerate(closes)],
