@@ -231,126 +231,6 @@ def priced(trades: DataFrame, slippage_bps: float, taker_bps: float) -> DataFram
         "net", F.col("gross") - F.col("fees") - F.col("slippage") - F.col("funding"))
 
 
-def non_overlapping(candidates: DataFrame, max_hold_ns: int, keys: Sequence[str] = ("symbol",),
-                    start: str = "entry_ts", end: str = "exit_ts",
-                    stretch: int = 1000) -> DataFrame:
-    """Greedy choice of trades: the next one starts at or after the chosen one's end.
-
-    Candidates start at distinct times and last at most ``max_hold_ns``. Time is cut into
-    stretches much longer than a trade. Each stretch tells, for the few candidates a trade
-    from before can hand over to, when the chain leaves it; those tables are walked per key
-    and all stretches replay their choice in parallel.
-    """
-    keys, width = list(keys), max_hold_ns * stretch
-    cell = [*keys, "_stretch"]
-    rows = candidates.withColumn("_stretch", F.call_function("div", F.col(start), F.lit(width)))
-    key_fields = [candidates.schema[k] for k in keys]
-    number = T.StructField("_stretch", T.LongType())
-
-    def heads(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(start)
-        s, e = pdf[start].to_numpy(), pdf[end].to_numpy()
-        follow = np.searchsorted(s, e, side="left")
-        leaves = np.empty(len(s), dtype=np.int64)
-        for i in range(len(s) - 1, -1, -1):
-            leaves[i] = e[i] if follow[i] >= len(s) else leaves[follow[i]]
-        reach = int(pdf["_stretch"].iloc[0]) * width + max_hold_ns
-        n = min(len(s), int(np.searchsorted(s, reach, side="right")) + 1)
-        head = {k: [pdf[k].iloc[0]] * n for k in cell}
-        return pd.DataFrame({**head, "_start": s[:n], "_leaves": leaves[:n]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = np.iinfo(np.int64).min, []
-        for stretch_no, part in pdf.sort_values(["_stretch", "_start"]).groupby("_stretch"):
-            out.append((*[part[k].iloc[0] for k in keys], stretch_no, free))
-            i = int(np.searchsorted(part["_start"].to_numpy(), free, side="left"))
-            if i < len(part):
-                free = int(part["_leaves"].iloc[i])
-        return pd.DataFrame(out, columns=[*cell, "_free"])
-
-    longs = [T.StructField(c, T.LongType()) for c in ("_start", "_leaves")]
-    narrow = rows.select(*cell, start, end)
-    carry = narrow.groupBy(*cell).applyInPandas(
-        heads, T.StructType([*key_fields, number, *longs])).groupBy(*keys).applyInPandas(
-        chain, T.StructType([*key_fields, number, T.StructField("_free", T.LongType())]))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(start)
-        s, e = pdf[start].to_numpy(), pdf[end].to_numpy()
-        free, chosen, i = int(pdf["_free"].iloc[0]), [], 0
-        while (i := int(np.searchsorted(s, free, side="left"))) < len(s):
-            chosen.append(i)
-            free = e[i]
-        return pdf.iloc[chosen][candidates_columns]
-
-    candidates_columns = candidates.columns
-    return rows.join(carry, cell).groupBy(*cell).applyInPandas(replay, candidates.schema)
-
-
-def fixed_hold_trades(events: DataFrame, bars: DataFrame, hold_bars: int, interval_ns: int,
-                      slippage_bps: float, taker_bps: float, keys: Sequence[str] = ("symbol",),
-                      width: int = NS_DAY, max_gap: int = 64) -> DataFrame:
-    """Trades that enter at the next bar's open and leave ``hold_bars`` bars later.
-
-    One position at a time: events while a trade is open are passed over. A trade must fit
-    into ``hold_bars + max_gap`` intervals; a longer one (a data outage) is an error.
-    """
-    keys = list(keys)
-    blocks, w = in_blocks(bars.select(*keys, "ts_ns", "open"), 0, hold_bars + 1, keys, width=width)
-    looked = core_rows(blocks.withColumns({
-        "entry_ts": F.lead("ts_ns", 1).over(w), "entry_open": F.lead("open", 1).over(w),
-        "exit_ts": F.lead("ts_ns", 1 + hold_bars).over(w),
-        "exit_open": F.lead("open", 1 + hold_bars).over(w)})).drop("open")
-    side = F.when(F.col("direction") == "buy", 1).otherwise(-1)
-    found = events.withColumn("direction", side).join(looked, [*keys, "ts_ns"]).where(
-        F.col("exit_ts").isNotNull())
-    longest = (hold_bars + max_gap) * interval_ns
-    too_long = F.raise_error(F.lit("trade spans more than max_gap missing bars")).cast("bigint")
-    found = found.withColumn("exit_ts", F.when(
-        F.col("exit_ts") - F.col("ts_ns") <= longest, F.col("exit_ts")).otherwise(too_long))
-    # A new signal counts from the exit bar on: compare on the event time.
-    return priced(non_overlapping(found, longest, keys, "ts_ns", "exit_ts"),
-                  slippage_bps, taker_bps)
-
-
-def range_exit_trades(events: DataFrame, bars: DataFrame, max_hold_bars: int, interval_ns: int,
-                      slippage_bps: float, taker_bps: float, width: int = NS_DAY,
-                      max_gap: int = 64) -> DataFrame:
-    """Breakout trades that leave once a close is back inside the entry range.
-
-    ``events``: symbol, ts_ns, direction, level. Entry at the next bar's open; the exit is
-    decided by the first later close back across the level, at the latest ``max_hold_bars``
-    bars after the event, and fills at the open after it. One position at a time.
-    """
-    from barlake.operators.tca import first_touch
-
-    blocks, w = in_blocks(bars.select("symbol", "ts_ns", "open"), 0, max_hold_bars + 1,
-                          width=width)
-    looked = settle(core_rows(blocks.withColumns({
-        "next_ts": F.lead("ts_ns", 1).over(w), "next_open": F.lead("open", 1).over(w),
-        "_cap": F.lead("ts_ns", max_hold_bars).over(w)})).drop("open"), "next_bars")
-    asks = events.withColumn("arrive_ns", F.col("ts_ns") + 1)
-    touched = first_touch(asks.withColumnRenamed("ts_ns", "event_ts"), bars.select(
-        "symbol", "ts_ns", "close"), "level", F.col("direction") == "buy", True, "close", "close",
-        values=[], width=width)
-    entered = touched.join(looked.withColumnRenamed("ts_ns", "event_ts"), ["symbol", "event_ts"])
-    decided = entered.select(
-        "symbol", F.col("event_ts").alias("ts_ns"), "direction", F.col("next_ts").alias("entry_ts"),
-        F.col("next_open").alias("entry_open"), F.least("hit_ts_ns", "_cap").alias("_decided"))
-    after = looked.select("symbol", F.col("ts_ns").alias("_decided"),
-                          F.col("next_ts").alias("exit_ts"), F.col("next_open").alias("exit_open"))
-    found = decided.join(after, ["symbol", "_decided"]).drop("_decided").where(
-        F.col("exit_ts").isNotNull())
-    longest = (max_hold_bars + max_gap) * interval_ns
-    too_long = F.raise_error(F.lit("trade spans more than max_gap missing bars")).cast("bigint")
-    found = found.withColumns({
-        "direction": F.when(F.col("direction") == "buy", 1).otherwise(-1),
-        "exit_ts": F.when(F.col("exit_ts") - F.col("ts_ns") <= longest, F.col("exit_ts"))
-        .otherwise(too_long)})
-    return priced(non_overlapping(found, longest, ("symbol",), "ts_ns", "exit_ts"),
-                  slippage_bps, taker_bps)
-
-
 # -- folds, stress, sweeps ----------------------------------------------------------------
 
 def assign_folds(bars: DataFrame, train: int, test: int, keys: Sequence[str] = ("symbol",),

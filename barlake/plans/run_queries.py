@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barlake.operators import features, performance, resampling, signals, trades, verdicts
+from barlake.operators import exits, features, performance, resampling, signals, trades, verdicts
 from barlake.plans import market_queries as mq
 from barlake.plans import views as v
 from barlake.plans.registry import query
@@ -352,7 +352,7 @@ def _(spark, sf):
 def _(spark, sf):
     b = mq.hourly(spark, sf)
     events = signals.breakout(b, 12, 1.5, width=mq.WIDE)
-    return trades.fixed_hold_trades(events, b, 6, H, 1.0, 5.0, width=mq.WIDE, max_gap=720)
+    return exits.fixed_hold_trades(events, b, 6, 1.0, 5.0, width=mq.WIDE)
 
 
 @query("m11_range_exit_trades", """SELECT c.symbol, c.ts_ns, c.exit_ts, c.entry_open, c.exit_open
@@ -377,7 +377,131 @@ def _(spark, sf):
 def _(spark, sf):
     b = mq.hourly(spark, sf)
     events = signals.breakout_levels(b, 12, 1.5, width=mq.WIDE)
-    return trades.range_exit_trades(events, b, 8, H, 1.0, 5.0, width=mq.WIDE, max_gap=720)
+    return exits.range_exit_trades(events, b, 8, 1.0, 5.0, width=mq.WIDE)
+
+
+# Positions bar by bar: what was pending leaves at the open, a stop inside the bar, then the bar decides.
+STOP, HOLD = 300.0, 6
+EXITS = {
+    "zs": mq.Z_SQL,
+    "zbars": """SELECT b.symbol, b.ts_ns, b.open, b.high, b.low, b.close, zs.z, row_number() OVER (
+      PARTITION BY b.symbol ORDER BY b.ts_ns) AS rn FROM bars_1h b LEFT JOIN zs USING (symbol, ts_ns)""",
+    "walked": f"""SELECT symbol, 0::BIGINT AS rn, 0 AS p, 0::BIGINT AS e, 0::DOUBLE AS c, '' AS x, 0 AS closed,
+      0::BIGINT AS opened, '' AS reason FROM zbars WHERE rn = 1
+      UNION ALL SELECT symbol, rn, CASE WHEN free THEN ent ELSE p END, CASE WHEN free THEN rn ELSE e END,
+      CASE WHEN free THEN close ELSE c END, CASE WHEN free THEN '' WHEN CASE WHEN p = 1 THEN z >= -0.5
+        ELSE z <= 0.5 END THEN 'rule' WHEN rn - e >= {HOLD} THEN 'hold' ELSE '' END,
+      CASE WHEN gone THEN p ELSE 0 END, e, CASE WHEN x <> '' THEN x ELSE 'stop' END FROM (
+      SELECT *, gone OR p = 0 AS free FROM (SELECT z.*, w.p, w.e, w.c, w.x,
+        CASE WHEN z.z <= -1.5 THEN 1 WHEN z.z >= 1.5 THEN -1 ELSE 0 END AS ent,
+        w.p <> 0 AND (w.x <> '' OR (z.rn >= w.e + 2 AND CASE WHEN w.p = 1
+          THEN z.low <= w.c * (1 - {STOP}::DOUBLE / 1e4) ELSE z.high >= w.c * (1 + {STOP}::DOUBLE / 1e4) END)) AS gone
+        FROM walked w JOIN zbars z ON z.symbol = w.symbol AND z.rn = w.rn + 1))""",
+    "exit_trades": f"""SELECT w.symbol, closed AS direction, a.ts_ns AS entry_ts, a.open AS entry_open,
+      b.ts_ns AS exit_ts, reason, CASE WHEN reason <> 'stop' THEN b.open WHEN closed = 1 THEN
+      least(b.open, s.close * (1 - {STOP}::DOUBLE / 1e4)) ELSE greatest(b.open, s.close * (1 + {STOP}::DOUBLE / 1e4))
+      END AS exit_open FROM walked w JOIN zbars s ON s.symbol = w.symbol AND s.rn = opened
+      JOIN zbars a ON a.symbol = w.symbol AND a.rn = opened + 1
+      JOIN zbars b ON b.symbol = w.symbol AND b.rn = w.rn WHERE closed <> 0""",
+}
+PRICED = """direction * (xp - ep) AS gross, (ep + xp) * 5 / 1e4 AS fees, (entry_open + exit_open) / 1e4 AS slippage,
+    direction * (xp - ep) - (ep + xp) * 5 / 1e4 - (entry_open + exit_open) / 1e4 AS net"""
+PRICES = """*, entry_open * (1 + direction * 1.0::DOUBLE / 1e4) AS ep,
+    exit_open * (1 - direction * 1.0::DOUBLE / 1e4) AS xp"""
+TRADE_KEEP, TRADE_R6 = "symbol direction entry_ts exit_ts", "entry_open exit_open gross fees slippage net"
+
+
+def exit_trades(spark, sf):
+    b = mq.hourly(spark, sf)
+    z = features.zscore(b, 24, width=mq.WIDE)
+    return settle(exits.band_exit_trades(z, b, "z", 1.5, 0.5, 1.0, 5.0, STOP, HOLD, mq.WIDE), "trades")
+
+
+@query("m11_band_exit_trades", f"SELECT *, {PRICED} FROM (SELECT {PRICES} FROM exit_trades)",
+       f"{TRADE_KEEP} reason", TRADE_R6, **EXITS)
+def _(spark, sf):
+    return exit_trades(spark, sf)
+
+
+@query("m11_range_stop_trades", f"""SELECT *, {PRICED} FROM (SELECT {PRICES} FROM (SELECT c.* FROM chosen
+    JOIN c ON c.symbol = chosen.symbol AND c.i = chosen.i WHERE c.exit_ts IS NOT NULL))""",
+       f"{TRADE_KEEP} reason", TRADE_R6,
+       nb="""SELECT symbol, ts_ns, open, high, low, close, volume, row_number() OVER w AS rn,
+       lead(ts_ns) OVER w AS nts, lead(open) OVER w AS nopen, max(high) OVER f AS top, min(low) OVER f
+       AS bot, CASE WHEN count(*) OVER f = 12 AND volume > 1.5 * avg(volume) OVER f THEN
+       CASE WHEN close > max(high) OVER f THEN 1 WHEN close < min(low) OVER f THEN -1 END END AS d
+       FROM bars_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns), f AS (PARTITION BY symbol
+       ORDER BY ts_ns ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)""",
+       ev="""SELECT *, close * (1 - d * 200.0::DOUBLE / 1e4) AS stop FROM nb WHERE d IS NOT NULL
+       AND nts IS NOT NULL""",
+       ru="""SELECT e.symbol, e.rn, min(x.rn) AS at FROM ev e JOIN nb x ON x.symbol = e.symbol
+       AND x.rn > e.rn AND CASE WHEN e.d = 1 THEN x.close < e.top ELSE x.close > e.bot END GROUP BY ALL""",
+       st="""SELECT e.symbol, e.rn, min(x.rn) AS at FROM ev e JOIN nb x ON x.symbol = e.symbol
+       AND x.rn >= e.rn + 2 AND CASE WHEN e.d = 1 THEN x.low <= e.stop ELSE x.high >= e.stop END GROUP BY ALL""",
+       c="""SELECT e.symbol, e.ts_ns, e.d AS direction, e.nts AS entry_ts, e.nopen AS entry_open,
+       CASE WHEN st.at <= least(ru.at, e.rn + 8) THEN s.ts_ns ELSE x.nts END AS exit_ts,
+       CASE WHEN st.at <= least(ru.at, e.rn + 8) THEN CASE WHEN e.d = 1 THEN least(s.open, e.stop)
+         ELSE greatest(s.open, e.stop) END ELSE x.nopen END AS exit_open,
+       CASE WHEN st.at <= least(ru.at, e.rn + 8) THEN 'stop' WHEN ru.at <= e.rn + 8 THEN 'rule' ELSE 'hold'
+       END AS reason, row_number() OVER (PARTITION BY e.symbol ORDER BY e.ts_ns) AS i FROM ev e
+       LEFT JOIN ru ON ru.symbol = e.symbol AND ru.rn = e.rn LEFT JOIN st ON st.symbol = e.symbol AND st.rn = e.rn
+       LEFT JOIN nb s ON s.symbol = e.symbol AND s.rn = st.at
+       LEFT JOIN nb x ON x.symbol = e.symbol AND x.rn = least(ru.at, e.rn + 8)""",
+       nxt="""SELECT a.symbol, a.i, min(b.i) AS j FROM c a LEFT JOIN c b ON a.symbol = b.symbol
+       AND b.ts_ns >= a.exit_ts GROUP BY 1, 2""",
+       chosen="""SELECT symbol, 1::BIGINT AS i FROM c WHERE i = 1 UNION ALL SELECT n.symbol, n.j
+       FROM chosen c JOIN nxt n ON n.symbol = c.symbol AND n.i = c.i WHERE n.j IS NOT NULL""")
+def _(spark, sf):
+    b = mq.hourly(spark, sf)
+    events = signals.breakout_levels(b, 12, 1.5, width=mq.WIDE)
+    return exits.range_exit_trades(events, b, 8, 1.0, 5.0, 200.0, mq.WIDE)
+
+
+@query("m11_settlement_trades", f"""SELECT *, {PRICED} FROM (SELECT {PRICES} FROM (SELECT c.* FROM chosen
+    JOIN c ON c.symbol = chosen.symbol AND c.i = chosen.i WHERE c.exit_ts IS NOT NULL))""",
+       TRADE_KEEP, TRADE_R6,
+       hist="""SELECT symbol, ts_ns, rate, list(rate) OVER (PARTITION BY symbol ORDER BY ts_ns ROWS BETWEEN
+       12 PRECEDING AND 1 PRECEDING) AS past FROM funding""",
+       ev="""SELECT symbol, ts_ns FROM hist WHERE len(past) >= 6 AND rate >= list_aggregate(past,
+       'quantile_cont', 0.7) AND rate > list_aggregate(past, 'median')""",
+       nb="""SELECT symbol, ts_ns, open, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS rn
+       FROM bars_1h""",
+       c=f"""SELECT e.symbol, e.ts_ns, 1 AS direction, a.ts_ns AS entry_ts, a.open AS entry_open, x.ts_ns AS exit_ts,
+       x.open AS exit_open, row_number() OVER (PARTITION BY e.symbol ORDER BY e.ts_ns) AS i FROM (
+       SELECT e.symbol, e.ts_ns, min(b.rn) AS at FROM ev e JOIN nb b ON b.symbol = e.symbol
+         AND b.ts_ns + {H} >= e.ts_ns + 150000000 GROUP BY ALL) e
+       JOIN nb a ON a.symbol = e.symbol AND a.rn = e.at
+       LEFT JOIN nb x ON x.symbol = e.symbol AND x.rn = e.at + 21""",
+       nxt=f"""SELECT a.symbol, a.i, min(b.i) AS j FROM c a LEFT JOIN c b ON a.symbol = b.symbol
+       AND b.ts_ns > a.exit_ts + {H} GROUP BY 1, 2""",
+       chosen="""SELECT symbol, 1::BIGINT AS i FROM c WHERE i = 1 UNION ALL SELECT n.symbol, n.j
+       FROM chosen c JOIN nxt n ON n.symbol = c.symbol AND n.i = c.i WHERE n.j IS NOT NULL""")
+def _(spark, sf):
+    """Settlements at or above the 70th percentile of the past twelve, held for twenty hours."""
+    events = signals.funding_percentile(v.funding(spark, sf), 12, 70.0)
+    return exits.settlement_hold_trades(events, mq.hourly(spark, sf), 20, H, 150_000_000, 1.0, 5.0, mq.WIDE)
+
+
+@query("m11_flow_trades", f"""SELECT *, {PRICED} FROM (SELECT {PRICES} FROM (SELECT symbol, was AS direction,
+    lag(fill_at) OVER w AS entry_ts, lag(px) OVER w AS entry_open, fill_at AS exit_ts, px AS exit_open, position
+    FROM turns WHERE position <> was WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns))
+    WHERE position = 0 AND exit_ts IS NOT NULL)""", TRADE_KEEP, TRADE_R6,
+       fl="""SELECT symbol, ts_ns, open, row_number() OVER w AS rn, lead(ts_ns) OVER w AS fill_at,
+       lead(open) OVER w AS px, CASE WHEN count(*) OVER f = 12 AND sum(volume) OVER f > 0 THEN
+       2 * sum(taker_buy_volume) OVER f / sum(volume) OVER f - 1 END AS x FROM bars_1h WINDOW w AS (
+       PARTITION BY symbol ORDER BY ts_ns), f AS (PARTITION BY symbol ORDER BY ts_ns ROWS 11 PRECEDING)""",
+       states="""SELECT symbol, 0::BIGINT AS rn, 0 AS position, 0 AS was FROM fl WHERE rn = 1 UNION ALL
+       SELECT f.symbol, f.rn, CASE WHEN position = 1 THEN CASE WHEN x < 0 THEN 0 ELSE 1 END
+       WHEN position = -1 THEN CASE WHEN x > 0 THEN 0 ELSE -1 END
+       WHEN x >= 0.1 THEN 1 WHEN x <= -0.1 THEN -1 ELSE 0 END, position FROM states s JOIN fl f
+       ON f.symbol = s.symbol AND f.rn = s.rn + 1""",
+       turns="SELECT * FROM states JOIN fl USING (symbol, rn)")
+def _(spark, sf):
+    b = mq.hourly(spark, sf)
+    x = features.flow_imbalance(b, 12, width=mq.WIDE)
+    held = settle(trades.flow_positions(x.select("symbol", "ts_ns", "flow"), "flow", 0.1, width=mq.WIDE,
+                                        block_rows=128), "positions")
+    return trades.position_trades(held, b, 1.0, 5.0, width=mq.WIDE)
 
 
 STRESS_SQL = ", ".join(f"('{n}', {f}::DOUBLE, {s}::DOUBLE)" for n, (f, s) in trades.STRESS.items())

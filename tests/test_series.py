@@ -100,19 +100,6 @@ def test_band_positions_follow_the_bar_by_bar_rule(series):
         assert part["position"].tolist() == want
 
 
-def test_greedy_choice_across_stretches(spark):
-    rng = np.random.default_rng(8)
-    s = np.sort(rng.choice(5000, 600, replace=False))
-    pdf = pd.DataFrame({"symbol": "A", "entry_ts": s, "exit_ts": s + rng.integers(1, 30, 600)})
-    got = trades.non_overlapping(spark.createDataFrame(pdf), 30, stretch=4).toPandas()
-    free, want = -1, []
-    for a, b in zip(pdf["entry_ts"], pdf["exit_ts"], strict=True):
-        if a >= free:
-            want.append(a)
-            free = b
-    assert sorted(got["entry_ts"]) == want
-
-
 def test_meanrev_goldens(spark):
     def events(closes):
         df = spark.createDataFrame([("A", i * 10**9, float(c)) for i, c in enumerate(closes)],
