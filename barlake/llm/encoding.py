@@ -8,41 +8,38 @@ holds one Arrow batch of texts, one vocabulary and a bounded dictionary of words
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.arrow import computed
 from barlake.llm.bpe import codec
 
 
 def encode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids, the tokens as ARRAY<INT>."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(vocabulary)
-        for pdf in batches:
-            ids = [np.frombuffer(c.encode(t or ""), "<u4").astype(np.int32) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
+        return lambda batch: ([np.frombuffer(c.encode(t or ""), "<u4").astype(np.int32)
+                               for t in batch.column("text").to_pylist()],)
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return computed(rows, ["doc_id"], "ids array<int>", make)
 
 
 def decode(tokens: DataFrame, vocabulary: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and text, the tokens' text with special tokens kept; null ids give ''."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(vocabulary)
-        for pdf in batches:
-            texts = [c.decoder.decode(np.asarray([] if i is None else i, dtype=np.int64)).decode()
-                     for i in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
+        return lambda batch: ([c.decoder.decode(np.asarray(i or [], dtype=np.int64)).decode()
+                               for i in batch.column("ids").to_pylist()],)
 
     rows = tokens.select(F.col(id).alias("doc_id"), F.col(ids).alias("ids"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return computed(rows, ["doc_id"], "text string", make)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id: str = "doc_id",
@@ -51,18 +48,18 @@ def round_trip(docs: DataFrame, vocabulary: str, id: str = "doc_id",
     that they decode to. Encodes and decodes in one pass, so neither ids nor decoded texts
     leave the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(vocabulary)
-        for pdf in batches:
+
+        def compute(batch: pa.RecordBatch) -> tuple:
             rows = []
-            for t in pdf["text"]:
+            for t in batch.column("text").to_pylist():
                 ids = c.encode(t or "")
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                              hashlib.sha256(c.decode(ids)).hexdigest()))
-            n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.array(n, np.int64),
-                                "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            return tuple(zip(*rows, strict=True)) if rows else ([], [], [])
+
+        return compute
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, "
-                                 "ids_sha256 string, decoded_sha256 string")
+    return computed(rows, ["doc_id"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)

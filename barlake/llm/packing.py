@@ -17,12 +17,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from barlake.llm.arrow import computed
 from barlake.llm.words import library_codec
 from barlake.session import shared_folder
 
@@ -37,22 +39,23 @@ def tokenized(docs: DataFrame, vocabulary: str, separator: int = SEPARATOR, id:
     """Pass one: doc_id, part, at (offset in the partition), n, ids (packed unsigned integers
     of 16 bits if the vocabulary fits them, else 32), stored in the shared folder."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = library_codec(vocabulary)
         end = np.array([separator], dtype="<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in c.encode_all(pdf["text"])]
+
+        def compute(batch: pa.RecordBatch) -> tuple:
+            nonlocal at
+            ids = [np.frombuffer(x + end, "<u4") for x in c.encode_all(batch.column("text").to_pylist())]
             n = np.array([len(x) for x in ids], dtype=np.int64)
             before = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "part": np.full(len(n), part, np.int64), "at": before,
-                "n": n, "ids": [x.astype(c.width).tobytes() for x in ids]})
+            return np.full(len(n), part, np.int64), before, n, [x.astype(c.width).tobytes() for x in ids]
+
+        return compute
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    out = rows.mapInPandas(run, f"doc_id {kind}, part bigint, at bigint, n bigint, ids binary")
+    out = computed(rows, ["doc_id"], "part bigint, at bigint, n bigint, ids binary", make)
     path = shared_folder(docs.sparkSession, "packing")
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
@@ -71,21 +74,23 @@ def pack(docs: DataFrame, vocabulary: str, size: int = WINDOW, separator: int =
     placed = stored.join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("before") + F.col("at")).alias("at"), "n", "ids")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, at, n, ids in zip(pdf["doc_id"], pdf["at"].tolist(), pdf["n"].tolist(),
-                                       pdf["ids"], strict=True):
+    names = [f.name for f in T._parse_datatype_string(PIECES).fields]
+    schema = T.StructType([placed.schema["doc_id"], *T._parse_datatype_string(PIECES).fields])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at_, n_, ids_ = [], *(batch.column(c).to_pylist() for c in ("at", "n", "ids"))
+            for row, (at, n, ids) in enumerate(zip(at_, n_, ids_, strict=True)):
                 ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
                 first = 0
                 while first < n:
                     sequence, offset = divmod(at + first, size)
                     length = min(size - offset, n - first)
-                    rows.append((doc, first, length, zlib.crc32(ids[first:first + length]
-                                                                .tobytes()), n, sequence, offset))
+                    rows.append((row, first, length, zlib.crc32(ids[first:first + length]), n, sequence, offset))
                     first += length
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32",
-                                              "doc_tokens", "sequence_id", "offset"]
-                               ).astype({"doc_id": pdf["doc_id"].dtype})
+            columns = np.array(rows, dtype=np.int64).reshape(-1, 7).T
+            # Ids are taken as they are, by row, so nulls and large ones stay exact.
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0])), *[
+                pa.array(c) for c in columns[1:]]], ["doc_id", *names])
 
-    return placed.mapInPandas(cut, f"doc_id {dict(placed.dtypes)['doc_id']}, {PIECES}")
+    return placed.mapInArrow(cut, schema)

@@ -15,16 +15,15 @@ the shingles' XXH64 (seed 42) have it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barlake.llm.arrow import computed
 from barlake.llm.components import roots
 from barlake.session import settle
 
@@ -58,13 +57,12 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id: str
                  text: str = "text") -> DataFrame:
     """doc_id and fp (BIGINT with the fingerprint's bits)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+    def make():
+        return lambda batch: (np.array([fingerprint(t, words, seed) for t in batch.column(
+            "text").to_pylist()], dtype=np.uint64).view(np.int64),)
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
+    return computed(rows, ["doc_id"], "fp bigint", make)
 
 
 def masks(radius: int) -> list[int]:

@@ -28,9 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.arrow import computed
 from barlake.session import settle
 
 BINS = 1 << 20
@@ -210,22 +212,24 @@ def passages(docs: DataFrame, scores: Scores, id: str = "doc_id",
     """doc_id, n (tokens) and segments: all maximal-scoring segments, in token positions."""
     bins, weights = scores.bins, scores.values
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         table = dict(zip(bins.tolist(), weights.tolist(), strict=True))
         known = Known(lambda token: max(table.get(b, -GAP) for b in features(token)))
-        for pdf in batches:
+
+        def compute(batch: pa.RecordBatch) -> tuple:
             n, found = [], []
-            for t in pdf["text"]:
+            for t in batch.column("text").to_pylist():
                 tokens = tokens_of(t)
                 n.append(len(tokens))
                 values = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
                 found.append([{"start": s, "end": e, "score": x}
                               for s, e, x in maximal_segments(values)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": np.array(n, np.int64),
-                                "segments": found})
+            return n, found
+
+        return compute
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {SEGMENTS}")
+    return computed(rows, ["doc_id"], SEGMENTS, make)
 
 
 def evidence(n: int, segment_scores: list[float], decay: float, rate: float) -> float:
@@ -249,13 +253,11 @@ def evidence(n: int, segment_scores: list[float], decay: float, rate: float) ->
 def with_evidence(found: DataFrame, decay: float, rate: float) -> DataFrame:
     """doc_id and evidence of stored passages."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "evidence": [
-                evidence(n, [s["score"] for s in segments], decay, rate)
-                for n, segments in zip(pdf["n"], pdf["segments"], strict=True)]})
+    def make():
+        return lambda batch: ([evidence(n, [s["score"] for s in segments], decay, rate) for n, segments in zip(
+            batch.column("n").to_pylist(), batch.column("segments").to_pylist(), strict=True)],)
 
-    return found.mapInPandas(run, f"doc_id {dict(found.dtypes)['doc_id']}, evidence double")
+    return computed(found, ["doc_id"], "evidence double", make)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:

@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.llm.arrow import computed
 from barlake.session import settle, shared_folder
 
 # Fixed values of the format.
@@ -136,17 +136,15 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
     found = records(spark, archive)
     kind = dict(found.dtypes)["id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            r = [parsed(bytes(x)) for x in pdf["record"]]
-            yield pd.DataFrame({
-                "page_id": pdf["id"], "payload_bytes": [x["bytes"] for x in r],
-                "payload_digest": [x["digest"] for x in r],
-                "record_type": [x["type"] for x in r],
-                "refers_to": pd.Series([x["refers_to"] for x in r], dtype=object)})
-
-    return found.mapInPandas(run, f"page_id {kind}, payload_bytes bigint, payload_digest string, "
-                                  "record_type string, refers_to string").withColumn(
+    def make():
+        def compute(batch: pa.RecordBatch) -> tuple:
+            r = [parsed(x) for x in batch.column("record").to_pylist()]
+            return tuple([x[k] for x in r] for k in ("bytes", "digest", "type", "refers_to"))
+
+        return compute
+
+    return computed(found.withColumnRenamed("id", "page_id"), ["page_id"], "payload_bytes bigint, "
+                    "payload_digest string, record_type string, refers_to string", make).withColumn(
         "refers_to", F.col("refers_to").cast(kind))
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -36,7 +38,7 @@ class LibraryCodec:
             special, key=len, reverse=True))) + ")") if special else None
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.fixed = {t: np.array([i], dtype="<u4").tobytes() for t, i in special.items()}
-        self.known: dict[str, bytes] = {}
+        self.known = dict(self.fixed)
 
     def words(self, text: str) -> list[str]:
         """Parts of the text that the library encodes by themselves: runs between spaces, each
@@ -56,22 +58,20 @@ class LibraryCodec:
         """Ids of each text as little-endian unsigned 32-bit integers; null: none."""
         texts = [t or "" for t in texts]
         for k in range(0, len(texts), at_once):
-            split = [self.words(t) for t in texts[k:k + at_once]]
             if len(self.known) > CACHE_WORDS:
-                self.known = {}
+                self.known = dict(self.fixed)
             known = self.known
-            known.update(self.fixed)
-            new = {w: self.pieces(w) for w in set().union(*split).difference(known)}
-            single = list(set().union(*new.values()).difference(known))
-            for w, e in zip(single, self.library.encode_batch_fast(
-                    single, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            for w, pieces in new.items():
-                if len(pieces) != 1:
-                    known[w] = b"".join(map(known.__getitem__, pieces))
+            split = [self.words(t) for t in texts[k:k + at_once]]
+            new = list(set(filterfalse(known.__contains__, chain.from_iterable(split))))
+            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[w] = self.packed(e.ids)
             for words in split:
                 yield b"".join(map(known.__getitem__, words))
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 @lru_cache(maxsize=2)
 def library_codec(path: str) -> LibraryCodec:

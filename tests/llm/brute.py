@@ -87,3 +87,30 @@ def deduplicated(rows):
         out[k] = (rows[k][1] if not gone else "\n".join(
             x for p, x in enumerate(lines) if p not in drop), len(gone))
     return out
+
+
+def shingle_set(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set()
+
+
+def similar_components(docs, least=(4, 5)):
+    """Smallest id of each component of the documents at or above the exact similarity."""
+    sets = [(i, shingle_set(t)) for i, t in docs]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            both = len(x & y)
+            if least[1] * both >= least[0] * (len(x) + len(y) - both):
+                root[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(sets):
+        low[find(k)] = min(low.get(find(k), i), i)
+    return sorted(low.values())

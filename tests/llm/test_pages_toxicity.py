@@ -264,8 +264,7 @@ def test_pipeline_stages(spark, sf):
             assert after == {i: t for (i, _), (t, _) in zip(
                 before, brute.deduplicated(before), strict=True)}
         elif name == "simhash near-dedup":
-            marks = [(i, brute.simhash(t)) for i, t in before]
-            assert set(after) == set(brute.components(marks))
+            assert set(after) == set(brute.similar_components(before))
         elif name == "secret scans":
             for i, t in before:
                 spans = brute.base_spans(t)
