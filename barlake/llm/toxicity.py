@@ -261,15 +261,27 @@ def with_evidence(found: DataFrame, decay: float, rate: float) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a ridge-penalised logistic curve over counted points."""
-    w = np.array([math.log((n[y == 1].sum() + 1) / (n[y == 0].sum() + 1)), 0.0])
+    """Intercept and slope of a ridge-penalised logistic curve over counted points, both labels with
+    the same total weight: 0.5 is where a document is as likely under one as under the other, however
+    rare toxic ones are. Newton steps are halved until they lower the loss, so none runs away."""
+    n = n * np.where(y == 1, 1 / n[y == 1].sum(), 1 / n[y == 0].sum()) * n.sum() / 2
     design = np.stack([np.ones_like(x), x], axis=1)
-    for _ in range(100):
+    ridge = np.array([0.0, 0.01])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + (ridge * w * w).sum() / 2)
+
+    w = np.zeros(2)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
-        gradient = design.T @ (n * (y - p)) - np.array([0.0, 0.01]) * w
+        gradient = design.T @ (n * (y - p)) - ridge * w
         hessian = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 0.01])
         step = np.linalg.solve(hessian, gradient)
-        w = w + np.clip(step, -2, 2)
+        now = loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return float(w[0]), float(w[1])

@@ -233,6 +233,17 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert a == b
 
 
+def test_logistic_curve_is_balanced_and_does_not_run_away():
+    """Many clean documents that overlap few toxic ones, far out: plain Newton steps diverge here."""
+    x = np.concatenate([np.arange(0, 7, 0.05), np.arange(3, 8, 0.05)])
+    y = np.concatenate([np.zeros(140), np.ones(100)])
+    n = np.concatenate([np.exp(-(np.arange(0, 7, 0.05) - 2) ** 2) * 400 + 1,
+                        np.exp(-(np.arange(3, 8, 0.05) - 5) ** 2) * 40])
+    a, b = toxicity.logistic(x, y, n)
+    assert b > 1 and 3 < -a / b < 4.5
+    assert toxicity.logistic(x, y, np.where(y == 1, n * 50, n)) == pytest.approx((a, b), abs=0.05)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs, labels = toxic_corpus(spark)
     assert {r.score for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.0}
