@@ -134,13 +134,98 @@ def bar_stop_fills(orders: DataFrame, bars: DataFrame, interval_ns: int, slippag
 
 def equity_marks(fills: DataFrame, marks: DataFrame, cash0: float,
                  keys: Sequence[str] = ("run_id",), width: int = NS_DAY) -> DataFrame:
-    """Cash plus position times close at each mark; fees are paid from cash."""
+    """Cash plus position times close at each mark; fees are paid from cash. Quantities and cash are
+    summed in whole units."""
     qty = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    state = running(fills, {"_pos": ("sum", qty), "_paid": ("sum", qty * F.col("price")
-                                                           + F.col("fee"))},
-                    keys, width=width, tie=["order_id"])
+    state = running(fills, {
+        "_pos": ("sum", exact_units(qty, places=PLACES)),
+        "_paid": ("sum", exact_units(qty * F.col("price") + F.col("fee"), places=PLACES))},
+        keys, width=width, tie=["order_id"])
     held = asof_join(marks, state.select(*keys, "ts_ns", "order_id", "_pos", "_paid"), keys,
                      values=["_pos", "_paid"], width=width, tie=["order_id"])
-    zero = F.lit(0.0)
-    return held.withColumn("equity", F.lit(cash0) - F.coalesce("_paid", zero)
-                           + F.coalesce("_pos", zero) * F.col("close")).drop("_pos", "_paid")
+    pos, paid = (F.coalesce(F.col(c).cast("double") * UNIT, F.lit(0.0)) for c in ("_pos", "_paid"))
+    return held.withColumn("equity", F.lit(cash0) - paid + pos * F.col("close")).drop("_pos", "_paid")
+
+
+# Order of what happens at one time: settlements, interest, fills, then the mark is taken.
+SETTLED, ACCRUED, FILLED, MARKED = range(4)
+MAX_ROUNDS = 50
+
+
+def equity_account(fills: DataFrame, marks: DataFrame, cash0: float, settlements: DataFrame | None = None,
+                   apr: float = 0.0, keys: Sequence[str] = ("run_id",), width: int = NS_DAY,
+                   step: str | None = None) -> DataFrame:
+    """Account state at each mark: position, cash (negative: borrowed), debt, funding paid so far,
+    interest charged so far, and equity.
+
+    ``fills``: keys, ts_ns, order_id, side, price, qty, fee (and the instrument's ``step``); ``marks``:
+    keys, ts_ns, close, distinct times; ``settlements``: keys, ts_ns, rate, mark. Buys beyond the
+    cash are borrowed and sales repay first, so what is owed is the negative part of one balance.
+    Interest is simple on what is owed at a mark for the time since the mark before, and is added to it.
+
+    All events form one series. A settlement's payment hangs on the position before it, an exact running
+    sum. Interest makes the balance an affine map of itself from mark to mark, a factor where it is
+    negative, and affine maps compose: with A the running product of factors, the balance is
+    A (cash0 + sum of cash / A). Which marks find it negative is found from the balance without
+    interest, which is the highest: each round charges the marks found so far and may find more,
+    never fewer, until none is added.
+    """
+    keys = list(keys)
+    nothing = F.lit(None).cast("double")
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    one = F.col(step).cast("double") if step else F.lit(10.0 ** -12)
+    events = fills.select(
+        *keys, "ts_ns", F.lit(FILLED).alias("_kind"), F.col("order_id").cast("bigint").alias("_order"),
+        exact_units(sign * F.col("qty"), step and F.col(step)).alias("_units"), one.alias("_one"),
+        (-sign * F.col("qty") * F.col("price") - F.col("fee")).alias("_cash"), nothing.alias("_rate"),
+        nothing.alias("_price"), nothing.alias("_years"))
+
+    def other(rows: DataFrame, kind: int, **given: Column) -> DataFrame:
+        empty = {"_order": F.lit(0).cast("bigint"), "_units": F.lit(0).cast("decimal(28,0)"),
+                 "_cash": F.lit(0.0), **{c: nothing for c in ("_one", "_rate", "_price", "_years")}} | given
+        return rows.select(*keys, "ts_ns", F.lit(kind).alias("_kind"), *[c.alias(n) for n, c in empty.items()])
+
+    timed = running(marks, {"_before": ("prev", F.col("ts_ns"))}, keys, width=width)
+    years = (F.col("ts_ns") - F.col("_before")) / F.lit(365.0 * NS_DAY)
+    events = events.unionByName(other(marks, MARKED, _price=F.col("close")))
+    events = events.unionByName(other(timed, ACCRUED, _years=F.coalesce(years, F.lit(0.0))))
+    if settlements is not None:
+        events = events.unionByName(other(settlements, SETTLED, _rate=F.col("rate"), _price=F.col("mark")))
+    order = ["_kind", "_order"]
+    held = running(events, {"_held": ("sum", F.col("_units")), "_step": ("last", F.col("_one"))}, keys,
+                   width=width, tie=order)
+    position = F.coalesce(F.col("_held").cast("double") * F.col("_step"), F.lit(0.0))
+    owed = F.when(F.col("_kind") == SETTLED, F.coalesce(F.col("_rate") * F.col("_price") * position, F.lit(0.0)))
+    now = held.withColumns({"position": position, "_fund": F.coalesce(owed, F.lit(0.0))})
+    now = settle(now.withColumn("_cash", F.col("_cash") - F.col("_fund")).select(
+        *keys, "ts_ns", *order, "_price", "_years", "position", "_cash", "_fund"), "events")
+    plain = running(now, {"_sum": ("sum", exact_units("_cash", places=PLACES)),
+                          "funding": ("sum", F.col("_fund"))}, keys, width=width, tie=order)
+    plain = settle(plain.withColumn("_free", F.lit(cash0) + F.col("_sum").cast("double") * UNIT).drop(
+        "_sum", "_fund"), "balance")
+    state = plain.withColumn("cash", F.col("_free"))
+    charged = -1
+    for _ in range(MAX_ROUNDS if apr else 0):
+        # A mark's interest row changes no cash, so it shows the balance that it is charged on.
+        due = state.withColumn("_due", (F.col("_kind") == ACCRUED) & (F.col("cash") < 0) & (F.col("_years") > 0))
+        found = due.agg(F.count(F.when(F.col("_due"), 1))).first()[0]
+        if found == charged:
+            break
+        charged = found
+        factor = F.when(F.col("_due"), F.log1p(F.col("_years") * apr)).otherwise(0.0)
+        grown = running(due.drop("cash"), {"_log": ("sum", factor)}, keys, width=width, tie=order)
+        grown = running(grown, {"_real": ("sum", F.col("_cash") * F.exp(-F.col("_log")))}, keys, width=width,
+                        tie=order)
+        balance = F.exp("_log") * (F.lit(cash0) + F.col("_real"))
+        before = F.when(F.col("_due"), balance / (1 + F.col("_years") * apr)).otherwise(balance)
+        # The row's own interest is left out again for the test of the next round.
+        state = settle(grown.withColumn("cash", before).drop("_log", "_real", "_due"), "account")
+    else:
+        if apr:
+            raise RuntimeError(f"interest not settled after {MAX_ROUNDS} rounds")
+    out = state.where(F.col("_kind") == MARKED)
+    return out.select(
+        *keys, "ts_ns", F.col("_price").alias("close"), "position", "cash",
+        F.greatest(F.lit(0.0), -F.col("cash")).alias("debt"), "funding",
+        (F.col("_free") - F.col("cash")).alias("interest"),
+        (F.col("cash") + F.col("position") * F.col("_price")).alias("equity"))
