@@ -16,6 +16,7 @@ from barlake.session import settle
 
 
 UNIT, PLACES = 1e-9, 9  # step of quantities and notionals in running sums
+SMALL = 1e-12  # the same for positions and cash, whose every term is rounded to it
 
 
 def arrival(orders: DataFrame, latency_ns: int, jitter_ns: int = 0, seed: int = 0) -> DataFrame:
@@ -138,12 +139,12 @@ def equity_marks(fills: DataFrame, marks: DataFrame, cash0: float,
     summed in whole units."""
     qty = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     state = running(fills, {
-        "_pos": ("sum", exact_units(qty, places=PLACES)),
-        "_paid": ("sum", exact_units(qty * F.col("price") + F.col("fee"), places=PLACES))},
+        "_pos": ("sum", exact_units(qty)),
+        "_paid": ("sum", exact_units(qty * F.col("price") + F.col("fee")))},
         keys, width=width, tie=["order_id"])
     held = asof_join(marks, state.select(*keys, "ts_ns", "order_id", "_pos", "_paid"), keys,
                      values=["_pos", "_paid"], width=width, tie=["order_id"])
-    pos, paid = (F.coalesce(F.col(c).cast("double") * UNIT, F.lit(0.0)) for c in ("_pos", "_paid"))
+    pos, paid = (F.coalesce(F.col(c).cast("double") * SMALL, F.lit(0.0)) for c in ("_pos", "_paid"))
     return held.withColumn("equity", F.lit(cash0) - paid + pos * F.col("close")).drop("_pos", "_paid")
 
 
@@ -173,7 +174,7 @@ def equity_account(fills: DataFrame, marks: DataFrame, cash0: float, settlements
     keys = list(keys)
     nothing = F.lit(None).cast("double")
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
-    one = F.col(step).cast("double") if step else F.lit(10.0 ** -12)
+    one = F.col(step).cast("double") if step else F.lit(SMALL)
     events = fills.select(
         *keys, "ts_ns", F.lit(FILLED).alias("_kind"), F.col("order_id").cast("bigint").alias("_order"),
         exact_units(sign * F.col("qty"), step and F.col(step)).alias("_units"), one.alias("_one"),
@@ -199,9 +200,9 @@ def equity_account(fills: DataFrame, marks: DataFrame, cash0: float, settlements
     now = held.withColumns({"position": position, "_fund": F.coalesce(owed, F.lit(0.0))})
     now = settle(now.withColumn("_cash", F.col("_cash") - F.col("_fund")).select(
         *keys, "ts_ns", *order, "_price", "_years", "position", "_cash", "_fund"), "events")
-    plain = running(now, {"_sum": ("sum", exact_units("_cash", places=PLACES)),
+    plain = running(now, {"_sum": ("sum", exact_units("_cash")),
                           "funding": ("sum", F.col("_fund"))}, keys, width=width, tie=order)
-    plain = settle(plain.withColumn("_free", F.lit(cash0) + F.col("_sum").cast("double") * UNIT).drop(
+    plain = settle(plain.withColumn("_free", F.lit(cash0) + F.col("_sum").cast("double") * SMALL).drop(
         "_sum", "_fund"), "balance")
     state = plain.withColumn("cash", F.col("_free"))
     charged = -1

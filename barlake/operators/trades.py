@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,7 +161,7 @@ def state_machine(rows: DataFrame, step: Mapping[str, object], keys: Sequence[st
     return indexed.join(carry, cell).groupBy(*cell).applyInPandas(replay, schema)
 
 
-def band_positions(rows: DataFrame, value: str, enter: float, leave: float,
+def band_positions(rows: DataFrame, value: str, enter: float | Column, leave: float,
                    keys: Sequence[str] = ("symbol",), width: int = NS_DAY,
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean reversion: buy at or below -enter, sell at or above it, one position at a time.
@@ -250,28 +250,55 @@ def fold_bounds(folds: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFram
         F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"))
 
 
-def walk_forward(trades: DataFrame, bounds: DataFrame, cell: Sequence[str],
-                 keys: Sequence[str] = ("symbol",), score: str = "net_total") -> DataFrame:
-    """Per fold: the cell with the best train score and its test result.
+def band_cells(bars: DataFrame, windows: Sequence[int], entry_zs: Sequence[float], exit_z: float,
+               slippage_bps: float, taker_bps: float, keys: Sequence[str] = ("symbol",),
+               width: int = NS_DAY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean-reversion trade list of every (width, entry_z) cell over every series of ``keys``.
 
-    Trades count for the stretch their entry falls in. Fold bounds are one row per stretch.
+    All windows come from one block layout; all cells' state machines run as series of one other.
+    The grid is a constant, so rows grow by its size.
     """
-    keys, cell = list(keys), list(cell)
-    b = bounds.select(*keys, "fold", "role", F.col("start_ns").alias("ts_ns"), "end_ns")
-    placed = asof_join(trades, b, keys, "entry_ts", values=["fold", "role", "end_ns"], prefix="_",
-                       width=64 * NS_DAY).where(F.col("entry_ts") <= F.col("_end_ns"))
-    scored = placed.groupBy(*keys, "_fold", "_role", *cell).agg(
+    from barlake.operators.features import zscore_in
+
+    keys = list(keys)
+    blocks, w = in_blocks(bars.select(*keys, "ts_ns", "open", "close"), before=max(windows) + 1, keys=keys,
+                          width=width, block_rows=block_rows)
+    for n in windows:
+        blocks = zscore_in(blocks, w, n, "close", f"_z{n}")
+    cells = F.array(*[F.struct(F.lit(n).alias("width"), F.lit(float(z)).alias("entry_z"), F.col(
+        f"_z{n}").alias("z")) for n in windows for z in entry_zs])
+    rows = settle(core_rows(blocks).select(*keys, "ts_ns", "open", F.inline(cells)), "cells")
+    by = [*keys, "width", "entry_z"]
+    held = settle(band_positions(rows, "z", F.col("entry_z"), exit_z, by, width, block_rows), "positions")
+    return position_trades(held.select(*by, "ts_ns", "position"), rows, slippage_bps, taker_bps, by, width)
+
+
+CELL_SUMS = ("n_trades", "net_total", "gross_total", "fees_total")
+
+
+def scored_cells(trades: DataFrame, every: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Trade counts, sums and expectancy of each row of ``every`` (columns ``by``); cells without
+    trades stay, with zero sums and no expectancy."""
+    found = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trades"), F.sum("net").alias("net_total"),
-        F.sum("gross").alias("gross_total"), F.sum("fees").alias("fees_total"))
-    train = scored.where(F.col("_role") == "train")
-    order = W.partitionBy(*keys, "_fold").orderBy(F.col(score).desc(), *cell)
-    best = train.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(
-        *keys, "_fold", *cell, F.col(score).alias("train_score"))
-    test = scored.where(F.col("_role") == "test").drop("_role")
-    sums = ["n_trades", "net_total", "gross_total", "fees_total"]
-    return best.join(test, [*keys, "_fold", *cell], "left").select(
-        *keys, F.col("_fold").alias("fold"), *cell, "train_score",
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums])
+        F.sum("gross").alias("gross_total"), F.sum("fees").alias("fees_total"),
+        (F.avg("net") / F.avg(F.col("entry_price") * F.col("qty")) * 1e4).alias("expectancy_bps"))
+    return every.join(found, list(by), "left").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0)) for c in CELL_SUMS})
+
+
+def walk_forward(scored: DataFrame, cell: Sequence[str], keys: Sequence[str] = ("symbol",),
+                 score: str = "expectancy_bps") -> DataFrame:
+    """Per fold: the cell with the best train score (none comes last) and its test result.
+
+    ``scored``: keys, fold, role, cell and sums of every cell, with or without trades.
+    """
+    keys, cell = list(keys), list(cell)
+    order = W.partitionBy(*keys, "fold").orderBy(F.col(score).desc_nulls_last(), *cell)
+    best = scored.where("role = 'train'").withColumn("_rn", F.row_number().over(order)).where(
+        "_rn = 1").select(*keys, "fold", *cell, F.col(score).alias("train_score"))
+    test = scored.where("role = 'test'").select(*keys, "fold", *cell, *CELL_SUMS, score)
+    return best.join(test, [*keys, "fold", *cell])
 
 
 def out_of_sample(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -284,26 +311,50 @@ def out_of_sample(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.avg((F.col("net_total") > 0).cast("double")).alias("pct_positive_folds"))
 
 
-# Scenario: fee factor, slippage factor (fixed values).
+# Scenario: fee factor, slippage factor, added latency in milliseconds (fixed values).
 STRESS = {
-    "fees_x1.5": (1.5, 1.0),
-    "slippage_x2": (1.0, 2.0),
-    "combined": (1.5, 2.0),
+    "fees_x1.5": (1.5, 1.0, 0),
+    "slippage_x2": (1.0, 2.0, 0),
+    "latency_plus_250ms": (1.0, 1.0, 250),
+    "combined": (1.5, 2.0, 250),
 }
 
 
-def stress_table(trades: DataFrame, slippage_bps: float, taker_bps: float,
-                 keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Expectancy of the same trades under degraded costs; survives if above zero."""
-    cases = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("_f"), F.lit(s).alias("_s"))
-                      for n, (f, s) in STRESS.items()])
-    base = trades.select(*keys, "direction", "entry_open", "exit_open", F.inline(cases))
+def retimed(trades: DataFrame, tape: DataFrame, latency_ns: int, width: int = NS_DAY) -> DataFrame:
+    """Trades whose legs fill on the tape: each at the first trade ``latency_ns`` after its time or later.
+    Adds entry_fill, exit_fill; a trade with a leg the tape cannot fill is left out."""
+    later = tape.select("symbol", (-F.col("ts_ns")).alias("_axis"), (-F.col("agg_id")).alias("_id"), "price")
+    out = trades
+    for leg in ("entry", "exit"):
+        asks = out.withColumn("_want", -(F.col(f"{leg}_ts") + latency_ns))
+        out = asof_join(asks, later, left_ts="_want", right_ts="_axis", values=["price"], prefix=f"_{leg}_",
+                        width=width, tie=["_id"]).drop("_want").withColumnRenamed(
+            f"_{leg}_price", f"{leg}_fill")
+    return out.where("entry_fill IS NOT NULL AND exit_fill IS NOT NULL")
+
+
+def stress_table(trades: DataFrame, tape: DataFrame, latency_ns: int, slippage_bps: float, taker_bps: float,
+                 keys: Sequence[str] = ("symbol",), width: int = NS_DAY) -> DataFrame:
+    """Expectancy of the same trades under degraded costs and later arrivals; survives if above zero.
+
+    Legs are timed anew on the tape once for each added latency, then every scenario is priced.
+    """
+    base = settle(trades.select(*dict.fromkeys(["symbol", *keys]), "direction", "entry_ts", "exit_ts"), "trades")
+    priced_cases = []
+    for added in sorted({ms for *_, ms in STRESS.values()}):
+        cases = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("_f"), F.lit(s).alias("_s"))
+                          for n, (f, s, ms) in STRESS.items() if ms == added])
+        legs = retimed(base, tape, latency_ns + added * 10 ** 6, width)
+        priced_cases.append(legs.select(*keys, "direction", "entry_fill", "exit_fill", F.inline(cases)))
+    rows = priced_cases[0]
+    for more in priced_cases[1:]:
+        rows = rows.unionByName(more)
     d, slip = F.col("direction"), F.col("_s") * slippage_bps / 1e4
-    entry = F.col("entry_open") * (F.lit(1.0) + d * slip)
-    leave = F.col("exit_open") * (F.lit(1.0) - d * slip)
+    entry = F.col("entry_fill") * (F.lit(1.0) + d * slip)
+    leave = F.col("exit_fill") * (F.lit(1.0) - d * slip)
     fees = (entry + leave) * F.col("_f") * taker_bps / 1e4
-    cost = (F.col("entry_open") + F.col("exit_open")) * slip
-    rows = base.withColumns({"_net": d * (leave - entry) - fees - cost, "_entry": entry})
+    cost = (F.col("entry_fill") + F.col("exit_fill")) * slip
+    rows = rows.withColumns({"_net": d * (leave - entry) - fees - cost, "_entry": entry})
     out = rows.groupBy(*keys, "scenario").agg(
         F.count(F.lit(1)).alias("n_trades"), F.sum("_net").alias("net_total"),
         (F.avg("_net") / F.avg("_entry") * 1e4).alias("expectancy_bps"))

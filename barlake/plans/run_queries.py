@@ -504,18 +504,23 @@ def _(spark, sf):
     return trades.position_trades(held, b, 1.0, 5.0, width=mq.WIDE)
 
 
-STRESS_SQL = ", ".join(f"('{n}', {f}::DOUBLE, {s}::DOUBLE)" for n, (f, s) in trades.STRESS.items())
+STRESS_SQL = ", ".join(f"('{n}', {f}::DOUBLE, {s}::DOUBLE, {ms})" for n, (f, s, ms) in trades.STRESS.items())
+ORDER_LATENCY = 150_000_000
 
 
 @query("m13_stress", f"""SELECT symbol, scenario, count(*) AS n_trades, sum(n) AS net_total,
     avg(n) / avg(e) * 1e4 AS expectancy_bps, avg(n) / avg(e) * 1e4 > 0 AS survives FROM (
-    SELECT *, direction * (x - e) - (e + x) * f * 5 / 1e4 - (entry_open + exit_open) * s / 1e4 AS n
-    FROM (SELECT symbol, scenario, direction, entry_open, exit_open, f, s, entry_open * (1 + direction
-    * s / 1e4) AS e, exit_open * (1 - direction * s / 1e4) AS x FROM trade_list CROSS JOIN
-    (VALUES {STRESS_SQL}) g(scenario, f, s))) GROUP BY 1, 2""", "symbol scenario n_trades survives",
-       "net_total expectancy_bps", **BAND)
+    SELECT *, direction * (x - e) - (e + x) * f * 5 / 1e4 - (a + b) * s / 1e4 AS n
+    FROM (SELECT symbol, scenario, direction, a, b, f, s, a * (1 + direction * s / 1e4) AS e,
+    b * (1 - direction * s / 1e4) AS x FROM timed)) GROUP BY 1, 2""", "symbol scenario n_trades survives",
+       "net_total expectancy_bps", timed=f"""SELECT t.symbol, t.scenario, t.direction, t.f, t.s, i.price AS a,
+       o.price AS b FROM (SELECT *, entry_ts + {ORDER_LATENCY} + ms * 1000000 AS ia, exit_ts + {ORDER_LATENCY}
+         + ms * 1000000 AS oa FROM trade_list CROSS JOIN (VALUES {STRESS_SQL}) g(scenario, f, s, ms)) t
+       ASOF JOIN ticks i ON i.symbol = t.symbol AND t.ia <= i.ts_ns
+       ASOF JOIN ticks o ON o.symbol = t.symbol AND t.oa <= o.ts_ns""", **BAND)
 def _(spark, sf):
-    return trades.stress_table(band_trades(spark, sf), 1.0, 5.0)
+    return trades.stress_table(band_trades(spark, sf), settle(v.ticks(spark, sf), "ticks"), ORDER_LATENCY,
+                               1.0, 5.0, width=mq.WIDE)
 
 
 FOLDS = """SELECT symbol, ts_ns, (rn - 1) // 150 AS fold, CASE WHEN (rn - 1) % 150 < 100 THEN 'train'
@@ -529,57 +534,129 @@ def _(spark, sf):
     return trades.assign_folds(mq.hourly(spark, sf), 100, 50, width=mq.WIDE)
 
 
-WALK = {
+GRID_W, GRID_Z = [12, 24], [1.0, 1.5, 9.0]  # nothing reaches the last threshold: cells without trades
+
+
+def cells_sql(bars: str) -> dict[str, str]:
+    """Trades of all cells over the series (k) of a table with k, ts_ns, open, close."""
+    return {
+        "cells": f"""SELECT * FROM (SELECT unnest({GRID_W}) AS width) CROSS JOIN (SELECT
+          unnest({GRID_Z})::DOUBLE AS entry_z)""",
+        "cb": f"""SELECT k || '|' || width || '|' || entry_z AS key, k, width, entry_z, ts_ns, open, row_number()
+          OVER (PARTITION BY k, width, entry_z ORDER BY ts_ns) AS rn, CASE WHEN width = 12 THEN z12 ELSE z24 END
+          AS z FROM (SELECT *, {", ".join(f"""CASE WHEN count(*) OVER w{n} = {n} AND stddev_pop(close) OVER w{n} > 0
+          THEN (close - avg(close) OVER w{n}) / stddev_pop(close) OVER w{n} END AS z{n}""" for n in GRID_W)}
+          FROM {bars} WINDOW {", ".join(f"w{n} AS (PARTITION BY k ORDER BY ts_ns ROWS {n - 1} PRECEDING)"
+                                        for n in GRID_W)}) CROSS JOIN cells""",
+        "cs": """SELECT key, 0::BIGINT AS rn, 0 AS position, 0 AS was FROM cb WHERE rn = 1
+          UNION ALL SELECT b.key, b.rn, CASE WHEN z IS NULL THEN position
+          WHEN position = 1 THEN CASE WHEN z >= -0.5 THEN 0 ELSE 1 END
+          WHEN position = -1 THEN CASE WHEN z <= 0.5 THEN 0 ELSE -1 END
+          WHEN z <= -entry_z THEN 1 WHEN z >= entry_z THEN -1 ELSE 0 END, position
+          FROM cs JOIN cb b ON b.key = cs.key AND b.rn = cs.rn + 1""",
+        "cm": """SELECT b.k, b.width, b.entry_z, b.ts_ns, s.position, s.was, lead(b.open) OVER w AS px
+          FROM cs s JOIN cb b USING (key, rn) WINDOW w AS (PARTITION BY b.key ORDER BY b.rn)""",
+        "ct": """SELECT *, direction * (xp - ep) AS gross, (ep + xp) * 5 / 1e4 AS fees, direction * (xp - ep)
+          - (ep + xp) * 5 / 1e4 - (e + x) / 1e4 AS net FROM (SELECT *, e * (1 + direction * 1.0::DOUBLE / 1e4) AS ep,
+          x * (1 - direction * 1.0::DOUBLE / 1e4) AS xp FROM (SELECT k, width, entry_z, was AS direction, position,
+          lag(px) OVER w AS e, px AS x FROM cm WHERE position <> was WINDOW w AS (PARTITION BY k, width, entry_z
+          ORDER BY ts_ns)) WHERE position = 0 AND x IS NOT NULL)""",
+        "scored": """SELECT k, width, entry_z, count(net) AS n_trades, coalesce(sum(net), 0) AS net_total,
+          coalesce(sum(gross), 0) AS gross_total, coalesce(sum(fees), 0) AS fees_total,
+          avg(net) / avg(ep) * 1e4 AS expectancy_bps FROM (SELECT DISTINCT k FROM cb) CROSS JOIN cells
+          LEFT JOIN ct USING (k, width, entry_z) GROUP BY ALL""",
+    }
+
+
+WALK = cells_sql("fb") | {
     "folds": FOLDS,
-    "evs": mq._sweep_events().replace("direction", "direction"),
-    "outs": mq.outcome_sql("SELECT * FROM evs WHERE z < 5", horizons=[2 * H]),
-    "scored": """SELECT o.symbol, fold, role, w AS width, z AS entry_z, count(*) AS n_trades,
-      sum(coalesce(ret_bps, 0)) AS net_total FROM outs o JOIN folds USING (symbol, ts_ns)
-      GROUP BY ALL""",
-    "best": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY net_total
-      DESC, width, entry_z) AS rn FROM scored WHERE role = 'train') WHERE rn = 1""",
-    "wf": """SELECT b.symbol, b.fold, b.width, b.entry_z, b.net_total AS train_score,
-      coalesce(t.n_trades, 0) AS n_trades, coalesce(t.net_total, 0) AS net_total FROM best b
-      LEFT JOIN (SELECT * FROM scored WHERE role = 'test') t USING (symbol, fold, width, entry_z)""",
+    "fb": """SELECT f.symbol || '#' || fold || '#' || role AS k, b.ts_ns, b.open, b.close FROM folds f
+      JOIN bars_1h b USING (symbol, ts_ns)""",
+    "roles": """SELECT *, split_part(k, '#', 1) AS symbol, split_part(k, '#', 2)::BIGINT AS fold,
+      split_part(k, '#', 3) AS role FROM scored""",
+    "wf": """SELECT b.symbol, b.fold, b.width, b.entry_z, b.expectancy_bps AS train_score, t.n_trades,
+      t.net_total, t.gross_total, t.fees_total, t.expectancy_bps FROM (SELECT *, row_number() OVER (
+      PARTITION BY symbol, fold ORDER BY expectancy_bps DESC NULLS LAST, width, entry_z) AS rn FROM roles
+      WHERE role = 'train') b JOIN roles t ON t.symbol = b.symbol AND t.fold = b.fold AND t.width = b.width
+      AND t.entry_z = b.entry_z AND t.role = 'test' WHERE b.rn = 1""",
 }
 
 
-def walk(spark, sf):
-    from barlake.operators import edge
+def with_cells(series):
+    """Each row with every cell of the constant grid."""
+    grid = F.array(*[F.struct(F.lit(n).alias("width"), F.lit(float(z)).alias("entry_z"))
+                     for n in GRID_W for z in GRID_Z])
+    return series.select("*", F.inline(grid))
 
-    b = mq.hourly(spark, sf)
-    grid = [z for z in mq.SWEEP_Z if z < 5]
-    events = signals.meanrev_grid(b, mq.SWEEP_W, grid, width=mq.WIDE)
-    out = edge.forward_outcomes(events, b, [2 * H], excursions=False)
-    unit = out.select("symbol", F.col("ts_ns").alias("entry_ts"), "width", "entry_z",
-                      F.coalesce("ret_bps", F.lit(0.0)).alias("net"),
-                      F.coalesce("ret_bps", F.lit(0.0)).alias("gross"), F.lit(0.0).alias("fees"))
-    bounds = trades.fold_bounds(trades.assign_folds(b, 100, 50, width=mq.WIDE))
-    return settle(trades.walk_forward(settle(unit, "trades"), bounds, ["width", "entry_z"]), "folds")
+
+def walk(spark, sf):
+    """Every stretch is a run of its own: indicators and positions start anew in it."""
+    folds = settle(trades.assign_folds(mq.hourly(spark, sf), 100, 50, width=mq.WIDE), "stretches")
+    by = ["symbol", "fold", "role"]
+    found = settle(trades.band_cells(folds, GRID_W, GRID_Z, 0.5, 1.0, 5.0, by, mq.WIDE), "trades")
+    scored = trades.scored_cells(found, with_cells(folds.select(*by).distinct()), [*by, "width", "entry_z"])
+    return settle(trades.walk_forward(settle(scored, "scored"), ["width", "entry_z"]), "folds")
 
 
 @query("m12_walk_forward", "SELECT * FROM wf", "symbol fold width entry_z n_trades",
-       "train_score net_total", **WALK)
+       "train_score net_total gross_total fees_total expectancy_bps", **WALK)
 def _(spark, sf):
     return walk(spark, sf)
 
 
 @query("a23_out_of_sample", """SELECT symbol, sum(n_trades)::BIGINT AS n_trades, sum(net_total)
-    AS net_total, CASE WHEN sum(n_trades) > 0 THEN sum(net_total) / sum(n_trades) ELSE 0 END
+    AS net_total, sum(gross_total) AS gross_total, sum(fees_total) AS fees_total, CASE WHEN sum(n_trades) > 0
+    THEN sum(net_total) / sum(n_trades) ELSE 0 END
     AS expectancy_quote, avg((net_total > 0)::INT::DOUBLE) AS pct_positive_folds FROM wf GROUP BY 1""",
-       "symbol n_trades", "net_total expectancy_quote pct_positive_folds", **WALK)
+       "symbol n_trades", "net_total gross_total fees_total expectancy_quote pct_positive_folds", **WALK)
 def _(spark, sf):
     return trades.out_of_sample(walk(spark, sf), ["symbol"])
 
 
-@query("m14_sweep_ranking", """SELECT width, entry_z, n_trades, net_total, row_number() OVER (
-    ORDER BY net_total DESC, width, entry_z) AS rank, n_trades < 30 AS few_trades FROM (SELECT width,
-    entry_z, sum(n_trades)::BIGINT AS n_trades, sum(net_total) AS net_total FROM wf GROUP BY 1, 2)""",
-       "width entry_z n_trades rank few_trades", "net_total", **WALK)
+@query("m14_sweep_ranking", """SELECT width, entry_z, n_trades, net_total, expectancy_bps, row_number() OVER (
+    ORDER BY expectancy_bps DESC NULLS LAST, width, entry_z) AS rank, n_trades < 30 AS few_trades FROM (
+    SELECT width, entry_z, count(net) AS n_trades, coalesce(sum(net), 0) AS net_total, avg(net) / avg(ep) * 1e4
+    AS expectancy_bps FROM cells LEFT JOIN ct USING (width, entry_z) GROUP BY 1, 2)""",
+       "width entry_z n_trades rank few_trades", "net_total expectancy_bps",
+       **cells_sql("(SELECT symbol AS k, ts_ns, open, close FROM bars_1h)"))
+def _(spark, sf):
+    found = trades.band_cells(mq.hourly(spark, sf), GRID_W, GRID_Z, 0.5, 1.0, 5.0, width=mq.WIDE)
+    one = spark.range(1).select()
+    cells = trades.scored_cells(settle(found, "trades"), with_cells(one), ["width", "entry_z"])
+    return trades.rank_cells(cells, "expectancy_bps", ["width", "entry_z"], 30)
+
+
+ACCOUNT = {
+    "mk": """SELECT symbol AS run_id, ts_ns, close, lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns) AS before
+      FROM bars_1h""",
+    "st": """SELECT f.symbol AS run_id, f.ts_ns, f.rate, t.price AS mark FROM funding f ASOF LEFT JOIN ticks t
+      ON t.symbol = f.symbol AND f.ts_ns >= t.ts_ns""",
+    "ev": f"""SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_ns, kind, oid) AS rn FROM (
+      SELECT run_id, ts_ns, 0 AS kind, 0 AS oid, 0::DOUBLE AS q, 0::DOUBLE AS c, rate, mark AS px, 0::DOUBLE AS y FROM st
+      UNION ALL SELECT run_id, ts_ns, 1, 0, 0, 0, 0, 0, coalesce(ts_ns - before, 0) / {365 * D}.0::DOUBLE FROM mk
+      UNION ALL SELECT run_id, ts_ns, 2, order_id, CASE WHEN side = 'buy' THEN qty ELSE -qty END,
+        CASE WHEN side = 'buy' THEN -qty ELSE qty END * price - fee, 0, 0, 0 FROM fills
+      UNION ALL SELECT run_id, ts_ns, 3, 0, 0, 0, 0, close, 0 FROM mk)""",
+    "ac": """SELECT run_id, 0::BIGINT AS rn, 0::DOUBLE AS pos, 500::DOUBLE AS cash, 0::DOUBLE AS paid, 0::DOUBLE AS fee
+      FROM ev WHERE rn = 1 UNION ALL SELECT e.run_id, e.rn, round(pos + q, 6), cash + c - coalesce(e.rate * px, 0) * pos
+      + least(cash, 0) * 0.3 * y, paid + coalesce(e.rate * px, 0) * pos, fee - least(cash, 0) * 0.3 * y
+      FROM ac JOIN ev e ON e.run_id = ac.run_id AND e.rn = ac.rn + 1""",
+}
+
+
+@query("x10_account", """SELECT run_id, ts_ns, pos AS position, cash, greatest(0, -cash) AS debt, paid AS funding,
+    fee AS interest, cash + pos * px AS equity FROM ac JOIN ev USING (run_id, rn) WHERE kind = 3""",
+       "run_id ts_ns", "position", "cash debt funding interest equity", **ACCOUNT)
 def _(spark, sf):
-    cells = walk(spark, sf).groupBy("width", "entry_z").agg(
-        F.sum("n_trades").alias("n_trades"), F.sum("net_total").alias("net_total"))
-    return trades.rank_cells(cells, "net_total", ["width", "entry_z"], 30)
+    """Runs on borrowed money, with funding settlements at the last price."""
+    from barlake.operators.asof import asof_join
+    from barlake.operators.tca import equity_account
+
+    ticks = settle(v.ticks(spark, sf), "ticks")
+    marks = mq.hourly(spark, sf).select(F.col("symbol").alias("run_id"), "ts_ns", "close")
+    due = asof_join(v.funding(spark, sf), ticks, values=["price"], width=8 * D, tie=["agg_id"])
+    due = due.select(F.col("symbol").alias("run_id"), "ts_ns", "rate", F.col("price").alias("mark"))
+    return equity_account(fills(spark, sf), marks, 500.0, due, 0.3, width=8 * D)
 
 
 @query("a32_bootstrap_trades", f"""SELECT run_id, count(*) AS n_sims, max(n) AS n_trades,
