@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barlake.operators.lookups import sum_per_interval
-from barlake.operators.performance import DAILY_PARTS
+from barlake.operators.performance import DAILY_PARTS, consecutive_days
 from barlake.schemas import NS_DAY
 
 
@@ -35,16 +35,6 @@ class TrendCell:
     cost_bps: float
 
 
-def _daily(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows, refused if a day is missing or comes twice. The test is part of a filter, so
-    it stands whichever columns are read."""
-    step = F.lead("ts_ns").over(W.partitionBy(*keys).orderBy("ts_ns")) - F.col("ts_ns")
-    bad = F.raise_error(F.lit("days must follow each other without gaps")).cast("boolean")
-    return rows.withColumn("_step", step).where(
-        F.when(F.col("_step").isNull() | (F.col("_step") == NS_DAY), True).otherwise(bad)
-    ).drop("_step")
-
-
 def trend_model(closes: DataFrame, marked_funding: DataFrame,
                 cells: Sequence[TrendCell]) -> DataFrame:
     """Daily trend returns per (symbol, cell) with exact turnover costs.
@@ -59,7 +49,7 @@ def trend_model(closes: DataFrame, marked_funding: DataFrame,
     w = W.partitionBy("symbol").orderBy("ts_ns")
     paid = sum_per_interval(marked_funding, "amount", ["symbol"], NS_DAY, "_paid").withColumn(
         "ts_ns", F.col("ts_ns") - NS_DAY)
-    days = _daily(closes, ["symbol"]).withColumn("_next", F.lead("close").over(w))
+    days = consecutive_days(closes, ["symbol"]).withColumn("_next", F.lead("close").over(w))
     lookbacks = sorted({c.lookback for c in cells})
     days = days.withColumns({f"_r{n}": F.col("close") / F.lag("close", n).over(w) - 1.0
                              for n in lookbacks})
@@ -127,7 +117,7 @@ def carry_model(legs: DataFrame, funding: DataFrame, cells: Sequence[CarryCell],
             raise ValueError("entry thresholds must lie above the exit thresholds")
     w = W.partitionBy(key).orderBy("ts_ns")
     rates = sum_per_interval(funding, "rate", [key], NS_DAY, "_rate")
-    days = _daily(legs, [key]).join(rates, [key, "ts_ns"], "left").withColumn(
+    days = consecutive_days(legs, [key]).join(rates, [key, "ts_ns"], "left").withColumn(
         "_rate", F.coalesce("_rate", F.lit(0.0)))
     trailing = {f"_s{n}": F.when(F.count("spot").over(w.rowsBetween(-(n - 1), 0)) == n,
                                  F.sum("_rate").over(w.rowsBetween(-(n - 1), 0)))

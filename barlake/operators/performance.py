@@ -117,23 +117,31 @@ def daily_summary(daily: DataFrame, keys: Sequence[str], hac_lag: int = 20) -> D
 DAILY_PARTS = ("net", "exposure", "turnover", "gross", "fee", "funding")
 
 
+def consecutive_days(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, refused if a day is missing or comes twice. The test is part of a filter, so
+    it stands whichever columns are read."""
+    step = F.lead("ts_ns").over(W.partitionBy(*keys).orderBy("ts_ns")) - F.col("ts_ns")
+    bad = F.raise_error(F.lit("days must follow each other without gaps")).cast("boolean")
+    return rows.withColumn("_step", step).where(
+        F.when(F.col("_step").isNull() | (F.col("_step") == NS_DAY), True).otherwise(bad)
+    ).drop("_step")
+
+
 def equal_weight(daily: DataFrame, keys: Sequence[str], member: str = "symbol") -> DataFrame:
     """Mean of every component over the members, per day; days lacking a member are refused."""
     members = daily.groupBy(*keys).agg(F.countDistinct(member).alias("_all"))
     mean = daily.groupBy(*keys, "ts_ns").agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in DAILY_PARTS])
-    bad = F.raise_error(F.lit("members have different days")).cast("double")
-    return mean.join(members, list(keys)).withColumn(
-        "net", F.when(F.col("_n") == F.col("_all"), F.col("net")).otherwise(bad)).drop(
-        "_n", "_all")
+    bad = F.raise_error(F.lit("members have different days")).cast("boolean")
+    return mean.join(members, list(keys)).where(
+        F.when(F.col("_n") == F.col("_all"), True).otherwise(bad)).drop("_n", "_all")
 
 
 def curve_summary(marks: DataFrame, keys: Sequence[str], hac_lag: int = 20) -> DataFrame:
-    """Statistics of midnight equity marks; ``missing_days`` must be 0 for them to count."""
+    """Statistics of midnight equity marks; a missing day is refused."""
     keys = list(keys)
     w = W.partitionBy(*keys).orderBy("ts_ns")
-    days = daily_marks(marks, keys).withColumn("_p", F.lag("equity").over(w)).withColumn(
-        "_gap", F.col("ts_ns") - F.lag("ts_ns").over(w)).withColumn(
+    days = consecutive_days(daily_marks(marks, keys), keys).withColumn("_p", F.lag("equity").over(w)).withColumn(
         "net", F.col("equity") / F.col("_p") - 1.0)
     peak = F.max("equity").over(_upto(keys))
     days = days.withColumn("_dd", F.lit(1.0) - F.col("equity") / peak)
@@ -144,8 +152,7 @@ def curve_summary(marks: DataFrame, keys: Sequence[str], hac_lag: int = 20) -> D
         (F.pow(last / first, F.lit(365.0) / n) - 1.0).alias("cagr"),
         (sd * year).alias("volatility"),
         F.when(sd > 0, F.avg("net") / sd * year).alias("sharpe"),
-        F.max("_dd").alias("max_drawdown"), first.alias("start_equity"), last.alias("end_equity"),
-        F.count(F.when(F.col("_gap") != NS_DAY, 1)).alias("missing_days"))
+        F.max("_dd").alias("max_drawdown"), first.alias("start_equity"), last.alias("end_equity"))
     t = newey_west(days.where(F.col("net").isNotNull()), "net", keys, hac_lag, "t_stat_nw")
     return stats.join(t, keys, "left")
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barlake.operators.series import carried
+
 BINS = 256
 
 
@@ -56,8 +58,8 @@ def grouped_quantiles(
         *keys, F.col("_b.name").alias("_name"), F.col("_b.lo").alias("_lo"),
         F.col("_b.hi").alias("_hi"), F.col("_b.rank").alias("_rank"),
     )
-    on = keys if keys else None
-    pairs = rows.join(brackets, on) if on else rows.crossJoin(F.broadcast(brackets))
+    # A NULL key is a group like any other.
+    pairs = carried(rows, brackets, keys) if keys else rows.crossJoin(F.broadcast(brackets))
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
     span = F.col("_hi") - F.col("_lo")
     step = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * BINS)).otherwise(0)
@@ -76,7 +78,7 @@ def grouped_quantiles(
     first, last = F.col("_off"), F.col("_off") + F.col("_m")
     holds = ((first <= k) & (k < last)) | ((first <= k2) & (k2 < last))
     upto = W.partitionBy(*cell).orderBy(F.col("_x").asc_nulls_first())
-    ranked = counted.join(bins.where(holds).select(*cell, "_off"), cell).withColumn(
+    ranked = carried(counted, bins.where(holds).select(*cell, "_off"), cell).withColumn(
         "_end", F.col("_off") + F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0)))
     start, end = F.col("_end") - F.col("_c"), F.col("_end")
     low = F.max(F.when((start <= k) & (k < end), F.col("_x")))
@@ -92,7 +94,12 @@ def grouped_quantiles(
         sizes = sketch.select(*keys, "n")
     else:
         sizes = sketch.select(*keys, "n", "_x.*").drop("_none")
-    out = sizes.join(wide, keys, "left") if keys else sizes.crossJoin(F.broadcast(wide))
+    if keys:
+        named = wide.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *probs)
+        out = sizes.join(named, [sizes[k].eqNullSafe(named[f"_on_{k}"]) for k in keys], "left").drop(
+            *[f"_on_{k}" for k in keys])
+    else:
+        out = sizes.crossJoin(F.broadcast(wide))
     some = F.col("n") > 0
     return out.withColumns({name: F.when(some & F.col(name).isNull(), missed.cast("double"))
                             .otherwise(F.col(name)) for name in probs})

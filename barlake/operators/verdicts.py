@@ -12,44 +12,35 @@ THRESHOLDS = {
 }
 
 
+# Criterion, its input, how it compares, and the limit or the threshold's name.
+CRITERIA = [
+    ("trades", "n_trades", ">=", "min_trades"),
+    ("expectancy", "expectancy_bps", ">", 0.0),
+    ("t_stat", "t_stat", ">=", "min_t_stat"),
+    ("profit_factor", "profit_factor", ">=", "min_profit_factor"),
+    ("drawdown", "max_drawdown", "<=", "max_drawdown"),
+    ("stress", "stress_ok", ">=", 1.0),
+    ("folds", "pct_positive_folds", ">=", "min_positive_folds"),
+]
+
+
 def criteria(runs: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
-    """One row per run and criterion: ok and a readable detail. A missing input fails.
+    """One row per run and criterion: ok, and detail, the comparison with four decimals. A missing
+    input fails.
 
     ``runs`` has n_trades, expectancy_bps, t_stat, profit_factor, max_drawdown, stress_ok,
     pct_positive_folds per run_id.
     """
-    t = {**THRESHOLDS, **(limits or {})}
-
-    def rule(name: str, column: str, ok: Column, text: Column) -> Column:
-        missing = F.col(column).isNull()
-        return F.struct(
-            F.lit(name).alias("criterion"), F.coalesce(ok, F.lit(False)).alias("ok"),
-            F.when(missing, F.lit(f"{column} missing")).otherwise(text).alias("detail"))
-
-    def fmt(pattern: str, *cols: Column) -> Column:
-        return F.format_string(pattern, *cols)
-
-    c = F.col
-    rules = [
-        rule("trades", "n_trades", c("n_trades") >= t["min_trades"],
-             fmt(f"%d trades (min {int(t['min_trades'])})", c("n_trades"))),
-        rule("expectancy", "expectancy_bps", c("expectancy_bps") > 0,
-             fmt("%.4f bps net per trade", c("expectancy_bps"))),
-        rule("t_stat", "t_stat", c("t_stat") >= t["min_t_stat"],
-             fmt(f"t=%.2f (min {t['min_t_stat']})", c("t_stat"))),
-        rule("profit_factor", "profit_factor", c("profit_factor") >= t["min_profit_factor"],
-             fmt(f"PF=%.2f (min {t['min_profit_factor']})", c("profit_factor"))),
-        rule("drawdown", "max_drawdown", c("max_drawdown") <= t["max_drawdown"],
-             fmt(f"DD=%.1f%% (max {t['max_drawdown'] * 100:.0f}%%)",
-                 c("max_drawdown") * 100)),
-        rule("stress", "stress_ok", c("stress_ok"),
-             F.when(c("stress_ok"), "survived degraded costs").otherwise("failed under stress")),
-        rule("folds", "pct_positive_folds",
-             c("pct_positive_folds") >= t["min_positive_folds"],
-             fmt(f"%.0f%% folds positive (min {t['min_positive_folds'] * 100:.0f}%%)",
-                 c("pct_positive_folds") * 100)),
-    ]
-    return runs.select("run_id", F.inline(F.array(*rules)))
+    bounds = {**THRESHOLDS, **(limits or {})}
+    rows = []
+    for name, column, sign, limit in CRITERIA:
+        bound = float(bounds.get(limit, limit))
+        value = F.col(column).cast("double")
+        ok = {">=": value >= bound, ">": value > bound, "<=": value <= bound}[sign]
+        shown = F.coalesce(value.cast("decimal(28,4)").cast("string"), F.lit("missing"))
+        rows.append(F.struct(F.lit(name).alias("criterion"), F.coalesce(ok, F.lit(False)).alias("ok"),
+                             F.concat(F.lit(f"{column} "), shown, F.lit(f" {sign} {bound:.4f}")).alias("detail")))
+    return runs.select("run_id", F.inline(F.array(*rows)))
 
 
 def verdict(table: DataFrame) -> DataFrame:

@@ -119,20 +119,30 @@ def _(spark, sf):
     return performance.regime_metrics(equity(spark, sf), 24, H, width=8 * D)
 
 
-@query("a26_curve_summary", f"""SELECT run_id, count(r) AS n_days, arg_max(equity, ts_ns)
+@query("a26_curve_summary", f"""SELECT *, (end_equity / start_equity) ^ (365.0::DOUBLE / n_days) - 1 AS cagr
+    FROM (SELECT run_id, count(r) AS n_days, arg_max(equity, ts_ns)
     / arg_min(equity, ts_ns) - 1 AS total_return, max(1 - equity / peak) AS max_drawdown,
     arg_min(equity, ts_ns) AS start_equity, arg_max(equity, ts_ns) AS end_equity,
-    count(*) FILTER (gap <> {D}) AS missing_days, stddev_samp(r) * sqrt(365.0::DOUBLE) AS volatility
-    FROM (SELECT *, equity / lag(equity) OVER w - 1 AS r, ts_ns - lag(ts_ns) OVER w AS gap,
+    stddev_samp(r) * sqrt(365.0::DOUBLE) AS volatility,
+    avg(r) / stddev_samp(r) * sqrt(365.0::DOUBLE) AS sharpe
+    FROM (SELECT *, equity / lag(equity) OVER w - 1 AS r,
     max(equity) OVER w AS peak FROM daily_eq WINDOW w AS (PARTITION BY run_id ORDER BY ts_ns))
-    GROUP BY 1""", "run_id n_days missing_days", "total_return max_drawdown start_equity end_equity "
-       "volatility", daily_eq=f"""SELECT run_id, ts_ns // {D} * {D} AS ts_ns,
-       arg_max(equity, ts_ns) AS equity FROM equity GROUP BY 1, 2""", equity=EQUITY)
+    GROUP BY 1)""", "run_id n_days", "total_return max_drawdown start_equity end_equity volatility",
+       "cagr sharpe", grid=f"""SELECT run_id, unnest(generate_series(min(ts_ns) // {D} * {D},
+       max(ts_ns) // {D} * {D}, {D})) AS ts_ns FROM equity GROUP BY 1""",
+       daily_eq=f"""SELECT g.run_id, g.ts_ns, e.equity FROM grid g ASOF JOIN equity e
+       ON e.run_id = g.run_id AND g.ts_ns + {D} > e.ts_ns""", equity=EQUITY)
 def _(spark, sf):
-    day = F.col("ts_ns") - F.pmod("ts_ns", F.lit(D))
-    marks = equity(spark, sf).groupBy("run_id", day.alias("day")).agg(
-        F.max_by("equity", "ts_ns").alias("equity")).withColumnRenamed("day", "ts_ns")
-    return performance.curve_summary(marks, ["run_id"])
+    """The last value of every day, days without a fill included."""
+    from barlake.operators.asof import asof_join
+
+    e = equity(spark, sf)
+    ends = e.groupBy("run_id").agg(F.min("ts_ns").alias("a"), F.max("ts_ns").alias("b"))
+    first, last = (F.col(c) - F.pmod(c, F.lit(D)) for c in "ab")
+    grid = ends.select("run_id", F.explode(F.sequence(first, last, F.lit(D))).alias("ts_ns")).withColumn(
+        "_end", F.col("ts_ns") + D)
+    marks = asof_join(grid, e, ["run_id"], left_ts="_end", values=["equity"], width=8 * D, strict=True)
+    return performance.curve_summary(marks.drop("_end"), ["run_id"])
 
 
 @query("a28_combine_legs", """SELECT a.run_id, a.ts_ns, a.equity + b.equity AS equity
@@ -220,8 +230,16 @@ RUN_TABLE = f"""SELECT run_id, n_trades, expectancy_bps, CASE WHEN run_id <> 'vi
     AS t_stat, profit_factor, max_drawdown, expectancy_bps > 0 AS stress_ok,
     CASE WHEN run_id <> 'click' THEN win_rate END AS folds FROM
     ({EQ_METRICS.format(k='run_id', a=ANNUAL, src='equity')}) JOIN ({TRADE_METRICS}) USING (run_id)"""
-CRITERIA = """SELECT run_id, unnest(['trades', 'expectancy', 't_stat', 'profit_factor', 'drawdown',
-    'stress', 'folds']) AS criterion, unnest([n_trades >= 300, coalesce(expectancy_bps > 0, false),
+def detail_sql(column: str, sign: str, limit: str | float) -> str:
+    bound = float(verdicts.THRESHOLDS.get(limit, limit))
+    given = {"stress_ok": "stress_ok::INT", "pct_positive_folds": "folds"}.get(column, column)
+    return (f"'{column} ' || coalesce(CAST({given} AS DECIMAL(28, 4))::VARCHAR, 'missing') || "
+            f"' {sign} {bound:.4f}'")
+
+
+CRITERIA = f"""SELECT run_id, unnest(['trades', 'expectancy', 't_stat', 'profit_factor', 'drawdown',
+    'stress', 'folds']) AS criterion, unnest([{", ".join(detail_sql(*c[1:]) for c in verdicts.CRITERIA)}])
+    AS detail, unnest([n_trades >= 300, coalesce(expectancy_bps > 0, false),
     coalesce(t_stat >= 2, false), coalesce(profit_factor >= 1.2, false), coalesce(max_drawdown <= 0.25,
     false), coalesce(stress_ok, false), coalesce(folds >= 0.7, false)]) AS ok FROM rt"""
 
@@ -234,7 +252,7 @@ def run_table(spark, sf):
         "pct_positive_folds": F.when(F.col("run_id") != "click", F.col("win_rate"))}), "runs")
 
 
-@query("a41_criteria", "SELECT * FROM crit", "run_id criterion ok", rt=RUN_TABLE, crit=CRITERIA,
+@query("a41_criteria", "SELECT * FROM crit", "run_id criterion ok detail", rt=RUN_TABLE, crit=CRITERIA,
        equity=EQUITY, trips=TRIPS)
 def _(spark, sf):
     return verdicts.criteria(run_table(spark, sf))

@@ -131,8 +131,9 @@ def trend(spark, sf):
     closes = legs.select(F.lit("SPOT").alias("symbol"), "ts_ns", F.col("spot").alias("close")
                          ).unionByName(legs.select(F.lit("PERP").alias("symbol"), "ts_ns",
                                                    F.col("perp").alias("close")))
-    marked = v.leg_funding(spark, sf).select(
-        F.lit("PERP").alias("symbol"), "ts_ns", (F.col("rate") * 1020.0).alias("amount"))
+    perp = closes.where("symbol = 'PERP'").withColumn("open", F.col("close"))
+    marked = lookups.funding_marks(v.leg_funding(spark, sf).withColumn("symbol", F.lit("PERP")), perp, D).select(
+        "symbol", "ts_ns", (F.col("rate") * F.col("mark")).alias("amount"))
     return settle(models.trend_model(closes, marked, TREND), "trend")
 
 
@@ -143,8 +144,10 @@ TREND_SQL = {
         f"('{c.name}', {c.lookback}, '{c.mode}')" for c in TREND) + ") c(cell, lookback, mode)",
     "base": f"""SELECT c.*, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) AS rn,
       lead(close) OVER (PARTITION BY symbol ORDER BY ts_ns) AS nxt, coalesce((SELECT
-      sum(rate * 1020.0::DOUBLE) FROM leg_funding f WHERE c.symbol = 'PERP' AND f.ts_ns > c.ts_ns
+      sum(amount) FROM owed f WHERE c.symbol = 'PERP' AND f.ts_ns > c.ts_ns
       + {D} AND f.ts_ns <= c.ts_ns + {2 * D}), 0) AS paid FROM closes c""",
+    "owed": f"""SELECT f.ts_ns, rate * coalesce(b.perp, a.perp) AS amount FROM leg_funding f
+      LEFT JOIN legs a ON a.ts_ns = f.ts_ns // {D} * {D} LEFT JOIN legs b ON b.ts_ns = a.ts_ns - {D}""",
     "pos": """SELECT b.symbol, cell, b.rn, b.ts_ns, b.nxt / b.close - 1 AS m, b.paid / b.close AS fr,
       CASE WHEN mode = 'buy_hold' THEN 1.0::DOUBLE WHEN p.close IS NULL THEN 0.0::DOUBLE
       WHEN mode = 'long_short' THEN sign(b.close / p.close - 1)::DOUBLE

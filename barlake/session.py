@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +26,11 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSes
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder in ``spark.checkpoint.dir``, which all executors share.
-
-    A session that names none gets a folder of this machine, but only with a local master,
-    where driver and executors are one process. On a cluster its absence is an error.
-    """
+    """A new path below the folder in ``spark.checkpoint.dir``, which all executors share; in a session
+    that names none, below its warehouse, which they share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^]]*\])?", master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file:" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -115,11 +115,12 @@ def funding_from_pages(pages: DataFrame, start_ns: int, end_ns: int) -> DataFram
         F.col("ts_ns").between(start_ns, end_ns))
     w = W.partitionBy("symbol").orderBy("ts_ns")
     gap = F.col("ts_ns") - F.lag("ts_ns").over(w)
-    bad = F.raise_error(F.lit("repeated settlement or rate not finite")).cast("double")
+    bad = F.raise_error(F.lit("repeated settlement or rate not finite")).cast("boolean")
     fine = (F.coalesce(gap, F.lit(1)) > 0) & F.col("rate").isNotNull() & ~F.isnan("rate")
     hours = F.greatest(F.lit(1), F.round(gap / F.lit(float(NS_HOUR)))).cast("int")
-    rows = rows.withColumns({"rate": F.when(fine, F.col("rate")).otherwise(bad),
-                             "_h": F.when(gap.isNotNull(), hours)})
+    # The test is part of a filter, so it stands whichever columns are read.
+    rows = rows.withColumns({"_fine": fine, "_h": F.when(gap.isNotNull(), hours)})
+    rows = rows.where(F.when(F.col("_fine"), True).otherwise(bad)).drop("_fine")
     return rows.withColumn("interval_hours", F.coalesce("_h", F.lead("_h").over(w))).drop("_h")
 
 

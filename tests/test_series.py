@@ -109,3 +109,24 @@ def test_meanrev_goldens(spark):
 
     assert events([5000, 5000, 4990, 4991, 4994, 4994]) == [(2, "buy"), (4, "sell")]
     assert events([5000, 5000, 4990, 4989, 4988, 4994]) == [(2, "buy"), (4, "buy"), (5, "sell")]
+
+
+def test_null_keys_are_groups_of_quantiles(spark):
+    rows = [("a", float(i)) for i in range(101)] + [(None, float(10 * i)) for i in range(101)] + [("b", None)]
+    got = grouped_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q": 0.25}).collect()
+    assert {(r.k, r.n, r.q) for r in got} == {("a", 101, 25.0), (None, 101, 250.0), ("b", 0, None)}
+
+
+def test_missing_days_and_members_are_refused(spark):
+    from barlake.operators.performance import curve_summary, equal_weight
+    from barlake.schemas import NS_DAY
+
+    marks = spark.createDataFrame([("A", d * NS_DAY, 1.0 + d) for d in (0, 1, 3)],
+                                  "k string, ts_ns long, equity double")
+    with pytest.raises(Exception, match="gaps"):
+        curve_summary(marks, ["k"]).select("n_days").collect()
+    assert curve_summary(marks.where(F.col("ts_ns") < 2 * NS_DAY), ["k"]).first().n_days == 1
+    parts = ", ".join(f"1.0 AS {c}" for c in ("net", "exposure", "turnover", "gross", "fee", "funding"))
+    daily = spark.createDataFrame([("c", "A", 0), ("c", "B", 0), ("c", "A", 1)], "cell string, symbol string, ts_ns long")
+    with pytest.raises(Exception, match="different days"):
+        equal_weight(daily.selectExpr("*", parts), ["cell"]).select("gross").collect()
