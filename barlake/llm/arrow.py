@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+ROWS = 1000  # rows computed at a time: long texts and what is made of them are held for these only
 Compute = Callable[[pa.RecordBatch], Sequence[object]]
 
 
@@ -29,7 +30,7 @@ def computed(rows: DataFrame, keep: Sequence[str], added: str, make: Callable[[]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             values = [pa.array(v, type=k) for v, k in zip(compute(batch), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *values], names)
 

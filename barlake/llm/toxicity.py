@@ -11,8 +11,8 @@ the segments of labelled other documents. A document's evidence is the least
 tail probability over its r best segments, and a logistic curve, fitted on a bounded histogram
 of all training documents, turns it into a score from 0 to 1.
 
-Features are counted in ``BINS`` hashed bins, so the tables of counts and scores have a fixed
-bound, whatever the vocabulary; only well-supported bins come to the driver and go out again.
+Features are 64-bit hashes, as many as the corpus has; only those that enough toxic documents hold, a
+bounded number, come to the driver and go out again.
 
 Null texts and texts without tokens have no segments and get the score of no evidence. Only
 labels of training rows are read: those whose crc32 of the id as text leaves a remainder other
@@ -22,20 +22,22 @@ than 0 modulo ``FOLDS``. Several labels of one id count as the highest; null one
 from __future__ import annotations
 
 import math
-import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.arrow import computed
 from barlake.session import settle
 
-BINS = 1 << 20
+LEAST, SHARE = 2, 1 / 2000  # toxic documents, and part of them, that must hold a feature
+ALL = 0
+CACHE_FEATURES = 300_000
 BEGINNINGS = (4, 6, 8)  # bytes
 FOLDS = 5
 MARKS = 1 << 23  # bits
@@ -48,17 +50,10 @@ EDGE = ".,;:!?\"'()[]{}<>*#%$&|-_"
 
 
 def features(token: str) -> tuple[int, ...]:
-    """Bins of a word's beginnings and of the word itself. Each checksum goes on from the one
-    of the shorter beginning."""
+    """64-bit hashes of a word's beginnings and of the word itself."""
     word = token.strip(EDGE).encode("utf-8", "replace")
-    bins, sum_, at = [], 0, 0
-    for k in BEGINNINGS:
-        if k > len(word):
-            break
-        sum_, at = zlib.crc32(word[at:k], sum_), k
-        bins.append(sum_ % BINS)
-    bins.append(zlib.crc32(word[at:] + b"\0", sum_) % BINS)
-    return tuple(bins)
+    parts = [word[:k] for k in BEGINNINGS if k <= len(word)]
+    return tuple((xxhash.xxh64_intdigest(p) or 1) - (1 << 63) for p in [*parts, word + b"\0"])
 
 
 class Known(dict):
@@ -90,26 +85,31 @@ def training(labels: DataFrame, id: str = "doc_id", label: str = "toxic") -> Dat
         F.col(id).alias("_id")).agg(F.max(label).cast("int").alias("toxic"))
 
 
-def _counted(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """bin, and for each of ``kinds`` the documents of that kind with the feature. Rows are text
-    and kind, a number. Bin -1 counts all documents."""
-    schema = "bin bigint, " + ", ".join(f"{k} bigint" for k in kinds)
+def _counted(texts: DataFrame, name: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """feature and ``name``, the documents that hold it; of the wanted features only, if any are named.
+    Feature ``ALL`` counts all documents. Tasks count in dictionaries that are handed on when full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = None if wanted is None else frozenset(wanted.tolist())
+        known = Known(features if some is None else lambda t: tuple(f for f in features(t) if f in some))
+        counts: Counter = Counter()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = Known(features), np.zeros((len(kinds), BINS), dtype=np.int32)
-        whole = np.zeros(len(kinds), dtype=np.int64)
-        for pdf in batches:
-            for t, kind in zip(pdf["text"], pdf["kind"], strict=True):
-                bins = set().union(*map(known.__getitem__, set(tokens_of(t))))
-                counts[kind, np.fromiter(bins, dtype=np.int64, count=len(bins))] += 1
-                whole[kind] += 1
-        yield pd.DataFrame({"bin": [-1]} | {k: [n] for k, n in zip(kinds, whole, strict=True)})
-        used = np.flatnonzero(counts.any(axis=0))
-        for at in range(0, len(used), 100_000):
-            b = used[at:at + 100_000]
-            yield pd.DataFrame({"bin": b} | {k: counts[n, b] for n, k in enumerate(kinds)})
+        def handed_on() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()),
+                                              pa.array(counts.values(), pa.int64())], ["feature", name])
+            counts.clear()
+            return got
 
-    return rows.mapInPandas(run, schema).groupBy("bin").agg(*[F.sum(k).alias(k) for k in kinds])
+        for batch in batches:
+            for t in batch.column("text"):
+                counts.update(set().union(*map(known.__getitem__, set(tokens_of(t.as_py())))))
+                counts[ALL] += 1
+                if len(counts) > CACHE_FEATURES:
+                    yield handed_on()
+        yield handed_on()
+
+    return texts.select("text").mapInArrow(run, f"feature bigint, {name} bigint").groupBy("feature").agg(
+        F.sum(name).alias(name))
 
 
 def maybe_labelled(docs: DataFrame, train: DataFrame, id: str) -> DataFrame:
@@ -130,46 +130,55 @@ def maybe_labelled(docs: DataFrame, train: DataFrame, id: str) -> DataFrame:
 
 def feature_counts(docs: DataFrame, labels: DataFrame, id: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """bin, corpus, toxic, other: documents with the feature, in the whole corpus and among
-    labelled training ones. Bin -1 counts all documents. Texts are shuffled only where they may
-    be labelled, and by the same join at every size."""
+    """feature, toxic, other, corpus: documents with the feature among labelled training ones and in the
+    whole corpus, for every feature that enough toxic ones hold. Feature ``ALL`` counts all documents.
+
+    Toxic documents are counted first. ``LEAST`` of them or ``SHARE`` of all must hold a feature, so there are
+    at most 1 / SHARE times as many as a document has features, whatever the corpus; only those go out
+    to be counted in the rest. Texts are shuffled only where they may be labelled.
+    """
     rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text"))
     train = settle(training(labels), "training")
-    corpus = _counted(rows.select("text", F.lit(0).alias("kind")), ("corpus",))
-    learned = maybe_labelled(rows, train, "_doc").join(
-        train.hint("merge"), F.col("_doc") == F.col("_id")).select(
-        "text", F.when(F.col("toxic") > 0, 0).otherwise(1).alias("kind"))
-    classes = _counted(learned, ("toxic", "other"))
-    return corpus.join(classes, "bin", "left").select("bin", "corpus", *[
-        F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in ("toxic", "other")])
+
+    def labelled(toxic: bool) -> DataFrame:
+        ids = train.where((F.col("toxic") > 0) if toxic else (F.col("toxic") <= 0))
+        return maybe_labelled(rows, ids, "_doc").join(ids.hint("merge"), F.col("_doc") == F.col("_id"))
+
+    toxic = settle(_counted(labelled(True), "toxic"), "toxic")
+    whole = toxic.where(F.col("feature") == ALL).agg(F.max("toxic")).first()[0] or 0
+    held = toxic.where(F.col("toxic") >= max(LEAST, SHARE * whole))
+    wanted = held.where(F.col("feature") != ALL).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)
+    counts = held.unionByName(toxic.where((F.col("feature") == ALL) & (F.col("toxic") < max(LEAST, SHARE * whole))))
+    for name, texts in (("other", labelled(False)), ("corpus", rows)):
+        counts = counts.join(_counted(texts, name, wanted), "feature", "left")
+    return counts.select("feature", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+                                      for c in ("toxic", "other", "corpus")])
 
 
 @dataclass(frozen=True)
 class Scores:
     """Scores of the well-supported features."""
 
-    bins: np.ndarray
+    features: np.ndarray
     values: np.ndarray
 
 
 def feature_scores(counts: DataFrame) -> Scores:
-    """Scores from the counts, at most ``BINS`` rows, of which only supported ones are
-    fetched."""
+    """Scores from the counts, of which only supported features are fetched."""
     counts = settle(counts, "feature-counts")
-    whole = counts.where("bin < 0").first()
-    none = Scores(np.zeros(0, dtype=np.int64), np.zeros(0))
+    whole = counts.where(F.col("feature") == ALL).first()
     if whole is None or not whole["toxic"] or not whole["other"]:
-        return none
+        return Scores(np.zeros(0, dtype=np.int64), np.zeros(0))
     n, toxic, other = (float(whole[c]) for c in ("corpus", "toxic", "other"))
     a = F.col("corpus") * (PRIOR_DOCS / (n + 1))
     t, o = F.col("toxic") + a, F.col("other") + a
     odds = F.log(t / (toxic + PRIOR_DOCS - t)) - F.log(o / (other + PRIOR_DOCS - o))
     error = F.sqrt(1 / t + 1 / o)
-    kept = counts.where("bin >= 0").select(
-        "bin", odds.alias("odds"), (Z * error).alias("margin")).where("abs(odds) > margin").select(
-        "bin", F.expr(f"sign(odds) * (abs(odds) - margin) - {GAP}").alias("score")
-    ).orderBy("bin").toPandas()
-    return Scores(kept["bin"].to_numpy(), kept["score"].to_numpy())
+    kept = counts.where(F.col("feature") != ALL).select(
+        "feature", odds.alias("odds"), (Z * error).alias("margin")).where("abs(odds) > margin").select(
+        "feature", F.expr(f"sign(odds) * (abs(odds) - margin) - {GAP}").alias("score")
+    ).orderBy("feature").toPandas()
+    return Scores(kept["feature"].to_numpy(), kept["score"].to_numpy())
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -210,10 +219,10 @@ SEGMENTS = "n bigint, segments array<struct<start:bigint,end:bigint,score:double
 def passages(docs: DataFrame, scores: Scores, id: str = "doc_id",
              text: str = "text") -> DataFrame:
     """doc_id, n (tokens) and segments: all maximal-scoring segments, in token positions."""
-    bins, weights = scores.bins, scores.values
+    hashes, weights = scores.features, scores.values
 
     def make():
-        table = dict(zip(bins.tolist(), weights.tolist(), strict=True))
+        table = dict(zip(hashes.tolist(), weights.tolist(), strict=True))
         known = Known(lambda token: max(table.get(b, -GAP) for b in features(token)))
 
         def compute(batch: pa.RecordBatch) -> tuple:

@@ -41,7 +41,7 @@ from barlake.llm.arrow import computed
 SPACE = "▁"
 PIECE = 64
 LIMIT = 4096
-CACHED_CHUNKS = 400_000  # chunk maps and
+CACHED_CHUNKS = 300_000  # chunk maps and
 CACHED_STATES = 150_000  # states of the transducer kept before either starts anew
 PROBE = "a  b　ﬁÅÅ \t\n"  # changed by any other than the supported normalization
 

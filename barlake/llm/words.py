@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from barlake.llm.bpe import PLAIN, Pieces
 
-CACHE_WORDS = 700_000  # words kept per worker before the dictionary starts anew
+CACHE_WORDS = 600_000  # words kept per worker before the dictionary starts anew
 # Characters of texts that are split by the pre-tokenizer's own rule.
 ODD = re.compile(PLAIN.pattern.replace("\x00-\x1b\x20", "\x01-\x08\n\x0e-\x1b\x20"))
 
