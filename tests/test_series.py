@@ -126,7 +126,7 @@ def test_missing_days_and_members_are_refused(spark):
     with pytest.raises(Exception, match="gaps"):
         curve_summary(marks, ["k"]).select("n_days").collect()
     assert curve_summary(marks.where(F.col("ts_ns") < 2 * NS_DAY), ["k"]).first().n_days == 1
-    parts = ", ".join(f"1.0 AS {c}" for c in ("net", "exposure", "turnover", "gross", "fee", "funding"))
+    parts = [f"1.0D AS {c}" for c in ("net", "exposure", "turnover", "gross", "fee", "funding")]
     daily = spark.createDataFrame([("c", "A", 0), ("c", "B", 0), ("c", "A", 1)], "cell string, symbol string, ts_ns long")
     with pytest.raises(Exception, match="different days"):
-        equal_weight(daily.selectExpr("*", parts), ["cell"]).select("gross").collect()
+        equal_weight(daily.selectExpr("*", *parts), ["cell"]).select("gross").collect()
