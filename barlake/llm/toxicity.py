@@ -3,8 +3,9 @@
 A feature is a word or one of its beginnings (languages inflect). Its score is its log odds, by
 documents that hold it, in toxic against other labelled documents, under a Dirichlet prior with
 the proportions of the whole corpus, less ``Z`` standard errors, so that only well-supported
-features count. A token scores as its best feature, less a small cost, so that scores fall on
-ordinary text. One linear scan of a document finds all its maximal-scoring segments (Ruzzo and
+features count. A token scores as its best feature, less a cost of ``GAP``, so that scores fall on
+ordinary text: many common words lean to one label a little, if only because documents of one
+label are longer, and without the cost long texts would add them up to more than a passage. One linear scan of a document finds all its maximal-scoring segments (Ruzzo and
 Tompa). In text without toxic passages the number of segments of at least a score s in n tokens
 is about Poisson with mean K n exp(-lambda s) (Karlin and Altschul); K and lambda are fitted to
 the segments of labelled other documents. A document's evidence is the least
@@ -41,8 +42,9 @@ FOLDS = 5
 MARKS = 1 << 23  # bits
 PRIOR_DOCS = 50.0  # weight of the prior, in documents
 Z = 3.0
-GAP = 0.05
+GAP = 0.5  # in log odds; weaker features lower a passage's score
 CACHE_TOKENS = 250_000
+NO_EVIDENCE = -1.0  # highest log odds of a document without any evidence
 STEP, MOST = 0.05, 10.0  # bins of log(1 + evidence) for the logistic fit
 EDGE = ".,;:!?\"'()[]{}<>*#%$&|-_"
 
@@ -313,6 +315,8 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id",
     a, b = (logistic(points["x"].to_numpy() * STEP, (points["toxic"] > 0).to_numpy().astype(float),
                      points["count"].to_numpy().astype(float))
             if points["toxic"].gt(0).nunique() == 2 else (-800.0, 0.0))
+    # Where no feature is supported the curve is flat at one half; nothing speaks for toxic there.
+    a = min(a, NO_EVIDENCE)
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * step * STEP)))
     return known.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"),
                         score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
