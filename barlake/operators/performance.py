@@ -170,7 +170,8 @@ legs_alignment = alignment
 
 def equity_metrics(equity: DataFrame, interval_ns: int, keys: Sequence[str] = ("run_id",),
                    width: int = NS_DAY) -> DataFrame:
-    """Return, drawdown, calmar, sharpe and sortino per run."""
+    """Return, drawdown, calmar, sharpe and sortino per run. Returns are taken from positive values
+    and falls from positive peaks only; the total is NULL where the first value is not positive."""
     e = F.col("equity")
     rows = running(equity, {"_prev": ("prev", e), "_peak": ("max", e)}, keys, width=width)
     r = F.when(F.col("_prev") > 0, e / F.col("_prev") - 1.0)
@@ -183,7 +184,7 @@ def equity_metrics(equity: DataFrame, interval_ns: int, keys: Sequence[str] = ("
     dd = F.greatest(F.lit(0.0), F.max("_dd"))
     sd = F.stddev_pop("_r")
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_bars"), F.coalesce(total, F.lit(0.0)).alias("total_return"),
+        F.count(F.lit(1)).alias("n_bars"), total.alias("total_return"),
         dd.alias("max_drawdown"), F.when(dd > 0, total / dd).alias("calmar"),
         F.when(sd > 0, F.avg("_r") / sd * annual).alias("sharpe"),
         F.when(down > 0, F.avg("_r") / down * annual).alias("sortino"))
@@ -212,10 +213,13 @@ def trade_metrics(trips: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
 
 def run_metrics(equity: DataFrame, trips: DataFrame, interval_ns: int,
                 keys: Sequence[str] = ("run_id",), width: int = NS_DAY) -> DataFrame:
-    """All statistics of a run; the trade part is NULL and the count 0 without trades."""
+    """All statistics of a run; the trade part is NULL and the count 0 without trades. A total that
+    is not defined is 0 without trades."""
     both = equity_metrics(equity, interval_ns, keys, width).join(
         trade_metrics(trips, keys), list(keys), "left")
-    return both.withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
+    total = F.when(F.col("n_trades").isNull(), F.coalesce("total_return", F.lit(0.0))).otherwise(
+        F.col("total_return"))
+    return both.withColumns({"total_return": total, "n_trades": F.coalesce("n_trades", F.lit(0))})
 
 
 def regime_metrics(curve: DataFrame, window: int, interval_ns: int,

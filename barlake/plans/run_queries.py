@@ -71,7 +71,17 @@ def _(spark, sf):
     return performance.drawdowns(equity(spark, sf), width=8 * D)
 
 
+# Returns are taken from positive values and falls from positive peaks only.
 EQ_METRICS = """SELECT {k}, n_bars, total_return, max_drawdown, CASE WHEN max_drawdown > 0
+    THEN total_return / max_drawdown END AS calmar, CASE WHEN sd > 0 THEN m / sd * {a} END AS sharpe,
+    CASE WHEN down > 0 THEN m / down * {a} END AS sortino FROM (SELECT {k}, count(*) AS n_bars,
+    CASE WHEN arg_min(equity, ts_ns) > 0 THEN arg_max(equity, ts_ns) / arg_min(equity, ts_ns) - 1 END
+    AS total_return, greatest(0, max((peak - equity) / peak) FILTER (peak > 0)) AS max_drawdown,
+    avg(r) AS m, stddev_pop(r) AS sd, sqrt(sum(r * r) FILTER (r < 0) / count(r)) AS down
+    FROM (SELECT *, max(equity) OVER w AS peak, CASE WHEN lag(equity) OVER w > 0
+    THEN equity / lag(equity) OVER w - 1 END AS r
+    FROM {src} WINDOW w AS (PARTITION BY {k} ORDER BY ts_ns)) GROUP BY {k})"""
+PLAIN_METRICS = """SELECT {k}, n_bars, total_return, max_drawdown, CASE WHEN max_drawdown > 0
     THEN total_return / max_drawdown END AS calmar, CASE WHEN sd > 0 THEN m / sd * {a} END AS sharpe,
     CASE WHEN down > 0 THEN m / down * {a} END AS sortino FROM (SELECT {k}, count(*) AS n_bars,
     arg_max(equity, ts_ns) / arg_min(equity, ts_ns) - 1 AS total_return, max((peak - equity) / peak)
@@ -93,8 +103,12 @@ TRADE_COLS = ("win_rate avg_win avg_loss payoff profit_factor expectancy_bps gro
               "slippage_total funding_total net_total fee_drag")
 
 
-@query("a18_a19_run_metrics", f"""SELECT * FROM ({EQ_METRICS.format(k='run_id', a=ANNUAL,
-    src='equity')}) JOIN ({TRADE_METRICS}) USING (run_id)""", "run_id n_bars n_trades",
+RUN_METRICS = f"""SELECT * REPLACE (coalesce(n_trades, 0) AS n_trades, CASE WHEN n_trades IS NULL
+    THEN coalesce(total_return, 0) ELSE total_return END AS total_return) FROM
+    ({EQ_METRICS.format(k='run_id', a=ANNUAL, src='equity')}) LEFT JOIN ({TRADE_METRICS}) USING (run_id)"""
+
+
+@query("a18_a19_run_metrics", RUN_METRICS, "run_id n_bars n_trades",
        f"{EQ_COLS} {TRADE_COLS}", "calmar sharpe sortino t_stat hold_s", equity=EQUITY, trips=TRIPS)
 def _(spark, sf):
     return runs(spark, sf).withColumn("hold_s", F.col("avg_hold_ns") / 1e9)
@@ -229,7 +243,7 @@ def _(spark, sf):
 RUN_TABLE = f"""SELECT run_id, n_trades, expectancy_bps, CASE WHEN run_id <> 'view' THEN t_stat END
     AS t_stat, profit_factor, max_drawdown, expectancy_bps > 0 AS stress_ok,
     CASE WHEN run_id <> 'click' THEN win_rate END AS folds FROM
-    ({EQ_METRICS.format(k='run_id', a=ANNUAL, src='equity')}) JOIN ({TRADE_METRICS}) USING (run_id)"""
+    ({PLAIN_METRICS.format(k='run_id', a=ANNUAL, src='equity')}) JOIN ({TRADE_METRICS}) USING (run_id)"""
 def detail_sql(column: str, sign: str, limit: str | float) -> str:
     bound = float(verdicts.THRESHOLDS.get(limit, limit))
     given = {"stress_ok": "stress_ok::INT", "pct_positive_folds": "folds"}.get(column, column)
