@@ -38,3 +38,11 @@ def test_run_metrics_follow_their_sql_below_zero(spark):
     assert differences(got, want[list(got.columns)]) == []
     total = got.set_index("run_id").total_return
     assert total["a"] == pytest.approx(-0.4) and total["c"] == 1.0 and total.isna()["b"]
+
+
+def test_regime_metrics_follow_their_sql_below_zero(spark):
+    labels = curve_rows(spark, NS_HOUR).selectExpr("*", "CASE WHEN ts_ns < 3 * 3600000000000L THEN 'low' ELSE 'high' END AS label")
+    got = performance.equity_metrics(labels, NS_HOUR, ["run_id", "label"]).toPandas()
+    want = from_sql(rq.EQ_METRICS.format(k="run_id, label", a=rq.ANNUAL, src="labels"), labels=labels)
+    assert differences(got, want[list(got.columns)]) == []
+    assert got.set_index(["run_id", "label"]).total_return.isna()["a", "high"]
