@@ -185,8 +185,7 @@ def _(spark, sf):
 
 
 @query("a35_compare_runs", f"""SELECT metric, run_id, value FROM (SELECT run_id,
-    COLUMNS(* EXCLUDE (run_id))::DOUBLE FROM ({EQ_METRICS.format(k='run_id', a=ANNUAL, src='equity')})
-    JOIN ({TRADE_METRICS}) USING (run_id)) UNPIVOT INCLUDE NULLS (value FOR metric IN
+    COLUMNS(* EXCLUDE (run_id))::DOUBLE FROM ({RUN_METRICS})) UNPIVOT INCLUDE NULLS (value FOR metric IN
     (COLUMNS(* EXCLUDE (run_id))))""", "metric run_id", r4="value",
        equity=EQUITY, trips=TRIPS)
 def _(spark, sf):

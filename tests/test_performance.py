@@ -46,3 +46,15 @@ def test_regime_metrics_follow_their_sql_below_zero(spark):
     want = from_sql(rq.EQ_METRICS.format(k="run_id, label", a=rq.ANNUAL, src="labels"), labels=labels)
     assert differences(got, want[list(got.columns)]) == []
     assert got.set_index(["run_id", "label"]).total_return.isna()["a", "high"]
+
+
+def test_runs_without_trades_are_compared(spark):
+    equity, trips = curve_rows(spark, NS_HOUR), trip_rows(spark)
+    runs = performance.run_metrics(equity, trips, NS_HOUR)
+    runs = runs.withColumn("hold_s", runs["avg_hold_ns"] / 1e9).drop("avg_hold_ns")
+    got = performance.compare_runs(runs).toPandas()
+    want = from_sql(f"""SELECT metric, run_id, value FROM (SELECT run_id, COLUMNS(* EXCLUDE (run_id))::DOUBLE
+        FROM ({rq.RUN_METRICS})) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (run_id))))""",
+                    equity=equity, trips=trips)
+    assert differences(got, want) == []
+    assert got[(got.run_id == "c") & (got.metric == "n_trades")].value.tolist() == [0.0]
