@@ -138,18 +138,20 @@ def equal_weight(daily: DataFrame, keys: Sequence[str], member: str = "symbol")
 
 
 def curve_summary(marks: DataFrame, keys: Sequence[str], hac_lag: int = 20) -> DataFrame:
-    """Statistics of midnight equity marks; a missing day is refused."""
+    """Statistics of midnight equity marks; a missing day is refused. A growth rate needs a positive
+    start and an end that is not negative; otherwise, and without a return, it is NULL."""
     keys = list(keys)
     w = W.partitionBy(*keys).orderBy("ts_ns")
     days = consecutive_days(daily_marks(marks, keys), keys).withColumn("_p", F.lag("equity").over(w)).withColumn(
-        "net", F.col("equity") / F.col("_p") - 1.0)
+        "net", F.col("equity") / F.nullif("_p", F.lit(0.0)) - 1.0)
     peak = F.max("equity").over(_upto(keys))
-    days = days.withColumn("_dd", F.lit(1.0) - F.col("equity") / peak)
+    days = days.withColumn("_dd", F.when(peak > 0, F.lit(1.0) - F.col("equity") / peak))
     n, sd, year = F.count("net"), F.stddev_samp("net"), F.sqrt(F.lit(365.0))
     first, last = F.min_by("equity", "ts_ns"), F.max_by("equity", "ts_ns")
     stats = days.groupBy(*keys).agg(
-        n.alias("n_days"), (last / first - 1.0).alias("total_return"),
-        (F.pow(last / first, F.lit(365.0) / n) - 1.0).alias("cagr"),
+        n.alias("n_days"), (last / F.nullif(first, F.lit(0.0)) - 1.0).alias("total_return"),
+        F.when((first > 0) & (last >= 0) & (n > 0),
+               F.pow(last / first, F.lit(365.0) / n) - 1.0).alias("cagr"),
         (sd * year).alias("volatility"),
         F.when(sd > 0, F.avg("net") / sd * year).alias("sharpe"),
         F.max("_dd").alias("max_drawdown"), first.alias("start_equity"), last.alias("end_equity"))

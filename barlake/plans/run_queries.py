@@ -133,13 +133,15 @@ def _(spark, sf):
     return performance.regime_metrics(equity(spark, sf), 24, H, width=8 * D)
 
 
-@query("a26_curve_summary", f"""SELECT *, (end_equity / start_equity) ^ (365.0::DOUBLE / n_days) - 1 AS cagr
+@query("a26_curve_summary", f"""SELECT *, CASE WHEN start_equity > 0 AND end_equity >= 0 AND n_days > 0
+    THEN (end_equity / start_equity) ^ (365.0::DOUBLE / n_days) - 1 END AS cagr
     FROM (SELECT run_id, count(r) AS n_days, arg_max(equity, ts_ns)
-    / arg_min(equity, ts_ns) - 1 AS total_return, max(1 - equity / peak) AS max_drawdown,
+    / nullif(arg_min(equity, ts_ns), 0) - 1 AS total_return,
+    max(1 - equity / peak) FILTER (peak > 0) AS max_drawdown,
     arg_min(equity, ts_ns) AS start_equity, arg_max(equity, ts_ns) AS end_equity,
-    stddev_samp(r) * sqrt(365.0::DOUBLE) AS volatility,
-    avg(r) / stddev_samp(r) * sqrt(365.0::DOUBLE) AS sharpe
-    FROM (SELECT *, equity / lag(equity) OVER w - 1 AS r,
+    stddev_samp(r) * sqrt(365.0::DOUBLE) AS volatility, CASE WHEN stddev_samp(r) > 0
+    THEN avg(r) / stddev_samp(r) * sqrt(365.0::DOUBLE) END AS sharpe
+    FROM (SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS r,
     max(equity) OVER w AS peak FROM daily_eq WINDOW w AS (PARTITION BY run_id ORDER BY ts_ns))
     GROUP BY 1)""", "run_id n_days", "total_return max_drawdown start_equity end_equity volatility",
        "cagr sharpe", grid=f"""SELECT run_id, unnest(generate_series(min(ts_ns) // {D} * {D},

@@ -6,7 +6,7 @@ import pytest
 from barlake.operators import performance
 from barlake.plans import run_queries as rq
 from barlake.plans.checks import differences
-from barlake.schemas import NS_HOUR
+from barlake.schemas import NS_DAY, NS_HOUR
 
 CURVES = {"a": [10.0, 5.0, -5.0, -2.0, 4.0, 6.0], "b": [-1.0, -2.0, 3.0, 6.0], "c": [1.0, 2.0]}
 TRADES = {"a": [3.0, -1.0, 2.0], "b": [1.0, -2.0]}
@@ -58,3 +58,13 @@ def test_runs_without_trades_are_compared(spark):
                     equity=equity, trips=trips)
     assert differences(got, want) == []
     assert got[(got.run_id == "c") & (got.metric == "n_trades")].value.tolist() == [0.0]
+
+
+def test_growth_of_a_curve_that_ends_below_zero_is_null(spark):
+    days = {"a": [5.0, 2.0, -3.0], "b": [4.0, 0.0, 9.0], "c": [0.0, 1.0, 2.0], "d": [1.0, 2.0, 0.0], "e": [7.0]}
+    marks = spark.createDataFrame([(k, i * NS_DAY, v) for k, c in days.items() for i, v in enumerate(c)],
+                                  "run_id string, ts_ns long, equity double")
+    got = {r.run_id: r for r in performance.curve_summary(marks, ["run_id"]).collect()}
+    assert [got[k].cagr for k in "ace"] == [None, None, None]
+    assert got["a"].total_return == pytest.approx(-1.6) and got["d"].cagr == -1.0
+    assert got["b"].n_days == 1 and got["c"].total_return is None and got["e"].n_days == 0
