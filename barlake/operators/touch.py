@@ -26,6 +26,7 @@ from barlake.schemas import NS_DAY
 from barlake.session import settle
 
 FAN = 64
+LEVEL = 1 << 57  # a level and a node in one number: minima of numbers need no sort
 
 
 def _above(number: Column, fan: int, levels: int = 1) -> Column:
@@ -98,8 +99,9 @@ def first_touch(orders: DataFrame, tape: DataFrame, limit: str, down: Column, st
     who = ["symbol", "_ask", "_down", "_limit", "_from"]
     found = settle(met.groupBy(*who).agg(
         F.max(F.when(mine, F.col("node"))).alias("_block"),
-        F.min(F.when(~mine, F.struct("_level", "node"))).alias("_next")), "found").select(
-        *who, "_block", F.col("_next._level").alias("_level"), F.col("_next.node").alias("_node"))
+        F.min(F.when(~mine, F.col("_level") * F.lit(LEVEL) + F.col("node"))).alias("_next")), "found").select(
+        *who, "_block", _above(F.col("_next"), LEVEL).cast("int").alias("_level"),
+        (F.col("_next") % F.lit(LEVEL)).alias("_node"))
     for k in range(len(levels) - 1, 0, -1):
         below = levels[k - 1].select(F.col("symbol").alias("_symbol"), F.col("node").alias("_child"),
                                      "parent", "lo", "hi")
@@ -113,10 +115,10 @@ def first_touch(orders: DataFrame, tape: DataFrame, limit: str, down: Column, st
             F.coalesce(F.min("_child"), F.first("_node")).alias("_node")), "found")
     opened = found.select(*who, F.explode(F.array_compact(F.array("_block", "_node"))).alias("_open"))
     tape_rows = rows.select(F.col("symbol").alias("_symbol"), "_idx", F.col(low).alias("_lo"),
-                            F.col(high).alias("_hi"), F.struct(*values).alias("_row"))
+                            F.col(high).alias("_hi"), *[F.col(v).alias(f"_row_{v}") for v in values])
     hits = opened.join(tape_rows, F.col("symbol").eqNullSafe(F.col("_symbol")) & (
         F.col("_open") == _above(F.col("_idx"), fan)) & (F.col("_idx") >= F.col("_from"))
         & passes("_lo", "_hi"))
-    first = hits.groupBy("_ask").agg(F.min_by("_row", "_idx").alias("_hit"))
+    first = hits.groupBy("_ask").agg(*[F.min_by(f"_row_{v}", "_idx").alias(f"_hit_{v}") for v in values])
     return asks.join(first, "_ask", "left").select(
-        *orders.columns, *[F.col(f"_hit.{v}").alias(f"hit_{v}") for v in values])
+        *orders.columns, *[F.col(f"_hit_{v}").alias(f"hit_{v}") for v in values])
