@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from barlake.functions.scalars import ts_date
 from barlake.operators.quantiles import grouped_quantiles
+from barlake.session import settle
+
+TASK_ROWS = 1 << 20  # rows of transactions and addresses that one task makes distinct
 
 
 def _window(df: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
@@ -66,11 +69,17 @@ def daily_flows(transfers: DataFrame, hubs: DataFrame, start_ns: int, end_ns: in
 
 
 def top_receivers(outputs: DataFrame, start_ns: int, end_ns: int, min_txs: int = 50_000,
-                  top: int = 30) -> DataFrame:
-    """Addresses by value received, with a floor on distinct paying transactions."""
+                  top: int = 30, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Addresses by value received, with a floor on distinct paying transactions.
+
+    Pairs of address and transaction are nearly as many as the rows, so they are stored apart from
+    what made them and dealt to as many tasks as they need.
+    """
     paid = _window(outputs, start_ns, end_ns).select(
         "tx_id", "value", F.explode("addresses").alias("address")).where(
         F.col("address").isNotNull())
+    paid = settle(paid, "paid")
+    paid = paid.repartition(paid.count() // task_rows + 1, "tx_id")
     per_tx = paid.groupBy("address", "tx_id").agg(F.sum("value").alias("value"))
     return per_tx.groupBy("address").agg(
         F.sum("value").alias("received"), F.count(F.lit(1)).alias("funding_txs")).where(

@@ -23,3 +23,17 @@ def test_first_touch_sorts_no_matches(spark, monkeypatch):
     for r in hits.collect():
         want = next((i for i in range(r.arrive_ns, 500) if prices[i] <= r.lim), None)
         assert r.hit_ts_ns == want and r.hit_price == (None if want is None else prices[want])
+
+
+def paid_rows(spark):
+    rows = [(t, [f"a{t % 3}", f"b{t % 5}", "a0", None], float(t), t) for t in range(60)]
+    return spark.createDataFrame(rows, "tx_id long, addresses array<string>, value double, ts_ns long")
+
+
+def test_top_receivers_deal_pairs_to_enough_tasks(spark):
+    def top(**given):
+        found = flows.top_receivers(paid_rows(spark), 0, 60, 5, 4, **given)
+        return [(r.address, r.received, r.funding_txs) for r in found.collect()]
+
+    assert top(task_rows=16) == top() and top()[0] == ("a0", 1770.0 + 570.0, 60)
+    assert "REPARTITION_BY_NUM" in plan(flows.top_receivers(paid_rows(spark), 0, 60, 5, 4, task_rows=16))
