@@ -88,15 +88,22 @@ def top_receivers(outputs: DataFrame, start_ns: int, end_ns: int, min_txs: int =
 
 def two_sided_flows(outputs: DataFrame, inputs: DataFrame, hubs: DataFrame, start_ns: int,
                     end_ns: int) -> DataFrame:
-    """Daily amount and transactions received by and spent from one address set."""
-    members = hubs.select("address").distinct()
+    """Daily amount and transactions received by and spent from one address set.
+
+    ``hubs`` is a list of at most a few dozen addresses (``select_hubs`` limits it). It becomes one
+    value of the filter, so rows that pay no member are dropped where they are read.
+    """
+    members = hubs.agg(F.collect_set("address"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = _window(df, start_ns, end_ns).select(
+        rows = _window(df, start_ns, end_ns).where(F.arrays_overlap("addresses", members.scalar())).select(
             "tx_id", "value", ts_date("ts_ns").alias("day"),
             F.explode("addresses").alias("address"))
-        return rows.join(members, "address", "left_semi").groupBy("day").agg(
-            F.sum("value").alias(f"{name}_amount"), F.countDistinct("tx_id").alias(f"{name}_txs"))
+        # Transactions first, which stay where they are; a day is spread over them.
+        per_tx = rows.where(F.array_contains(members.scalar(), F.col("address"))).groupBy("day", "tx_id").agg(
+            F.sum("value").alias("value"))
+        return per_tx.groupBy("day").agg(
+            F.sum("value").alias(f"{name}_amount"), F.count("tx_id").alias(f"{name}_txs"))
 
     return side(outputs, "in").join(side(inputs, "out"), "day", "full_outer")
 

@@ -37,3 +37,15 @@ def test_top_receivers_deal_pairs_to_enough_tasks(spark):
 
     assert top(task_rows=16) == top() and top()[0] == ("a0", 1770.0 + 570.0, 60)
     assert "REPARTITION_BY_NUM" in plan(flows.top_receivers(paid_rows(spark), 0, 60, 5, 4, task_rows=16))
+
+
+def test_two_sided_flows_drop_rows_before_they_are_dealt(spark, tmp_path):
+    paid = paid_rows(spark)
+    hubs = spark.createDataFrame([("a0",), ("b1",), ("a0",)], "address string")
+    both = flows.two_sided_flows(paid, paid.where("tx_id < 2"), hubs, 0, 60)
+    assert "LeftSemi" not in plan(both)
+    (row,) = both.collect()
+    want = sum(t * (1 + (t % 3 == 0) + (t % 5 == 1)) for t in range(60))
+    assert (row.in_amount, row.in_txs, row.out_amount, row.out_txs) == (want, 60, 2.0, 2)
+    none = flows.two_sided_flows(paid, paid, hubs.where("address = 'x'"), 0, 60)
+    assert none.collect() == []
