@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barlake.functions.scalars import hashed_draw
 from barlake.operators.performance import log_growth
 from barlake.operators.quantiles import grouped_quantiles
-from barlake.operators.series import running, with_row_index
+from barlake.operators.series import SLICE, running, slice_of, with_row_index
 from barlake.schemas import NS_DAY
 from barlake.session import settle
 
@@ -31,9 +32,10 @@ def bootstrap_trades(trades: DataFrame, sims: int, seed: int, dd_threshold: floa
                      slice_steps: int = 4096) -> DataFrame:
     """Resample trades with replacement: final PnL quantiles and drawdown risk per key.
 
-    The paths (sims times trades rows) are scanned in slices of ``slice_steps`` steps, so
-    neither a key nor a path is sorted in one place. Drawdown is in quote units from the
-    peak of the cumulative sum itself.
+    The paths (sims times trades rows) are read once, in slices of ``slice_steps`` steps, so
+    neither a key nor a path is sorted in one place. A slice is reduced to its sum, its highest and
+    lowest point and its own drawdown, from which those of the path follow. Drawdown is in quote
+    units from the peak of the cumulative sum itself.
     """
     keys = list(keys)
     values = settle(with_row_index(trades, keys, ts, width).select(
@@ -47,11 +49,20 @@ def bootstrap_trades(trades: DataFrame, sims: int, seed: int, dd_threshold: floa
                                                 F.col("step")))
     paths = _paths(values, keys, draws)
     by = [*keys, "sim"]
-    cum = running(paths, {"_cum": ("sum", F.col("value"))}, by, "step", slice_steps)
-    top = running(cum, {"_peak": ("max", F.col("_cum"))}, by, "step", slice_steps)
-    ends = settle(top.groupBy(*by).agg(
-        F.sum("value").alias("final"), F.max(F.col("_peak") - F.col("_cum")).alias("dd"),
-        F.count(F.lit(1)).alias("_steps")), "paths")
+    cell = [*by, SLICE]
+    upto = W.partitionBy(*cell).orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    cum = paths.withColumn(SLICE, slice_of("step", slice_steps)).withColumn(
+        "_cum", F.coalesce(F.sum("value").over(upto), F.lit(0.0)))
+    slices = settle(cum.withColumn("_peak", F.max("_cum").over(upto)).groupBy(*cell).agg(
+        F.sum("value").alias("_sum"), F.max("_cum").alias("_high"), F.min("_cum").alias("_low"),
+        F.max(F.col("_peak") - F.col("_cum")).alias("_dd"), F.count(F.lit(1)).alias("_n")), "slices")
+    earlier = W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("_from", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    slices = slices.withColumn("_top", F.max(F.col("_from") + F.col("_high")).over(earlier))
+    ends = settle(slices.groupBy(*by).agg(
+        F.sum("_sum").alias("final"), F.max(F.greatest(
+            F.col("_dd"), F.col("_top") - F.col("_from") - F.col("_low"))).alias("dd"),
+        F.sum("_n").alias("_steps")), "paths")
     return _summary(ends, keys, {"p5": 0.05, "p50": 0.5, "p95": 0.95}, [
         F.max("_steps").alias("n_trades"), F.avg("final").alias("mean"),
         F.avg((F.col("dd") > dd_threshold).cast("double")).alias("prob_dd_over"),

@@ -1,8 +1,10 @@
 """Plans that keep a task's memory and the shuffled rows from growing faster than the input."""
 
+from itertools import accumulate
+
 from pyspark.sql import functions as F
 
-from barlake.operators import flows, touch
+from barlake.operators import flows, resampling, touch
 
 
 def plan(df):
@@ -49,3 +51,34 @@ def test_two_sided_flows_drop_rows_before_they_are_dealt(spark, tmp_path):
     assert (row.in_amount, row.in_txs, row.out_amount, row.out_txs) == (want, 60, 2.0, 2)
     none = flows.two_sided_flows(paid, paid, hubs.where("address = 'x'"), 0, 60)
     assert none.collect() == []
+
+
+def test_bootstrap_paths_are_dealt_and_scanned_once(spark, monkeypatch):
+    seen, plans = {}, {}
+    settle = resampling.settle
+
+    def kept(df, name):
+        plans[name], seen[name] = plan(df), settle(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(resampling, "settle", kept)
+    draws = {}
+    paths = resampling._paths
+
+    def drawn(*given):
+        found = paths(*given)
+        for r in found.collect():
+            draws.setdefault((r.run_id, r.sim), []).append((r.step, r.value))
+        return found
+
+    monkeypatch.setattr(resampling, "_paths", drawn)
+    trades = spark.range(20).selectExpr("CASE WHEN id < 14 THEN 'A' ELSE 'B' END AS run_id", "id AS ts_ns",
+                                        "CAST(pmod(id * 7, 11) - 5 AS DOUBLE) AS net")
+    resampling.bootstrap_trades(trades, 6, 3, 4.0, slice_steps=3)
+    ends = {(r.run_id, r.sim): (r.final, r.dd, r._steps) for r in seen["paths"].collect()}
+    assert plans["slices"].count("Window") <= 2 and "SortMergeJoin" not in plans["paths"]
+    assert len(ends) == 12
+    for key, steps in draws.items():
+        total = list(accumulate(v for _, v in sorted(steps)))
+        want = max(max(total[:i + 1]) - total[i] for i in range(len(total)))
+        assert ends[key] == (total[-1], want, len(total))
