@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 
-ARTICLE, PLAIN, CHROME = 0, 1, 2
+ARTICLE, PLAIN, CHROME, BOX = 0, 1, 2, 3
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
@@ -71,10 +71,11 @@ def _content(name: str, attributes: str) -> bool:
         "articlebody" in attributes.lower() or bool(re.search(r"role\s*=\s*[\"']?main", attributes)))
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
+def blocks(page: str | None, boxes: bool = False) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order. Character references are decoded, white
     space is one space, empty blocks are left out. An element that holds the article is never
-    dropped, whatever its name; inside the article dropped parts stay dropped."""
+    dropped, whatever its name; inside the article dropped parts stay dropped. With ``boxes``, a block of
+    the article that stands in a ``div`` of its own, not in a paragraph or the like, is a BOX."""
     page = page or ""
     out: list[tuple[int, str, tuple[int, ...]]] = []  # with the dropped elements around it
     stack: list[str] = []
@@ -85,11 +86,16 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     text: list[str] = []
     at = 0
 
+    def boxed() -> bool:
+        within = stack[inside[-1] + 1:]
+        return next((name for name in reversed(within) if name in BLOCK), "") == "div"
+
     def flush() -> None:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                out.append((ARTICLE if inside else PLAIN, words, tuple(k for _, k in dropped)))
+                zone = PLAIN if not inside else BOX if boxes and boxed() else ARTICLE
+                out.append((zone, words, tuple(k for _, k in dropped)))
             text.clear()
 
     def close_to(height: int) -> None:

@@ -140,6 +140,43 @@ def test_repeats_count_distinct_contents(spark):
                    3: words("other", 20)}
 
 
+def test_articles_lose_what_the_host_inserts(spark):
+    advert = "buy our very cheap shoes and hats here today and tomorrow"
+    quote = "to be or not to be that is the question of it"
+    rows = [(i, f"http://shop/{i}", f"<article><p>own text number {i}</p><div>{advert}</div><p>{quote}</p>"
+             f"<div>{advert} with own words {i}</div></article>") for i in range(3)]
+    rows += [(3, "http://shop/3", f"<article><p>another one</p></article><footer>{advert}</footer>"),
+             (4, "http://other/", f"<article><div>{advert}</div></article>"),
+             (5, "http://text/", f"<article>one<p>{advert}</p></article><footer>{advert}</footer>"),
+             (6, "http://text/", f"<article>two<p>{advert}</p></article><footer>{advert}</footer>")]
+    html = "page_id long, url string, html string"
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, html)).collect()}
+    assert got == {**{i: f"own text number {i} {quote} {advert} with own words {i}" for i in range(3)},
+                   3: "another one", 4: advert, 5: f"one {advert}", 6: f"two {advert}"}
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_suffix_array_is_sorted_and_its_intervals_are_equal_runs(spark, n):
+    rng = random.Random(n)
+    pages = [(i, f"http://h{i % 2}/", "<p>" + " ".join(rng.choice("abc") * (rng.randrange(9) > 0) or str(i)
+              for _ in range(60))) for i in range(40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        read = extraction.read_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+        rows = sorted(extraction.suffix_array(read, 3).collect(), key=lambda r: r.place)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = [(r.host, r.run) for r in rows]
+    assert keys == sorted(keys) and len(rows) == 40 * 58
+    first = {}
+    for r, key in zip(rows, keys, strict=True):
+        assert r.interval == first.setdefault(key, r.place)
+    assert len(set(first.values())) == len(first)
+
+
 def test_intervals_against_plain_search(spark):
     rng = random.Random(4)
     shared = [[f"s{k}-{j}" for j in range(rng.randrange(5, 20))] for k in range(6)]
