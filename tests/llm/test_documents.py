@@ -199,6 +199,40 @@ def test_near_copies_by_exact_similarity(spark, no_docs):
     assert near.components(no_docs).collect() == []
 
 
+def test_similar_sets_share_a_simhash_of_the_whole_or_of_a_part():
+    rng = np.random.default_rng(7)
+    for union in (5, 10, 14, 20, 25, 30, 59, 75, 119, 150, 240, 480, 960):
+        common = -(-4 * union // 5)
+        for _ in range(40):
+            h = np.unique(rng.integers(0, 1 << 64, union, dtype=np.uint64))
+            rng.shuffle(h)
+            own = rng.random(union - common) < 0.5
+            a, b = (near.fingerprints(np.sort(np.concatenate([h[:common], h[common:][side]])))
+                    for side in (own, ~own))
+            assert set(a) & set(b)
+    h = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for k in range(20):  # the ball around the whole: its six values come first
+        a, b = near._simhash(h, np.array([0])), near._simhash(np.delete(h, k), np.array([0]))
+        far = (int(a[0]) ^ int(b[0])).bit_count()
+        met = set(near.fingerprints(h)[:6]) & set(near.fingerprints(np.delete(h, k))[:6])
+        assert met or far > near.RADIUS
+
+
+def test_simhash_of_a_set_counts_bits_of_its_hashes():
+    h = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 500, dtype=np.uint64))
+    starts = np.array([0, 1, 3, 200])
+    for chunk in (near.CHUNK, 7):
+        before, near.CHUNK = near.CHUNK, chunk
+        try:
+            got = near._simhash(h, starts)
+        finally:
+            near.CHUNK = before
+        for value, a, b in zip(got, starts, [*starts[1:], 500], strict=True):
+            own = [int(x) for x in h[a:b]]
+            assert int(value) == sum(1 << k for k in range(64)
+                                     if 2 * sum(x >> k & 1 for x in own) > len(own))
+
+
 def test_components_of_a_long_path(spark):
     n = 3000
     order = list(range(n))
