@@ -171,18 +171,19 @@ legs_alignment = alignment
 
 
 def equity_metrics(equity: DataFrame, interval_ns: int, keys: Sequence[str] = ("run_id",),
-                   width: int = NS_DAY) -> DataFrame:
+                   width: int = NS_DAY, tie: Sequence[str] = ()) -> DataFrame:
     """Return, drawdown, calmar, sharpe and sortino per run. Returns are taken from positive values
     and falls from positive peaks only; the total is NULL where the first value is not positive."""
     e = F.col("equity")
-    rows = running(equity, {"_prev": ("prev", e), "_peak": ("max", e)}, keys, width=width)
+    rows = running(equity, {"_prev": ("prev", e), "_peak": ("max", e)}, keys, width=width, tie=tie)
     r = F.when(F.col("_prev") > 0, e / F.col("_prev") - 1.0)
     rows = rows.withColumn("_r", r).withColumn(
         "_dd", F.when(F.col("_peak") > 0, (F.col("_peak") - e) / F.col("_peak")))
     annual = (YEAR_NS / interval_ns) ** 0.5
     down = F.sqrt(F.sum(F.when(F.col("_r") < 0, F.col("_r") * F.col("_r"))) / F.count("_r"))
-    first = F.min_by("equity", "ts_ns")
-    total = F.when(first > 0, F.max_by("equity", "ts_ns") / first - 1.0)
+    order = F.col("ts_ns") if not tie else F.struct("ts_ns", *tie)
+    first = F.min_by("equity", order)
+    total = F.when(first > 0, F.max_by("equity", order) / first - 1.0)
     dd = F.greatest(F.lit(0.0), F.max("_dd"))
     sd = F.stddev_pop("_r")
     return rows.groupBy(*keys).agg(
@@ -226,20 +227,22 @@ def run_metrics(equity: DataFrame, trips: DataFrame, interval_ns: int,
 
 def regime_metrics(curve: DataFrame, window: int, interval_ns: int,
                    keys: Sequence[str] = ("run_id",), block_rows: int = BLOCK_ROWS,
-                   width: int = NS_DAY) -> DataFrame:
-    """Statistics by volatility tercile of (keys, ts_ns, equity, close)."""
+                   width: int = NS_DAY, tie: Sequence[str] = ()) -> DataFrame:
+    """Statistics by volatility tercile of (keys, ts_ns, equity, close); rows of one time come in ``tie``
+    order. Volatilities are taken to 12 decimals, so that windows of equal returns in another order do
+    not fall on two sides of a cut; a run with ``window`` of them or fewer is ``low`` throughout."""
     keys = list(keys)
-    blocks, w = in_blocks(curve, before=window, keys=keys, width=width, block_rows=block_rows)
+    blocks, w = in_blocks(curve, before=window, keys=keys, width=width, tie=tie, block_rows=block_rows)
     vols = core_rows(realized_vol_in(blocks, w, window)).where(F.col("vol").isNotNull())
-    vols = settle(vols.select(*keys, "ts_ns", "equity", "vol"), "vols")
+    vols = settle(vols.select(*keys, "ts_ns", *tie, "equity", F.round("vol", 12).alias("vol")), "vols")
     cuts = grouped_quantiles(vols, keys, "vol", {"_q33": 0.333, "_q66": 0.667})
     v = F.col("vol")
     label = F.when((F.col("n") <= window) | (v <= F.col("_q33")), "low").when(
         v > F.col("_q66"), "high").otherwise("mid")
     labelled = settle(vols.join(cuts, keys).select(
-        *keys, "ts_ns", "equity", "vol", label.alias("label")), "labels")
+        *keys, "ts_ns", *tie, "equity", "vol", label.alias("label")), "labels")
     by = [*keys, "label"]
-    stats = equity_metrics(labelled, interval_ns, by, width).drop("calmar", "sortino")
+    stats = equity_metrics(labelled, interval_ns, by, width, tie).drop("calmar", "sortino")
     return stats.join(labelled.groupBy(*by).agg(F.avg("vol").alias("vol_mean")), by)
 
 

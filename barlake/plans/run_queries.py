@@ -26,8 +26,8 @@ EQUITY = """SELECT run_id, ts_ns, price AS close, 10000 - sum(CASE WHEN side = '
 TRIP_COLS = "qty entry_price exit_price gross fees slippage funding net"
 
 
-def fills(spark, sf):
-    return settle(v.fills(spark, sf), "fills")
+def fills(spark, sf, tie=()):
+    return settle(v.fills(spark, sf, tie), "fills")
 
 
 def trips(spark, sf):
@@ -36,10 +36,13 @@ def trips(spark, sf):
 
 def equity(spark, sf):
     """Account value after each fill, marked at the fill's price."""
+    return marked(fills(spark, sf))
+
+
+def marked(f, *ids):
     from barlake.operators.tca import equity_marks
 
-    f = fills(spark, sf)
-    marks = f.select("run_id", "ts_ns", F.col("price").alias("close"))
+    marks = f.select("run_id", "ts_ns", *ids, F.col("price").alias("close"))
     return settle(equity_marks(f, marks, 10000.0, width=8 * D), "equity")
 
 
@@ -121,16 +124,20 @@ def runs(spark, sf):
 @query("a20_regime_metrics", f"""SELECT * FROM ({EQ_METRICS.format(k='run_id, label', a=ANNUAL,
     src='labels')}) JOIN (SELECT run_id, label, avg(vol) AS vol_mean FROM labels GROUP BY 1, 2)
     USING (run_id, label)""", "run_id label n_bars", EQ_COLS + " vol_mean", "sharpe",
-       equity=EQUITY,
-       rv="""SELECT run_id, ts_ns, equity, CASE WHEN count(r) OVER w = 24 THEN stddev_pop(r) OVER w END
-       AS vol FROM (SELECT *, close / lag(close) OVER (PARTITION BY run_id ORDER BY ts_ns) - 1 AS r
-       FROM equity) WINDOW w AS (PARTITION BY run_id ORDER BY ts_ns ROWS BETWEEN 23 PRECEDING
-       AND CURRENT ROW)""",
-       labels="""SELECT *, CASE WHEN vol <= a THEN 'low' WHEN vol > b THEN 'high' ELSE 'mid' END
-       AS label FROM rv JOIN (SELECT run_id, quantile_cont(vol, 0.333) AS a, quantile_cont(vol, 0.667)
-       AS b FROM rv GROUP BY 1) USING (run_id) WHERE vol IS NOT NULL""")
-def _(spark, sf):
-    return performance.regime_metrics(equity(spark, sf), 24, H, width=8 * D)
+       fills=v.VIEW_SQL["fills"].replace("ORDER BY ts_ns)", "ORDER BY ts_ns, agg_id)"),
+       equity=EQUITY.replace("run_id, ts_ns,", "run_id, ts_ns, order_id,"),
+       marks="""SELECT run_id, row_number() OVER o AS k, equity, close / nullif(lag(close) OVER o, 0) - 1
+       AS r FROM equity WINDOW o AS (PARTITION BY run_id ORDER BY ts_ns, order_id)""",
+       rv="""SELECT run_id, k AS ts_ns, equity, CASE WHEN count(r) OVER w = 24 THEN
+       round(stddev_pop(r) OVER w, 12) END AS vol FROM marks WINDOW w AS (PARTITION BY run_id ORDER BY k
+       ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
+       labels="""SELECT *, CASE WHEN n <= 24 OR vol <= a THEN 'low' WHEN vol > b THEN 'high' ELSE 'mid' END
+       AS label FROM rv JOIN (SELECT run_id, count(vol) AS n, quantile_cont(vol, 0.333) AS a,
+       quantile_cont(vol, 0.667) AS b FROM rv GROUP BY 1) USING (run_id) WHERE vol IS NOT NULL""")
+def _(spark, sf):
+    """Ticks and fills of one time come by their id; the SQL numbers them in that order."""
+    curve = marked(fills(spark, sf, ["agg_id"]), "order_id")
+    return performance.regime_metrics(curve, 24, H, width=8 * D, tie=["order_id"])
 
 
 @query("a26_curve_summary", f"""SELECT *, CASE WHEN start_equity > 0 AND end_equity >= 0 AND n_days > 0

@@ -7,6 +7,7 @@ used on the comparison side. ``sql`` prefixes a statement with the views it name
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -140,11 +141,12 @@ def order_book_orders(spark: SparkSession, sf: str) -> DataFrame:
         wall_clock_ns("ts").alias("submitted_ns"))
 
 
-def fills(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each three ticks of a symbol two buy, in thousandths, and the third sells all of it."""
+def fills(spark: SparkSession, sf: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Of each three ticks of a symbol two buy, in thousandths, and the third sells all of it. Ticks of
+    one time come in ``tie`` order."""
     from barlake.operators.series import core_rows, in_blocks
 
-    blocks, w = in_blocks(ticks(spark, sf), before=2)
+    blocks, w = in_blocks(ticks(spark, sf), before=2, tie=tie)
     own = F.round(F.col("qty"), 3)
     sells = F.col("_idx") % 3 == 2
     qty = F.when(sells, F.round(F.lag(own, 1).over(w) + F.lag(own, 2).over(w), 3)).otherwise(own)

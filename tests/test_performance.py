@@ -1,9 +1,13 @@
 """Statistics of accounts whose value falls below zero."""
 
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 
 from barlake.operators import performance
+from barlake.plans import registry
 from barlake.plans import run_queries as rq
 from barlake.plans.checks import differences
 from barlake.schemas import NS_DAY, NS_HOUR
@@ -68,3 +72,38 @@ def test_growth_of_a_curve_that_ends_below_zero_is_null(spark):
     assert [got[k].cagr for k in "ace"] == [None, None, None]
     assert got["a"].total_return == pytest.approx(-1.6) and got["d"].cagr == -1.0
     assert got["b"].n_days == 1 and got["c"].total_return is None and got["e"].n_days == 0
+
+
+def ticks_of(run, n, copies=1, apart=0, step=0.0, zero=()):
+    """``n`` hours of ``copies`` ticks each, ``apart`` microseconds and ``step`` of value from each other; prices
+    of 0 at ``zero``."""
+    draw, rows = random.Random(run), []
+    for i in range(n):
+        k, value = (-1000, 0.0) if i in zero else (draw.randint(-300, 900), round(draw.random() * 100, 2))
+        rows += [(f"{run}{i:05d}{c}", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i, microseconds=c * apart), i % 7,
+                  run, value + c * step, f'{{"k": {k}}}') for c in range(copies)]
+    return rows
+
+
+REGIME_TICKS = {
+    "short runs": ticks_of("1", 40) + ticks_of("2", 48) + ticks_of("3", 49) + ticks_of("4", 200),
+    "repeated times": random.Random(5).sample(ticks_of("1", 60, copies=4, step=7.0), 240),
+    "equal windows": ticks_of("1", 400, copies=6, apart=1) + ticks_of("2", 400, copies=6, apart=1),
+    "prices of zero": ticks_of("1", 300, zero=(50, 51, 120)) + ticks_of("2", 100),
+}
+
+
+@pytest.mark.parametrize("case", REGIME_TICKS)
+def test_regime_query_follows_its_sql(spark, tmp_path, case):
+    events = pd.DataFrame(REGIME_TICKS[case], columns="event_id ts user_id event_type value props".split())
+    con = duckdb.connect()
+    con.register("given", events)
+    con.sql("SELECT * REPLACE (event_id::BIGINT AS event_id, ts::TIMESTAMP AS ts) FROM given").write_parquet(
+        f"{tmp_path}/events.parquet")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    registry.load_all()
+    got = registry.QUERIES["a20_regime_metrics"](spark, str(tmp_path)).toPandas()
+    assert differences(got, con.sql(registry.ORACLES["a20_regime_metrics"]).df()) == []
+    if case == "short runs":
+        labels = got.groupby("run_id").label.apply(set)
+        assert labels["1"] == labels["2"] == {"low"} and len(labels["3"]) == len(labels["4"]) == 3
