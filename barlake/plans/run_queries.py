@@ -26,7 +26,8 @@ EQUITY = """SELECT run_id, ts_ns, price AS close, 10000 - sum(CASE WHEN side = '
 TRIP_COLS = "qty entry_price exit_price gross fees slippage funding net"
 
 
-def fills(spark, sf, tie=()):
+def fills(spark, sf, tie=("agg_id",)):
+    """Fills; ticks of one time are taken by their id, the order in which positions are summed."""
     return settle(v.fills(spark, sf, tie), "fills")
 
 
@@ -136,7 +137,7 @@ def runs(spark, sf):
        quantile_cont(vol, 0.667) AS b FROM rv GROUP BY 1) USING (run_id) WHERE vol IS NOT NULL""")
 def _(spark, sf):
     """Ticks and fills of one time come by their id; the SQL numbers them in that order."""
-    curve = marked(fills(spark, sf, ["agg_id"]), "order_id")
+    curve = marked(fills(spark, sf), "order_id")
     return performance.regime_metrics(curve, 24, H, width=8 * D, tie=["order_id"])
 
 

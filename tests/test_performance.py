@@ -1,5 +1,6 @@
 """Statistics of accounts whose value falls below zero."""
 
+import json
 import random
 
 import duckdb
@@ -107,3 +108,24 @@ def test_regime_query_follows_its_sql(spark, tmp_path, case):
     if case == "short runs":
         labels = got.groupby("run_id").label.apply(set)
         assert labels["1"] == labels["2"] == {"low"} and len(labels["3"]) == len(labels["4"]) == 3
+
+
+def test_round_trips_take_ticks_of_one_time_by_id(spark, tmp_path):
+    rows = random.Random(6).sample(ticks_of("1", 60, copies=5, step=7.0) + ticks_of("2", 41, copies=4, step=3.0), 464)
+    events = pd.DataFrame(rows, columns="event_id ts user_id event_type value props".split())
+    con = duckdb.connect()
+    con.register("given", events)
+    con.sql("SELECT * REPLACE (event_id::BIGINT AS event_id, ts::TIMESTAMP AS ts) FROM given").write_parquet(
+        f"{tmp_path}/events.parquet")
+    want = []
+    for run in "12":
+        own = sorted((ts, int(i), 100.0 + json.loads(props)["k"] / 10.0 + value / 1000.0, round(1.0 + value / 10.0, 3))
+                     for i, ts, _, symbol, value, props in rows if symbol == run)
+        for (start, _, p, a), (_, _, q, b), (end, _, r, _) in zip(own[::3], own[1::3], own[2::3], strict=False):
+            want.append((run, start.value, end.value, round(a, 6), round(p, 6), round(r, 6),
+                         round((a + b) * r - a * p - b * q, 4)))
+    registry.load_all()
+    got = registry.QUERIES["a21_w20_round_trips"](spark, str(tmp_path)).collect()
+    assert {r.side for r in got} == {"buy"}
+    assert sorted((r.run_id, r.entry_ts, r.exit_ts, r.qty, r.entry_price, r.exit_price, round(r.gross, 4))
+                  for r in got) == [pytest.approx(w) for w in sorted(want)]
