@@ -199,6 +199,49 @@ def test_near_copies_by_exact_similarity(spark, no_docs):
     assert near.components(no_docs).collect() == []
 
 
+def test_similar_texts_that_share_no_fingerprint_are_one_group(spark):
+    rng = random.Random(4)
+    short = [f"w{rng.randrange(10 ** 6)}" for _ in range(84)]
+    own, long = set(near.fingerprints(near.shingles(" ".join(short)))), list(short)
+    for _ in range(20):  # words are added so that as few parts as possible stay alike
+        tries = [[*long, f"x{rng.randrange(10 ** 6)}"] for _ in range(300)]
+        long = min(tries, key=lambda w: len(own & set(near.fingerprints(near.shingles(" ".join(w))))))
+    assert not own & set(near.fingerprints(near.shingles(" ".join(long))))
+    other = [f"y{rng.randrange(10 ** 6)}" for _ in range(60)]
+    rows = [(3, " ".join(long)), (2, " ".join(short)), (7, " ".join(short[:-1])), (8, " ".join(other)),
+            (9, " ".join(short[:75])), (10, " ".join(other[:30])), (11, " ".join(short[:60]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same([tuple(r) for r in near.components(docs).collect()],
+         [(3, 2), (2, 2), (7, 2), (8, 8), (9, 2), (10, 10), (11, 11)])
+    same([r.doc_id for r in near.one_of_each(docs).collect()], [2, 8, 10, 11])
+
+
+def test_texts_of_one_id_are_grouped_apart(spark):
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "one text of its own"), (6, "h i j k l m n"),
+            (6, "H i j  k l m n"), (None, "h i j k l m n"), (None, "p q"), (None, "p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same([(r.doc_id, r.text.split()[0].lower()) for r in near.one_of_each(docs).collect()],
+         [(1, "a"), (5, "one"), (6, "h"), (None, "h"), (None, "p"), (None, "p")])
+
+
+def test_first_shingles_and_parity_lose_no_similar_set():
+    rng = np.random.default_rng(8)
+    for union in (5, 9, 10, 20, 64, 75, 150, 700):
+        shared = -(-4 * union // 5)
+        for _ in range(50):
+            h = np.unique(rng.integers(0, 1 << 64, union, dtype=np.uint64))
+            common = np.sort(rng.choice(h, union // 2, replace=False))
+            rank = rng.integers(1, 50, len(common))
+            rng.shuffle(h)
+            side = rng.random(union - shared) < rng.choice((0.0, 0.5))
+            a, b = (np.sort(np.concatenate([h[:shared], h[shared:][k]])) for k in (side, ~side))
+            assert set(near.early(a, common, rank).tolist()) & set(near.early(b, common, rank).tolist())
+            x, y = near.parity(a), near.parity(b)
+            while len(x) != len(y):
+                x, y = (v[:len(v) // 2] ^ v[len(v) // 2:] if len(v) > min(len(x), len(y)) else v for v in (x, y))
+            assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= union - shared
+
+
 def test_similar_sets_share_a_simhash_of_the_whole_or_of_a_part():
     rng = np.random.default_rng(7)
     for union in (5, 10, 14, 20, 25, 30, 59, 75, 119, 150, 240, 480, 960):
